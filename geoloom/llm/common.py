@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,15 @@ def batches(rows: Iterator[pa.RecordBatch], most_bytes: int, column: str = "text
             start = stop
 
 
+def packed(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of this package's classes: pickled by value, as functions are."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def bounded(df: DataFrame, most: int) -> bool:
     """Whether a written table has at most so many rows, and so may be broadcast."""
     return df.limit(most + 1).count() <= most

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import langid, mixing, quality, sharding, simhash, warc
+from geoloom.llm import decontaminate, langid, mixing, quality, rules, sharding, simhash, suffixes, suffixtree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
+    "op2_suffixes": suffixes.op2,
+    "op3_suffixtree": suffixtree.op3,
+    "op4_rules": rules.op4,
     "op5_langid": langid.op5,
     "op6_simhash": simhash.op6,
     "op7_quality": quality.op7,
     "op8_sharding": sharding.op8,
     "op9_warc": warc.op9,
+    "op10_decontaminate": decontaminate.op10,
 }
 
 #: DuckDB SQL for those of QUERIES that it can express.
