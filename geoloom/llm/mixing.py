@@ -53,10 +53,11 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], budget: float,
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length sum up to budget, or to the largest sum below it; none above its count."""
-    steps, reach, mask = [], 1, (1 << (budget + 1)) - 1
+    """How many of each length come nearest to budget, below it where equally near; none above its count."""
+    limit = budget + max((n for n, c in zip(lengths, counts, strict=True) if c), default=0)
+    steps, reach, mask = [], 1, (1 << (limit + 1)) - 1
     for i in sorted(range(len(lengths)), key=lambda j: lengths[j]):
-        left, part = min(counts[i], budget // lengths[i] if lengths[i] else 0), 1
+        left, part = min(counts[i], limit // lengths[i] if lengths[i] else 0), 1
         while left and not reach >> budget & 1:
             part = min(part, left)
             steps.append((i, part, reach))
@@ -64,7 +65,9 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
             left, part = left - part, part * 2
         if reach >> budget & 1:
             break
-    at, used = reach.bit_length() - 1, [0] * len(lengths)
+    below, over = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1, reach >> (budget + 1)
+    above = budget + (over & -over).bit_length()
+    at, used = (above if over and above - budget < budget - below else below), [0] * len(lengths)
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             at -= part * lengths[i]
