@@ -9,10 +9,10 @@ chi-square quantile 1 - TAIL is rejected.
 
 One step is one aggregation: rows are added up by (group, bin of squared distance), combined before
 the shuffle, and running sums over the bins give the estimate of the nearest rows; no task holds a
-group. Groups of fewer than MIN_ROWS rows are pooled by language, and those again over all.
+group. A group of fewer than MIN_ROWS rows is judged by the estimate of its language, or of all.
 
 Defined results: a null or empty text has no words, so base_failed; null language or source is a
-group of its own; a pool of fewer than MIN_ROWS rows rejects nothing; equal texts of one group get
+group of its own; an estimate of fewer than MIN_ROWS rows rejects nothing; equal texts of one group get
 equal verdicts; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -124,18 +124,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bounded(df, BROADCAST_ROWS) else df
 
 
-def grouped(rows: DataFrame, by: tuple[str, str]) -> DataFrame:
-    """rows with g0, g1 (text) and level: their own group, or the pool it falls to."""
-    a, b = (F.col(f"`{c}`").cast("string") for c in by)
-    rows = rows.withColumns({"g0": a, "g1": b})
-    sizes = written(rows.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n")), "rules-groups")
-    little = sizes.where(F.col("n") < MIN_ROWS)
-    pool = F.sum("n").over(Window.partitionBy("g0"))
-    little = little.select(F.col("g0").alias("k0"), F.col("g1").alias("k1"), F.when(pool >= MIN_ROWS, 1).otherwise(2).alias("level"))
-    little = written(little, "rules-pools")
-    out = rows.join(small(little), rows.g0.eqNullSafe(F.col("k0")) & rows.g1.eqNullSafe(F.col("k1")), "left").drop("k0", "k1")
-    level = F.coalesce("level", F.lit(0))
-    return out.withColumns({"level": level, "g0": F.when(level < 2, F.col("g0")), "g1": F.when(level < 1, F.col("g1"))})
+def grouped(rows: DataFrame, by: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """rows with level, g0, g1 (their own group, or the pool they fall to), and the rows that shape each estimate.
+
+    Sizes are of rows that pass the base rules. A pool holds all such rows of its language, or all.
+    """
+    rows = rows.withColumns({"o0": F.col(f"`{by[0]}`").cast("string"), "o1": F.col(f"`{by[1]}`").cast("string")}).drop(*by)
+    passing = rows.where(~F.col("base_failed"))
+    sizes = passing.groupBy("o0", "o1").agg(F.count(F.lit(1)).alias("n"))
+    pool = F.sum("n").over(Window.partitionBy("o0"))
+    sizes = sizes.select("o0", "o1", "n", F.when(F.col("n") >= MIN_ROWS, 0).when(pool >= MIN_ROWS, 1).otherwise(2).alias("level"))
+    little = written(sizes.where("level > 0").select(F.col("o0").alias("k0"), F.col("o1").alias("k1"), "level"), "rules-pools")
+
+    def at(frame: DataFrame, level: Column) -> DataFrame:
+        return frame.withColumns({"level": level, "g0": F.when(level < 2, F.col("o0")), "g1": F.when(level < 1, F.col("o1"))})
+
+    out = rows.join(small(little), rows.o0.eqNullSafe(F.col("k0")) & rows.o1.eqNullSafe(F.col("k1")), "left").drop("k0", "k1")
+    out = at(out, F.coalesce("level", F.lit(0)))
+    shaping = out.where((F.col("level") == 0) & ~F.col("base_failed"))
+    pools = little.where("level = 1").select("k0").distinct()
+    shaping = shaping.unionByName(at(passing.join(small(pools), passing.o0.eqNullSafe(F.col("k0"))).drop("k0"), F.lit(1)))
+    if little.where("level = 2").limit(1).count():
+        shaping = shaping.unionByName(at(passing, F.lit(2)))
+    return out, shaping
 
 
 GROUP = ["level", "g0", "g1"]
@@ -182,10 +193,11 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
     rows = written(rows, "rules-counts")
     rows = rows.withColumns({f"x{i}": x for i, x in enumerate(statistics())})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = written(grouped(rows.withColumn("base_failed", failed), ("by0", "by1")), "rules-statistics")
+    rows = written(rows.withColumn("base_failed", failed), "rules-statistics")
+    rows, shaping = grouped(rows, ("by0", "by1"))
     # Estimates are of rows that pass the base rules, so that whole pages of junk don't shape them.
-    found = estimate(rows.where(~F.col("base_failed")))
-    enough = written(rows.where(~F.col("base_failed")).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")), "rules-enough")
+    found = estimate(shaping)
+    enough = written(shaping.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows")), "rules-enough")
     found = written(with_estimates(enough, found), "rules-final")
     other = found.withColumnsRenamed({c: f"k_{c}" for c in GROUP})
     on = [rows[c].eqNullSafe(F.col(f"k_{c}")) for c in GROUP]
