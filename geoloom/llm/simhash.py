@@ -12,7 +12,7 @@ A dense cell (many variants of one text) is not joined with itself in full. Each
 compared with its cell's pivot; those links join most of a dense cell into one component, and only
 members of different components are joined afterwards. That loses no component: a pair is left out
 only if a path already joins it. Components are found by alternating large-star and small-star
-steps on the links. Fingerprints, links and components stay distributed.
+steps on the links, the last FEW links by one task. Fingerprints, links and components stay distributed.
 
 Defined results: a null or empty text has fingerprint zero and links as any other; repeated rows
 have equal fingerprints and so one component; an empty table gives an empty table; other columns are
@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, documents, dropped, release, small_batches, texts, written
+from geoloom.llm.common import batches, bounded, documents, dropped, release, small_batches, texts, written
 
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 BLOCKS = 6
 BATCH_BYTES = 4 << 20
+#: Links that one task joins up by itself.
+FEW = 200_000
 #: Bounds of the sub-grids in 2-bit segments.
 BOUNDS = [round(32 * i / BLOCKS) for i in range(BLOCKS + 1)]
 LANES = np.uint64(0x0101010101010101)
@@ -118,13 +120,14 @@ def close(a: Column, b: Column, distance: int) -> Column:
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """node, root (the smallest node that links lead to) for every node of links (a, b: longs).
 
-    Alternating large-star and small-star steps (every neighbour to the smallest one) until no link
-    changes: O(log^2 n) rounds; each round's links are written, since they are read twice and must
-    outlive executors. A hub's neighbours meet in a plain join and a map-side aggregated minimum.
+    Alternating large-star and small-star steps (every neighbour to the smallest one) shorten the
+    links until no link changes, in O(log^2 n) rounds; each round's links are written, since they
+    are read twice and must outlive executors. A hub's neighbours meet in a plain join and a map-side
+    aggregated minimum. As soon as at most FEW links are left one task ends it by union-find.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     mark = None
-    while True:
+    while not bounded(links, FEW):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -136,8 +139,26 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         links, last = new, mark
         mark = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == last:
-            break
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return links.coalesce(1).mapInArrow(joined_up, "node long, root long")
+
+
+def joined_up(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of a few links (u, v), by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in found:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["node", "root"])
 
 
 def linked(nodes: DataFrame, cells_of: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame:
