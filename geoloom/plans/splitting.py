@@ -117,7 +117,7 @@ QUERIES = {
     "p4_sizes": (p4_sizes, sql("SELECT stratum, n, CAST(ceil(n * 0.2e0) AS BIGINT) AS test, CAST(ceil((n - ceil(n * 0.2e0)) * 0.1e0) AS BIGINT) AS val FROM (SELECT stratum, count(*) AS n FROM patches GROUP BY stratum)", ANCHORS, _PATCHES)),
     "p5_assigned": (p5_assigned, _recursive("SELECT g AS \"group\", split FROM fold WHERE k > 0", ANCHORS, _PATCHES, _fold("stratum"))),
     "p6_overlapping": (p6_overlapping, sql("SELECT id FROM patches p WHERE id % 4 <> 0 AND " + _NEAR.format(held="(SELECT * FROM patches WHERE id % 12 = 0)"), ANCHORS, _PATCHES)),
-    "p7_default_block": (p7_default_block, sql(f"SELECT CAST(greatest({PATCH}, least({4 * PATCH}, floor(sqrt((max(\"row\") + {PATCH}) * (max(col) + {PATCH}) / 10e0)) // {PATCH} * {PATCH})) AS BIGINT) AS block FROM patches", ANCHORS, _PATCHES)),
+    "p7_default_block": (p7_default_block, sql(f"SELECT CAST(greatest({PATCH}, least({4 * PATCH}, floor(floor(sqrt((max(\"row\") + {PATCH}) * (max(col) + {PATCH}) / 10e0)) / {PATCH}) * {PATCH})) AS BIGINT) AS block FROM patches", ANCHORS, _PATCHES)),
     "p8_spatial_split": (p8_spatial_split, _recursive(f"SELECT id, \"row\", col, CASE WHEN split = 'val' AND {_NEAR.format(held='tests')} THEN 'dropped' WHEN split = 'train' AND ({_NEAR.format(held='tests')} OR {_NEAR.format(held='vals')}) THEN 'dropped' ELSE split END AS split FROM split p", ANCHORS, _PATCHES, _fold(_BLOCK), f"split AS (SELECT id, \"row\", col, split FROM patches JOIN fold ON g = {_BLOCK} AND k > 0)", "tests AS (SELECT * FROM split WHERE split = 'test')", f"vals AS (SELECT * FROM split p WHERE split = 'val' AND NOT {_NEAR.format(held='tests')})")),
     "p9_region_split": (p9_region_split, _recursive("SELECT id, split FROM patches JOIN fold ON g = stratum AND k > 0", ANCHORS, _PATCHES, _fold("stratum"))),
     "p10_stratified_split": (p10_stratified_split, sql(f"SELECT id, {_SPLIT} AS split FROM ranked", ANCHORS, _PATCHES, _RANK.format(by="PARTITION BY stratum", seed=42))),

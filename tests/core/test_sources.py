@@ -239,7 +239,10 @@ def test_streams(spark, tmp_path):
     got = {(r.start.minute, r.source): (r.failed, r.total, r.stop) for r in spark.table("failures").collect()}
     assert got == {(m, s): (3, 15, True) for m in (0, 30) for s in ("s0", "s1")}
     batch = spark.read.parquet(f"{tmp_path}/log")
-    assert jobs.unique_anchors(batch, ["source"]).count() == 2
+    once = jobs.unique_anchors(stream, ["source"]).writeStream.outputMode("append").format("memory").queryName("once").start()
+    once.processAllAvailable()
+    once.stop()
+    assert spark.table("once").count() == 2
     jobs.append_once(batch, 1, f"{tmp_path}/sink")
     jobs.append_once(batch, 1, f"{tmp_path}/sink")
     assert spark.read.parquet(f"{tmp_path}/sink").count() == len(rows)
