@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -35,11 +36,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as its result is there: disks hold one step's shuffles at a time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, outlives executors and is computed once."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with cleared(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bounded, documents, joined, release, small_batches, texts, written
+from geoloom.llm.common import batches, bounded, cleared, documents, joined, release, small_batches, texts, written
 
 LENGTH = 50
-SEED = 16
+SEED = 20
 REACH = LENGTH - SEED + 1
 SHALLOW = 16
 BITMAP_BITS = 27
@@ -44,7 +44,7 @@ BROADCAST_ROWS = 500_000
 PIECE_BYTES = 1 << 17
 #: Rows of anchors sorted at a time, and more where one anchor has more.
 BLOCK_ROWS = 1 << 16
-LEFT, RIGHT = 40, 56  # bytes kept before and from an anchor on, in whole eight-byte characters
+LEFT, RIGHT = 32, 56  # bytes kept before and from an anchor on, in whole eight-byte characters
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,8 +68,9 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = np.ndarray((n + SEED,), "<u8", buffer, 0, (1,)).copy()
     h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += words[8 : 8 + n] * np.uint64(0xD6E8FEB86659FD93)
+    for at, factor in ((8, 0xD6E8FEB86659FD93), (SEED - 8, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(29)
+        h += words[at : at + n] * np.uint64(factor)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(31)
@@ -290,7 +291,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     marks = single.select("key", "text").mapInArrow(mark, "h long, key long")
     several = marks.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
     slot = f"shiftrightunsigned(h, {64 - BITMAP_BITS})"
-    words = several.groupBy(F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias("bits")).toPandas()
+    with cleared(spark):
+        words = several.groupBy(F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[words.word.to_numpy()] = words.bits.to_numpy()
     shared_bits = spark.sparkContext.broadcast(bitmap.view(np.uint64))
