@@ -44,18 +44,18 @@ BOUNDS = [round(32 * i / BLOCKS) for i in range(BLOCKS + 1)]
 LANES = np.uint64(0x0101010101010101)
 
 
-def majority(hashes: list[int]) -> int:
-    """The bits set in over half of the hashes."""
-    n = len(hashes)
-    h = np.array(hashes, np.uint64)
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes [k, n] the bits set in over half of them, as uint64 [k]."""
+    k, n = hashes.shape
     rows = -(-n // 255)
-    h = np.append(h, np.zeros(rows * 255 - n, np.uint64)).reshape(rows, 255)
-    out = 0
+    h = np.zeros((k, rows * 255), np.uint64)
+    h[:, :n] = hashes
+    h = h.reshape(k, rows, 255)
+    out = np.zeros(k, np.uint64)
     for bit in range(8):  # a byte-wide counter for each of eight bits at once, 255 hashes at a time
-        lanes = ((h >> np.uint64(bit)) & LANES).sum(1, dtype=np.uint64)
-        counts = lanes.view(np.uint8).reshape(rows, 8).sum(0, dtype=np.int64)
-        for byte in np.flatnonzero(2 * counts > n).tolist():
-            out |= 1 << (8 * byte + bit)
+        lanes = ((h >> np.uint64(bit)) & LANES).sum(2, dtype=np.uint64)
+        counts = lanes.view(np.uint8).reshape(k, rows, 8).sum(1, dtype=np.int64)
+        out |= ((2 * counts > n).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))).sum(1, dtype=np.uint64)
     return out
 
 
@@ -69,7 +69,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    return majority([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)])
+    return int(majorities(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)[None])[0])
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -199,24 +199,23 @@ COMPARED = 4
 #: Two sets of Jaccard similarity 0.8 have a cosine of 0.89 and differ in 15.2 % of their fingerprints' bits.
 SIMILAR_BITS = 40
 SLICE = 21
+#: What the shingles' hashes are mixed with for each fingerprint.
+MIXERS = np.arange(1, 2 * WIDE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
     """WIDE fingerprints of the distinct shingles, each from the hashes mixed with another constant."""
     words = text.lower().split()
     if not words:
-        return [0] * WIDE
+        return np.zeros(WIDE, np.uint64)
     line = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
     h = np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
-    out = []
-    for k in range(WIDE):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(29))))
-    return out
+    x = (h[None] ^ MIXERS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return majorities(x ^ (x >> np.uint64(29)))
 
 
 def slices(nodes: DataFrame) -> DataFrame:
