@@ -95,7 +95,7 @@ def t24_wrapped(spark, sf_dir) -> DataFrame:
 def l17_shared_classes(spark, sf_dir) -> DataFrame:
     """One numbering for the labels of two sets."""
     orders = table(spark, sf_dir, "orders")
-    both = orders.where("o_orderkey % 2 = 0").select(c("o_orderpriority").alias("label")).unionByName(table(spark, sf_dir, "customer").select(c("c_mktsegment").alias("label")))
+    both = orders.select(c("o_orderpriority").alias("label")).unionByName(table(spark, sf_dir, "customer").select(c("c_mktsegment").alias("label")))
     return C.class_ids(both, "label")
 
 
@@ -131,9 +131,9 @@ def s8_failures(spark, sf_dir) -> DataFrame:
 
 
 def s9_placeholders(spark, sf_dir) -> DataFrame:
-    """Pages equal to a known placeholder by size and digest: here the page with the least id of each host of few."""
+    """Pages equal to a known placeholder by size and digest: here the short ones."""
     pages = table(spark, sf_dir, "pages").withColumns({"size": F.octet_length("html"), "sha": F.sha2(c("html").cast("binary"), 256)})
-    known = pages.where("page_id % 25 = 0").select("size", "sha").distinct()
+    known = pages.where("size < 1500").select("size", "sha").distinct()
     return pages.join(known, ["size", "sha"], "left_semi").select("page_id")
 
 
@@ -249,7 +249,7 @@ def a7_random(spark, sf_dir) -> DataFrame:
 
 
 def a16_clusters(spark, sf_dir) -> DataFrame:
-    df = anchors(spark, sf_dir).where("col % 576 < 200").select("id", "col")
+    df = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), ((c("s_suppkey") * 97) % 3400 * 10).alias("col"))
     return A.column_clusters(df, PATCH).select("id", c("cluster").cast("bigint").alias("cluster"))
 
 
@@ -265,8 +265,8 @@ def a20_remaining(spark, sf_dir) -> DataFrame:
 
 def a22_broken_chunk(spark, sf_dir) -> DataFrame:
     """Patches to keep after a break: those of chunks before the first broken patch's."""
-    df = anchors(spark, sf_dir).select("id", F.floor(c("row") / 512).alias("chunk"), c("p_size"))
-    broken = df.where("p_size = 7 and id % 100 > 20 and id > 900").agg(F.min("chunk").alias("broken"))
+    df = anchors(spark, sf_dir).select("id", F.floor(c("row") / 512).alias("chunk"), "p_size", "p_brand")
+    broken = df.where("p_size = 7 and p_brand = 'Brand#33'").agg(F.min("chunk").alias("broken"))
     return df.crossJoin(F.broadcast(broken)).where("broken is null or chunk < broken").select("id", "chunk")
 
 
@@ -300,13 +300,13 @@ def w9_yolo(spark, sf_dir) -> DataFrame:
 
 
 def w10_yolo_indices(spark, sf_dir) -> DataFrame:
-    found = labels(spark, sf_dir).where("class_id % 2 = 1").select("class_id").distinct()
+    found = labels(spark, sf_dir).where("class_name <> 'BUILDING'").select("class_id").distinct()
     return found.select("class_id", (F.row_number().over(Window.orderBy("class_id")) - 1).cast("bigint").alias("index"))
 
 
 def w13_class_table(spark, sf_dir) -> DataFrame:
     found = objects(spark, sf_dir).groupBy(c("patch").alias("image")).agg(F.sort_array(F.collect_set("class_id")).alias("class_ids"))
-    splits = P.random_split(patches(spark, sf_dir), "patch").where("patch % 5 <> 0").select(c("patch").alias("image"), "split")
+    splits = P.random_split(patches(spark, sf_dir), "patch").where("split <> 'val'").select(c("patch").alias("image"), "split")
     names = features(spark, sf_dir).select("class_id", c("class_name").alias("name")).distinct()
     return E.class_table(found, splits, names)
 
@@ -322,7 +322,7 @@ def w18_shards(spark, sf_dir) -> DataFrame:
 
 def w21_split_codes(spark, sf_dir) -> DataFrame:
     df = P.random_split(patches(spark, sf_dir), "patch")
-    return df.select("patch", E.split_code(F.when(c("patch") % 5 != 0, c("split"))).alias("code"))
+    return df.select("patch", E.split_code(F.when(c("row") < 2000, c("split"))).alias("code"))
 
 
 def w23_manifest(spark, sf_dir) -> DataFrame:
@@ -337,7 +337,7 @@ def w30_strides(spark, sf_dir) -> DataFrame:
 def i1_verified(spark, sf_dir) -> DataFrame:
     """Listed files that are missing, and files that aren't listed."""
     listed = anchors(spark, sf_dir).select("id")
-    there = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("id")).where("id % 29 <> 0").distinct().unionByName(spark.range(5).select((c("id") + 10_000_000).alias("id")))
+    there = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_discount > 0.07").select(c("l_partkey").alias("id")).distinct().unionByName(spark.range(5).select((c("id") + 10_000_000).alias("id")))
     missing = listed.join(there, "id", "left_anti").select("id", F.lit("missing").alias("problem"))
     return missing.unionByName(there.join(listed, "id", "left_anti").select("id", F.lit("unlisted").alias("problem")))
 
@@ -396,14 +396,14 @@ QUERIES = {
     "l4_skipped": (l4_skipped, sql("SELECT count(*) FILTER (WHERE label IS NULL) AS without, count(*) FILTER (WHERE label IS NOT NULL AND try_cast(label AS DOUBLE) IS NULL) AS text, count(*) AS features FROM clean", RAW, CLEAN)),
     "l5_invalid": (l5_invalid, sql("SELECT id, bool_or(abs(y) > 90) AS invalid FROM corners GROUP BY id", _CORNERS)),
     "l15_bounds": (l15_bounds, sql("SELECT id, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM corners GROUP BY id", _CORNERS)),
-    "l17_shared_classes": (l17_shared_classes, "SELECT label, row_number() OVER (ORDER BY label) AS class_id FROM (SELECT o_orderpriority AS label FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT c_mktsegment FROM customer)"),
+    "l17_shared_classes": (l17_shared_classes, "SELECT label, row_number() OVER (ORDER BY label) AS class_id FROM (SELECT o_orderpriority AS label FROM orders UNION SELECT c_mktsegment FROM customer)"),
     "l21_closest_name": (l21_closest_name, "SELECT name, known FROM (SELECT DISTINCT substr(n_name, 2, 20) || 'X' AS name FROM nation), (SELECT n_name AS known FROM nation) QUALIFY row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, known), known) = 1"),
     "t24_wrapped": (t24_wrapped, sql("SELECT id, CASE WHEN hi <= 180 THEN lo WHEN lo >= 180 THEN lo - 360 WHEN jump THEN mlo END AS west, CASE WHEN hi <= 180 THEN hi WHEN lo >= 180 THEN hi - 360 WHEN jump THEN mhi END AS east FROM (SELECT id, min(x) AS lo, max(x) AS hi, min(m) AS mlo, max(m) AS mhi, bool_or(d > 180 AND d < 360) AS jump FROM (SELECT id, x, CASE WHEN x > 180 THEN x - 360 ELSE x END AS m, abs(x - lag(x) OVER (PARTITION BY id ORDER BY i)) AS d FROM corners) GROUP BY id)", _CORNERS)),
     "t25_jumps": (t25_jumps, sql("SELECT id, bool_or(coalesce(d > 180 AND d < 360, false)) AS jumps FROM (SELECT id, abs(x - lag(x) OVER (PARTITION BY id ORDER BY i)) AS d FROM corners) GROUP BY id", _CORNERS)),
     "s5_failed_ratio": (s5_failed_ratio, "SELECT user_id, count(*) FILTER (WHERE value > 250) AS failed, count(*) AS total FROM events GROUP BY user_id HAVING failed / total > 0.02"),
     "s7_image_kinds": (s7_image_kinds, "SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' END AS kind FROM supplier"),
     "s8_failures": (s8_failures, "SELECT event_type, n, example, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n, min(event_id) AS example FROM events WHERE value > 300 GROUP BY event_type)"),
-    "s9_placeholders": (s9_placeholders, "SELECT page_id FROM pages WHERE sha256(html) IN (SELECT sha256(html) FROM pages WHERE page_id % 25 = 0)"),
+    "s9_placeholders": (s9_placeholders, "SELECT page_id FROM pages WHERE sha256(html) IN (SELECT sha256(html) FROM pages WHERE strlen(html) < 1500)"),
     "s14_urls": (s14_urls, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'https://a.example/' || s_suppkey % 19 || '/' || s_suppkey * 3 || '/' || s_suppkey * 5 || '.png' ELSE 'https://b.example/tile?x=' || s_suppkey * 3 || '&y=' || s_suppkey * 5 || '&z=' || s_suppkey % 19 END AS url FROM supplier"),
     "s15_wanted_tiles": (s15_wanted_tiles, sql("SELECT id FROM fresh WHERE seconds IS NULL OR seconds <= 300", RESPONSES, FRESH)),
     "s16_freshness": (s16_freshness, sql("SELECT id, seconds FROM fresh", RESPONSES, FRESH)),
@@ -422,22 +422,22 @@ QUERIES = {
     "a4_grid_counts": (a4_grid_counts, sql(f"SELECT id, {_PAD.format(n='height')} * {_PAD.format(n='width')} AS n FROM rasters", RASTERS)),
     "a6_random_capacity": (a6_random_capacity, sql("SELECT id, CASE WHEN height >= 64 AND width >= 64 THEN (height - 63) * (width - 63) ELSE 0 END AS n_drop, greatest(height - 63, 1) * greatest(width - 63, 1) AS n_pad FROM rasters", RASTERS)),
     "a7_random": (a7_random, None),
-    "a16_clusters": (a16_clusters, sql("SELECT id, cluster FROM anchors JOIN (SELECT col, CAST(sum(s) OVER (ORDER BY col) AS BIGINT) AS cluster FROM (SELECT col, CASE WHEN col - lag(col) OVER (ORDER BY col) > 128 THEN 1 ELSE 0 END AS s FROM (SELECT DISTINCT col FROM anchors WHERE col % 576 < 200))) USING (col)", ANCHORS)),
+    "a16_clusters": (a16_clusters, sql("SELECT id, cluster FROM places JOIN (SELECT col, CAST(sum(s) OVER (ORDER BY col) AS BIGINT) AS cluster FROM (SELECT col, CASE WHEN col - lag(col) OVER (ORDER BY col) > 128 THEN 1 ELSE 0 END AS s FROM (SELECT DISTINCT col FROM places))) USING (col)", "places AS (SELECT s_suppkey AS id, (s_suppkey * 97) % 3400 * 10 AS col FROM supplier)")),
     "a17_chunks": (a17_chunks, sql("SELECT \"row\" // 512 AS chunk, (col - first_col) // 836 AS \"window\", count(*) AS patches, min(id) AS \"first\", max(col) AS last_col FROM (SELECT *, min(col) OVER (PARTITION BY \"row\" // 512) AS first_col FROM anchors) GROUP BY 1, 2", ANCHORS)),
     "a20_remaining": (a20_remaining, sql("SELECT id FROM anchors WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08)", ANCHORS)),
-    "a22_broken_chunk": (a22_broken_chunk, sql("SELECT id, \"row\" // 512 AS chunk FROM anchors WHERE \"row\" // 512 < coalesce((SELECT min(\"row\" // 512) FROM anchors WHERE p_size = 7 AND id % 100 > 20 AND id > 900), 1000000000)", ANCHORS)),
+    "a22_broken_chunk": (a22_broken_chunk, sql("SELECT id, \"row\" // 512 AS chunk FROM anchors WHERE \"row\" // 512 < coalesce((SELECT min(\"row\" // 512) FROM anchors WHERE p_size = 7 AND p_brand = 'Brand#33'), 1000000000)", ANCHORS)),
     "a24_kept": (a24_kept, sql("SELECT CASE WHEN (id * 7) % 101 >= 100 THEN 'no imagery' WHEN (id * 7) % 101 > 90 THEN 'too empty' WHEN (id * 13) % 100 < 10 THEN 'too few labels' ELSE 'kept' END AS what, count(*) AS patches FROM anchors GROUP BY 1", ANCHORS)),
     "m12_plan": (m12_plan, sql(f"SELECT id, n, {_HUMAN} AS size, CASE WHEN n * 1000 < 1000 THEN 'n<1K' WHEN n * 1000 < 10000 THEN '1K<n<10K' WHEN n * 1000 < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END AS category, b > 2.5e8 AS large FROM (SELECT *, n * 64 * 64 * 3e0 * 1000 AS b FROM (SELECT id, {_PAD.format(n='height')} * {_PAD.format(n='width')} AS n FROM rasters))", RASTERS)),
     "w8_coco": (w8_coco, sql("SELECT row_number() OVER (ORDER BY patch, feature) AS id, patch + 1 AS image_id, class_id AS category_id, x, y, w, h, area, truncated FROM objects", ANCHORS, FEATURES, MEET, OBJECTS)),
     "w9_yolo": (w9_yolo, sql("SELECT patch, string_agg(CAST(class_id - 1 AS VARCHAR) || ' ' || " + " || ' ' || ".join(_YOLO.format(v=v) for v in ("(x + w / 2) / 64", "(y + h / 2) / 64", "w / 64", "h / 64")) + ", chr(10) ORDER BY feature) AS text FROM objects GROUP BY patch", ANCHORS, FEATURES, MEET, OBJECTS)),
-    "w10_yolo_indices": (w10_yolo_indices, sql("SELECT class_id, row_number() OVER (ORDER BY class_id) - 1 AS \"index\" FROM (SELECT DISTINCT class_id FROM features WHERE class_id % 2 = 1)", FEATURES)),
-    "w13_class_table": (w13_class_table, sql("SELECT patch AS image, labels, CASE WHEN patch % 5 <> 0 THEN split ELSE '' END AS split FROM (SELECT patch, string_agg(class_name, ' ' ORDER BY class_id) AS labels FROM (SELECT DISTINCT patch, o.class_id, class_name FROM objects o JOIN features f ON f.id = o.feature) GROUP BY patch) JOIN split ON id = patch", ANCHORS, FEATURES, MEET, OBJECTS, _RANDOM)),
+    "w10_yolo_indices": (w10_yolo_indices, sql("SELECT class_id, row_number() OVER (ORDER BY class_id) - 1 AS \"index\" FROM (SELECT DISTINCT class_id FROM features WHERE class_name <> 'BUILDING')", FEATURES)),
+    "w13_class_table": (w13_class_table, sql("SELECT patch AS image, labels, CASE WHEN split <> 'val' THEN split ELSE '' END AS split FROM (SELECT patch, string_agg(class_name, ' ' ORDER BY class_id) AS labels FROM (SELECT DISTINCT patch, o.class_id, class_name FROM objects o JOIN features f ON f.id = o.feature) GROUP BY patch) JOIN split ON id = patch", ANCHORS, FEATURES, MEET, OBJECTS, _RANDOM)),
     "w15_footprints": (w15_footprints, sql("SELECT id AS patch, " + ", ".join(_RING) + " FROM anchors", ANCHORS)),
     "w18_shards": (w18_shards, _FOLD),
-    "w21_split_codes": (w21_split_codes, sql("SELECT id AS patch, CAST(CASE WHEN id % 5 = 0 THEN 255 WHEN split = 'train' THEN 0 WHEN split = 'val' THEN 1 ELSE 2 END AS BIGINT) AS code FROM split", ANCHORS, _RANDOM)),
+    "w21_split_codes": (w21_split_codes, sql("SELECT id AS patch, CAST(CASE WHEN \"row\" >= 2000 THEN 255 WHEN split = 'train' THEN 0 WHEN split = 'val' THEN 1 ELSE 2 END AS BIGINT) AS code FROM split JOIN anchors USING (id)", ANCHORS, _RANDOM)),
     "w23_manifest": (w23_manifest, sql("SELECT id AS patch, '{\"name\":' || id || ',\"row\":' || \"row\" || ',\"col\":' || col || '}' AS line FROM anchors", ANCHORS)),
     "w30_strides": (w30_strides, "SELECT s_suppkey AS id, greatest(1, CAST(round_even((s_suppkey % 60 + 4) * (1 - (s_suppkey % 5) / 8e0), 0) AS BIGINT)) AS stride FROM supplier"),
-    "i1_verified": (i1_verified, sql("SELECT id, 'missing' AS problem FROM anchors WHERE id % 29 = 0 OR id NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'unlisted' FROM lineitem WHERE l_partkey % 29 <> 0 AND l_partkey NOT IN (SELECT id FROM anchors) UNION ALL SELECT 10000000 + range, 'unlisted' FROM range(5)", ANCHORS)),
+    "i1_verified": (i1_verified, sql("SELECT id, 'missing' AS problem FROM anchors WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.07) UNION ALL SELECT DISTINCT l_partkey, 'unlisted' FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.07 AND l_partkey NOT IN (SELECT id FROM anchors) UNION ALL SELECT 10000000 + range, 'unlisted' FROM range(5)", ANCHORS)),
     "i6_mismatches": (i6_mismatches, "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 10 = 5 THEN 'x,y' WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS fields FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 10 = 5"),
     "i10_outside_paths": (i10_outside_paths, "SELECT s_suppkey AS id, s_suppkey % 8 IN (0, 7) AS inside FROM supplier"),
     "i11_redacted": (i11_redacted, "SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 1) || '://' || regexp_extract(url, '^(https?)://([^/]+)', 2) || '/...' AS host, 'https://h.example/' || page_id || '?key=***&x=***#f' AS shown FROM pages"),

@@ -230,8 +230,8 @@ def w25_checksums(spark, sf_dir) -> DataFrame:
 
 def i4_mask_check(spark, sf_dir) -> DataFrame:
     """Patches whose recorded histogram isn't that of their mask."""
-    real = R.histogram(pixels(spark, sf_dir), ["id"])
-    noted = real.withColumn("pixels", c("pixels") + F.when((c("id") % 50 == 0) & (c("class_id") == 1), 1).otherwise(0))
+    real = R.histogram(pixels(spark, sf_dir), ["id", "label"])
+    noted = real.withColumn("pixels", c("pixels") + F.when((c("label") == 3) & (c("class_id") == 1), 1).otherwise(0)).drop("label")
     both = real.alias("a").join(noted.alias("b"), ["id", "class_id"], "full")
     return both.where(~c("a.pixels").eqNullSafe(c("b.pixels"))).select("id").distinct()
 
@@ -295,7 +295,7 @@ QUERIES = {
     "w16_by_split": (w16_by_split, sql("SELECT split, count(*) AS \"rows\", min(id) AS \"first\", CAST(sum(id) AS BIGINT) AS ids FROM split GROUP BY split", ANCHORS, _SPLIT_OF.format(by="PARTITION BY p_brand", rows="anchors"))),
     "w19_sample_json": (w19_sample_json, sql("SELECT id AS patch, '{\"col\":' || col || ',\"name\":' || id || ',\"row\":' || \"row\" || ',\"split\":\"' || split || '\"}' AS json FROM anchors JOIN split USING (id)", ANCHORS, _SPLIT_OF.format(by="", rows="anchors"))),
     "w25_checksums": (w25_checksums, "SELECT doc_id, sha256(text) || '  docs/' || doc_id AS line FROM documents"),
-    "i4_mask_check": (i4_mask_check, sql("SELECT DISTINCT id FROM pixels WHERE id % 50 = 0 AND class_id = 1", PIXELS)),
+    "i4_mask_check": (i4_mask_check, sql("SELECT DISTINCT id FROM pixels WHERE label = 3 AND class_id = 1", PIXELS)),
     "i8_upgraded": (i8_upgraded, "SELECT p_partkey AS id, p_size + p_partkey % 60 AS pixels, CASE WHEN p_partkey % 60 > p_size THEN '3' ELSE '0' END AS leading FROM part"),
     "d16_stacks": (d16_stacks, "SELECT l_partkey AS pixel, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_shipdate, l_orderkey, l_linenumber) AS stack FROM lineitem WHERE l_discount > 0.05 GROUP BY l_partkey"),
     "s58_loaded": (s58_loaded, sql("SELECT id, round(avg((v - (SELECT avg(v) FROM pixels)) / (SELECT stddev_pop(v) FROM pixels)), 7) AS mean FROM pixels WHERE id IN (SELECT id FROM split WHERE split = 'val') GROUP BY id", PIXELS, _SPLIT_OF.format(by="", rows="(SELECT DISTINCT id FROM pixels)"))),

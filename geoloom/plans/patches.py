@@ -22,11 +22,11 @@ def labels(spark, sf_dir) -> DataFrame:
 
 
 def areas(spark, sf_dir) -> DataFrame:
-    """Larger boxes with a name, as areas of interest: some customers, named by nation."""
-    return labels(spark, sf_dir).join(table(spark, sf_dir, "customer").select(c("c_custkey").alias("feature"), "c_nationkey"), "feature").select("feature", F.concat(F.lit("n"), (c("c_nationkey") % 7).cast("string")).alias("name"), "r0", (c("r1") + 30).alias("r1"), "c0", (c("c1") + 40).alias("c1")).where("feature % 9 = 0")
+    """Larger boxes with a name, as areas of interest: customers with the highest balances, named by nation."""
+    return labels(spark, sf_dir).join(table(spark, sf_dir, "customer").where("c_acctbal > 8800").select(c("c_custkey").alias("feature"), "c_nationkey"), "feature").select("feature", F.concat(F.lit("n"), (c("c_nationkey") % 7).cast("string")).alias("name"), "r0", (c("r1") + 30).alias("r1"), "c0", (c("c1") + 40).alias("c1"))
 
 
-AREAS = "areas AS (SELECT id AS feature, 'n' || CAST(c_nationkey % 7 AS VARCHAR) AS name, r0, r1 + 30 AS r1, c0, c1 + 40 AS c1 FROM features JOIN customer ON c_custkey = id WHERE id % 9 = 0)"
+AREAS = "areas AS (SELECT id AS feature, 'n' || CAST(c_nationkey % 7 AS VARCHAR) AS name, r0, r1 + 30 AS r1, c0, c1 + 40 AS c1 FROM features JOIN customer ON c_custkey = id WHERE c_acctbal > 8800)"
 MEET = f"meet AS (SELECT a.id AS patch, f.id AS feature, f.class_id, a.\"row\" AS ar, a.col AS ac, greatest(a.\"row\", f.r0) AS v0, least(a.\"row\" + {PATCH}, f.r1) AS v1, greatest(a.col, f.c0) AS h0, least(a.col + {PATCH}, f.c1) AS h1, (f.r1 - f.r0) * (f.c1 - f.c0) AS area_all FROM anchors a JOIN features f ON f.r0 < a.\"row\" + {PATCH} AND f.r1 > a.\"row\" AND f.c0 < a.col + {PATCH} AND f.c1 > a.col)"
 BURNED = "burned AS (SELECT r, c, arg_max(class_id, id) AS class_id, max(id) AS feature FROM (SELECT id, class_id, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM features)) GROUP BY r, c)"
 IN_PATCH = f"inpatch AS (SELECT a.id AS patch, b.* FROM (SELECT *, r // {PATCH} AS k FROM burned) b JOIN anchors a ON b.k = a.\"row\" // {PATCH} AND b.c >= a.col AND b.c < a.col + {PATCH})"
@@ -124,9 +124,9 @@ def g10_classes(spark, sf_dir) -> DataFrame:
 
 
 def g12_change(spark, sf_dir) -> DataFrame:
-    """Odd features before, even ones after: changed and equal pixels by row."""
+    """Two classes before, the others after: changed and equal pixels by row."""
     all_ = labels(spark, sf_dir)
-    found = G.changed(S.burned(all_.where("feature % 2 = 1")), S.burned(all_.where("feature % 2 = 0")))
+    found = G.changed(S.burned(all_.where("class_id <= 2")), S.burned(all_.where("class_id > 2")))
     return found.groupBy("r").agg(F.count_if("changed").alias("changed"), F.count_if(~c("changed")).alias("same"))
 
 
@@ -187,7 +187,7 @@ QUERIES = {
     "g8_instances": (g8_instances, sql(f"SELECT patch, feature, class_id, h0 - ac AS x, v0 - ar AS y, h1 - h0 AS w, v1 - v0 AS h, (v1 - v0) * (h1 - h0) AS area, (v1 - v0) * (h1 - h0) < area_all AS truncated FROM meet WHERE {_SHARE} AND (v1 - v0) * (h1 - h0) >= 4", ANCHORS, FEATURES, MEET)),
     "g8_instance_ids": (g8_instance_ids, sql("SELECT patch, feature, count(*) AS pixels FROM inpatch GROUP BY ALL", ANCHORS, FEATURES, BURNED, IN_PATCH)),
     "g10_classes": (g10_classes, sql("SELECT id AS patch, coalesce(single, 0) AS single, coalesce(multi, '0') AS multi FROM anchors LEFT JOIN (SELECT patch, arg_max(class_id, pixels * 1000 - class_id) AS single, string_agg(CAST(class_id AS VARCHAR), ' ' ORDER BY class_id) AS multi FROM (SELECT *, pixels / sum(pixels) OVER (PARTITION BY patch) AS s FROM counts) WHERE class_id <> 0 AND s >= 0.02e0 GROUP BY patch) ON id = patch", ANCHORS, FEATURES, BURNED, IN_PATCH, COUNTS)),
-    "g12_change": (g12_change, sql("SELECT r, count(*) FILTER (WHERE coalesce(a, 0) <> coalesce(b, 0)) AS changed, count(*) FILTER (WHERE coalesce(a, 0) = coalesce(b, 0)) AS same FROM (SELECT r, c, arg_max(class_id, id) FILTER (WHERE id % 2 = 1) AS a, arg_max(class_id, id) FILTER (WHERE id % 2 = 0) AS b FROM (SELECT id, class_id, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM features)) GROUP BY r, c) GROUP BY r", FEATURES)),
+    "g12_change": (g12_change, sql("SELECT r, count(*) FILTER (WHERE coalesce(a, 0) <> coalesce(b, 0)) AS changed, count(*) FILTER (WHERE coalesce(a, 0) = coalesce(b, 0)) AS same FROM (SELECT r, c, arg_max(class_id, id) FILTER (WHERE class_id <= 2) AS a, arg_max(class_id, id) FILTER (WHERE class_id > 2) AS b FROM (SELECT id, class_id, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM features)) GROUP BY r, c) GROUP BY r", FEATURES)),
     "g18_class_pixels": (g18_class_pixels, sql("SELECT patch, class_id, pixels FROM counts", ANCHORS, FEATURES, BURNED, IN_PATCH, COUNTS)),
     "g21_object_counts": (g21_object_counts, sql(f"SELECT patch, class_id, count(*) AS objects FROM meet WHERE {_SHARE} AND v1 - v0 >= 2 AND h1 - h0 >= 2 GROUP BY ALL", ANCHORS, FEATURES, MEET)),
     "m11_label_summary": (m11_label_summary, sql("SELECT class_name, count(*) AS features, count(*) FILTER (WHERE r0 < 1300 AND r1 > 200 AND c0 < 1800 AND c1 > 300) AS in_region FROM features GROUP BY class_name", FEATURES)),

@@ -19,8 +19,9 @@ def patches(spark, sf_dir) -> DataFrame:
 
 
 def p2_entry_class(spark, sf_dir) -> DataFrame:
-    rows = pixels(spark, sf_dir).where("id % 10 <> 3 or class_id = 0").groupBy("id").agg(F.bool_or(c("class_id") == 0).alias("bg"), F.bool_or(c("class_id") != 0).alias("fg"), F.avg((c("v") <= 0).cast("double")).alias("e"))
-    return rows.select("id", P.entry_class(c("bg"), c("fg"), c("e")).alias("class"))
+    """Each row of pixels as an entry."""
+    rows = pixels(spark, sf_dir).groupBy("id", "r").agg(F.bool_or(c("class_id") == 0).alias("bg"), F.bool_or(c("class_id") != 0).alias("fg"), F.avg((c("v") <= 0).cast("double")).alias("e"))
+    return rows.select("id", "r", P.entry_class(c("bg"), c("fg"), c("e")).alias("class"))
 
 
 def p3_stratum(spark, sf_dir) -> DataFrame:
@@ -41,7 +42,7 @@ def p5_assigned(spark, sf_dir) -> DataFrame:
 
 def p6_overlapping(spark, sf_dir) -> DataFrame:
     df = patches(spark, sf_dir)
-    return P.overlapping(df.where("id % 4 <> 0"), df.where("id % 4 = 0 and id % 3 = 0"), PATCH).select("id")
+    return P.overlapping(df.where("stratum <> 'Brand#12'"), df.where("stratum = 'Brand#12'"), PATCH).select("id")
 
 
 def p7_default_block(spark, sf_dir) -> DataFrame:
@@ -112,11 +113,11 @@ _BLOCK = f"CAST(\"row\" // {BLOCK} AS VARCHAR) || '_' || CAST(col // {BLOCK} AS
 _NEAR = "EXISTS (SELECT 1 FROM {held} h WHERE abs(h.\"row\" - p.\"row\") < 64 AND abs(h.col - p.col) < 64)"
 
 QUERIES = {
-    "p2_entry_class": (p2_entry_class, sql("SELECT id, CAST(CASE WHEN bg AND NOT fg THEN 0 WHEN fg AND NOT bg THEN 1 ELSE 2 END AS BIGINT) AS \"class\" FROM (SELECT id, bool_or(class_id = 0) AS bg, bool_or(class_id <> 0) AS fg FROM pixels WHERE id % 10 <> 3 OR class_id = 0 GROUP BY id)", PIXELS)),
+    "p2_entry_class": (p2_entry_class, sql("SELECT id, r, CAST(CASE WHEN bg AND NOT fg THEN 0 WHEN fg AND NOT bg THEN 1 ELSE 2 END AS BIGINT) AS \"class\" FROM (SELECT id, r, bool_or(class_id = 0) AS bg, bool_or(class_id <> 0) AS fg FROM pixels GROUP BY id, r)", PIXELS)),
     "p3_stratum": (p3_stratum, sql("SELECT id, class_id AS stratum FROM (SELECT id, class_id, count(*) AS n FROM pixels WHERE class_id <> 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, CAST(class_id AS VARCHAR)) = 1", PIXELS)),
     "p4_sizes": (p4_sizes, sql("SELECT stratum, n, CAST(ceil(n * 0.2e0) AS BIGINT) AS test, CAST(ceil((n - ceil(n * 0.2e0)) * 0.1e0) AS BIGINT) AS val FROM (SELECT stratum, count(*) AS n FROM patches GROUP BY stratum)", ANCHORS, _PATCHES)),
     "p5_assigned": (p5_assigned, _recursive("SELECT g AS \"group\", split FROM fold WHERE k > 0", ANCHORS, _PATCHES, _fold("stratum"))),
-    "p6_overlapping": (p6_overlapping, sql("SELECT id FROM patches p WHERE id % 4 <> 0 AND " + _NEAR.format(held="(SELECT * FROM patches WHERE id % 12 = 0)"), ANCHORS, _PATCHES)),
+    "p6_overlapping": (p6_overlapping, sql("SELECT id FROM patches p WHERE stratum <> 'Brand#12' AND " + _NEAR.format(held="(SELECT * FROM patches WHERE stratum = 'Brand#12')"), ANCHORS, _PATCHES)),
     "p7_default_block": (p7_default_block, sql(f"SELECT CAST(greatest({PATCH}, least({4 * PATCH}, floor(floor(sqrt((max(\"row\") + {PATCH}) * (max(col) + {PATCH}) / 10e0)) / {PATCH}) * {PATCH})) AS BIGINT) AS block FROM patches", ANCHORS, _PATCHES)),
     "p8_spatial_split": (p8_spatial_split, _recursive(f"SELECT id, \"row\", col, CASE WHEN split = 'val' AND {_NEAR.format(held='tests')} THEN 'dropped' WHEN split = 'train' AND ({_NEAR.format(held='tests')} OR {_NEAR.format(held='vals')}) THEN 'dropped' ELSE split END AS split FROM split p", ANCHORS, _PATCHES, _fold(_BLOCK), f"split AS (SELECT id, \"row\", col, split FROM patches JOIN fold ON g = {_BLOCK} AND k > 0)", "tests AS (SELECT * FROM split WHERE split = 'test')", f"vals AS (SELECT * FROM split p WHERE split = 'val' AND NOT {_NEAR.format(held='tests')})")),
     "p9_region_split": (p9_region_split, _recursive("SELECT id, split FROM patches JOIN fold ON g = stratum AND k > 0", ANCHORS, _PATCHES, _fold("stratum"))),
