@@ -32,7 +32,7 @@ WINDOW = 5
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; per cent of words
 COVER = 0.75
 STEPS = 4
-TAIL = 1e-8
+TAIL = 5e-5
 MIN_ROWS = 50
 #: Bins of squared distance in each e-fold.
 BINS = 32
