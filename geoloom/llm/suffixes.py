@@ -6,7 +6,8 @@ the SEED-byte strings with the least hash in some run of REACH consecutive place
 LENGTH-byte strings select the same anchors, so every match contains a place where an anchor meets
 its equal. Anchors of more than one document are found by an aggregation on their hashes; a bitmap of
 those, of BITMAP_BITS bits whatever the input, is broadcast and lets a second scan skip most others
-(a false hit costs a row, never a result).
+(a false hit costs a row, never a result). An anchor whose surroundings an earlier document of the same
+task has too is settled there.
 
 The suffixes at anchors, LENGTH bytes long, and the reversed REACH - 1 bytes before them are then
 sorted per anchor by deep-shallow sorting: multikey quicksort by eight-byte characters down to
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,14 @@ SEED = 20
 REACH = LENGTH - SEED + 1
 SHALLOW = 16
 BITMAP_BITS = 27
+#: Bits of the bitmap that one row brings to the driver.
+CHUNK_BITS = 18
 #: Rows of exact copies up to which their keys are broadcast; above, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Bytes of text hashed at a time: the arrays stay in a core's cache.
 PIECE_BYTES = 1 << 17
+#: Surroundings of anchors that a task remembers.
+SEEN = 1 << 19
 #: Rows of anchors sorted at a time, and more where one anchor has more.
 BLOCK_ROWS = 1 << 16
 LEFT, RIGHT = 32, 56  # bytes kept before and from an anchor on, in whole eight-byte characters
@@ -290,38 +296,69 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     marks = single.select("key", "text").mapInArrow(mark, "h long, key long")
     several = marks.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    slot = f"shiftrightunsigned(h, {64 - BITMAP_BITS})"
+    # Low bits choose the place: anchors are least hashes, whose high bits are nearly all 0.
+    chunk = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), CHUNK_BITS).cast("int")
+
+    def fill(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[int, np.ndarray] = {}
+        for batch in found:
+            at, which = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << CHUNK_BITS) - 1), batch.column(1).to_numpy()
+            for c in np.unique(which).tolist():
+                own = at[which == c]
+                np.bitwise_or.at(words.setdefault(c, np.zeros(1 << (CHUNK_BITS - 6), np.uint64)), own >> np.uint64(6), np.uint64(1) << (own & np.uint64(63)))
+        for c, bits in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    bitmap = np.zeros((1 << (BITMAP_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 6)), np.uint64)
     with cleared(spark):
-        words = several.groupBy(F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words.word.to_numpy()] = words.bits.to_numpy()
-    shared_bits = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+        for row in several.select("h", chunk.alias("chunk")).repartition("chunk").mapInArrow(fill, "chunk int, bits binary").collect():  # 16 MB
+            bitmap[row.chunk] = np.frombuffer(row.bits, np.uint64)
+    bitmap = bitmap.reshape(-1)
+    shared_bits = spark.sparkContext.broadcast(bitmap)
     release(spark)
 
     def suffixes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bits.value
+        seen: dict[bytes, int] = {}  # the smallest key of each anchor with its surroundings, so far in this task
         for batch in batches(found, 1 << 21):
-            keys, ts, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts(batch)
+            keys, ts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)
+            rows = []
             for start, some in pieces(parts):
                 h, text, at = anchors(some)
-                where = h >> np.uint64(64 - BITMAP_BITS)
+                where = h & np.uint64((1 << BITMAP_BITS) - 1)
                 hit = np.flatnonzero((bits[where >> np.uint64(6)] >> (where & np.uint64(63))) & np.uint64(1))
-                h, text, at = h[hit], text[hit], at[hit]
-                lefts = [some[i][max(0, p - REACH + 1) : p][::-1] for i, p in zip(text.tolist(), at.tolist(), strict=True)]
-                rights = [some[i][p : p + LENGTH] for i, p in zip(text.tolist(), at.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[start + text]), pa.array(ts[start + text]), pa.array(at.astype(np.int32)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["h", "key", "t", "at", "l", "r"])
-
-    places = single.select("key", "t", "text").mapInArrow(suffixes, "h long, key long, t long, at int, l binary, r binary")
+                for x, i, p in zip(h[hit].view(np.int64).tolist(), text[hit].tolist(), at[hit].tolist(), strict=True):
+                    data, key = some[i], keys[start + i]
+                    left, right = data[max(0, p - REACH + 1) : p][::-1], data[p : p + LENGTH]
+                    around = xxhash.xxh3_128_digest(b"%d %d " % (x, len(left)) + left + right)
+                    first = seen.setdefault(around, key)
+                    if first >= key:
+                        seen[around] = key
+                        rows.append((x, key, ts[start + i], p, 0, left, right))
+                    elif len(left) + len(right) >= LENGTH:
+                        # An earlier document of this task has all of it: the span is known, the suffix stays here.
+                        low, high = max(LENGTH - len(right), 0), min(len(left), LENGTH - SEED)
+                        rows.append(((key * 0x9E3779B97F4A7C15 + p + 2**63) % 2**64 - 2**63, key, ts[start + i], p - high, p - low + LENGTH, None, None))
+            if len(seen) > SEEN:
+                seen.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["h", "key", "t", "at", "stop", "l", "r"])
+
+    places = single.select("key", "t", "text").mapInArrow(suffixes, "h long, key long, t long, at int, stop int, l binary, r binary")
 
     def match(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "t", "start", "stop"])
         for table in blocks(found, "h"):
-            get = lambda c: table.column(c).to_numpy()
-            lefts, rights = table.column("l").to_pylist(), table.column("r").to_pylist()
+            open_ = table.column("l").is_valid().to_numpy()
+            get = lambda c, which: table.column(c).to_numpy()[which]
+            yield span(*[get(c, ~open_) for c in ("key", "t", "at", "stop")])
+            some = table.filter(pa.array(open_))
+            lefts, rights = some.column("l").to_pylist(), some.column("r").to_pylist()
             n_left, n_right = (np.fromiter(map(len, x), np.int64, len(x)) for x in (lefts, rights))
-            least, most = earlier(get("h"), get("key"), fixed(lefts, LEFT), n_left, fixed(rights, RIGHT), n_right)
+            least, most = earlier(get("h", open_), get("key", open_), fixed(lefts, LEFT), n_left, fixed(rights, RIGHT), n_right)
             hit = np.flatnonzero(most >= 0)
-            at = get("at")[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(get("key")[hit]), pa.array(get("t")[hit]), pa.array((at - most[hit]).astype(np.int32)), pa.array((at - least[hit] + LENGTH).astype(np.int32))], ["key", "t", "start", "stop"])
+            key, t, at = (get(c, open_)[hit] for c in ("key", "t", "at"))
+            yield span(key, t, (at - most[hit]).astype(np.int32), (at - least[hit] + LENGTH).astype(np.int32))
 
     small_batches(spark, 16384)  # rows of at most some hundred bytes
     spans = written(places.repartition("h").sortWithinPartitions("h", "key").mapInArrow(match, "key long, t long, start int, stop int"), "suffix-spans")
