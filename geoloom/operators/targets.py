@@ -33,9 +33,12 @@ def instances(patches: DataFrame, boxes: DataFrame, size: int, min_visible: floa
 def class_pixels(patches: DataFrame, features: DataFrame, size: int, background: int = 0) -> DataFrame:
     """patch, class_id, pixels of the mask, the background's too where it has any."""
     counts = spatial.patch_pixels(patches, spatial.burned(features), size).groupBy("patch", "class_id").agg(F.count(F.lit(1)).alias("pixels"))
-    rest = patches.select("patch").join(counts.groupBy("patch").agg(F.sum("pixels").alias("n")), "patch", "left")
-    rest = rest.select("patch", F.lit(background).cast("bigint").alias("class_id"), (size * size - F.coalesce("n", F.lit(0))).alias("pixels")).where("pixels > 0")
-    return counts.unionByName(rest)
+    # A patch's few classes meet in one row, so that the background is the rest of it without a second pass.
+    found = patches.select("patch").join(counts.groupBy("patch").agg(F.collect_list(F.struct("class_id", "pixels")).alias("held")), "patch", "left")
+    held = F.coalesce("held", F.array().cast("array<struct<class_id:bigint,pixels:bigint>>"))
+    rest = size * size - F.aggregate(held, F.lit(0).cast("bigint"), lambda n, x: n + x["pixels"])
+    ground = F.struct(F.lit(background).cast("bigint").alias("class_id"), rest.cast("bigint").alias("pixels"))
+    return found.select("patch", F.inline(F.when(rest > 0, F.array_append(held, ground)).otherwise(held)))
 
 
 def labelled(counts: DataFrame, size: int, least: float, background: int = 0) -> DataFrame:
@@ -49,13 +52,16 @@ def patch_classes(counts: DataFrame, min_fraction: float, background: bool = Fal
 
     counts: patch, class_id, pixels of valid pixels, class 0 the background.
     """
-    valid = counts.groupBy("patch").agg(F.sum("pixels").alias("valid"))
-    each = counts.join(valid, "patch").where((c("class_id") != 0) & (c("pixels") / c("valid") >= min_fraction) & (c("pixels") > 0))
-    named = each.groupBy("patch").agg(F.max_by("class_id", F.struct("pixels", (-c("class_id")).alias("o"))).alias("single"), F.sort_array(F.collect_list("class_id")).alias("multi"))
+    found = counts.groupBy("patch").agg(F.sum("pixels").alias("valid"), F.sort_array(F.collect_list(F.struct("class_id", "pixels"))).alias("held"))
+    enough = F.filter("held", lambda x: (x["class_id"] != 0) & (x["pixels"] > 0) & (x["pixels"] / c("valid") >= min_fraction))
+    found = found.withColumn("enough", enough)
+    best = F.array_max(F.transform("enough", lambda x: F.struct(x["pixels"].alias("n"), (-x["class_id"]).alias("o"))))
+    multi = F.transform("enough", lambda x: x["class_id"])
+    named = F.size("enough") > 0
     if not background:
-        return named
-    none = valid.where("valid > 0").select("patch").join(named, "patch", "left_anti")
-    return named.unionByName(none.select("patch", F.lit(0).cast("bigint").alias("single"), F.array(F.lit(0).cast("bigint")).alias("multi")))
+        return found.where(named).select("patch", (-best["o"]).alias("single"), multi.alias("multi"))
+    zero = F.lit(0).cast("bigint")
+    return found.where(named | (c("valid") > 0)).select("patch", F.when(named, -best["o"]).otherwise(zero).alias("single"), F.when(named, multi).otherwise(F.array(zero)).alias("multi"))
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
