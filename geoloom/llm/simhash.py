@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bounded, documents, dropped, release, small_batches, texts, written
+from geoloom.llm.common import batches, bitmap, bounded, documents, dropped, mapped, release, small_batches, texts, written
 
 DISTANCE = 4
 SHINGLE = 4
@@ -193,66 +193,145 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(found.select("fp", "root"), "fp", "left").select(F.col("key").alias(key), "fp", "root")
 
 
-#: For a similarity of 0.8 of the shingle sets: fingerprints of WIDE words, links at SIMILAR_BITS of the first four.
-WIDE = 24
-COMPARED = 4
-#: Two sets of Jaccard similarity 0.8 have a cosine of 0.89 and differ in 15.2 % of their fingerprints' bits.
-SIMILAR_BITS = 40
-SLICE = 23
-#: What the shingles' hashes are mixed with for each fingerprint.
-MIXERS = np.arange(1, 2 * WIDE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Texts are near-duplicates if their sets of distinct shingles have a Jaccard similarity of NEAR / OF or more.
+NEAR, OF = 4, 5
+#: Shingles that many texts share come last in the order of prefixes: one text in SAMPLE is counted for it.
+SAMPLE = 16
+#: Texts of the sample that share a shingle, for it to come last, and how many shingles may.
+SHARED, MOST_SHARED = 3, 500_000
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """WIDE fingerprints of the distinct shingles, each from the hashes mixed with another constant."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles, in order."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.int64)
     line = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64))
-    x = (h[None] ^ MIXERS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return majorities(x ^ (x >> np.uint64(29)))
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64).view(np.int64))
 
 
-def slices(nodes: DataFrame) -> DataFrame:
-    """nodes (node, fp, words) once for each slice of SLICE bits of all words in a row, with the slice's bits as the cell."""
-    each = []
-    for i in range(64 * WIDE // SLICE):
-        word, low = divmod(SLICE * i, 64)
-        bits = F.shiftrightunsigned(F.col("words")[word], low)
-        if low + SLICE > 64:
-            bits = bits.bitwiseOR(F.shiftleft(F.col("words")[word + 1], 64 - low))
-        each.append(F.struct(F.lit(i).alias("pair"), bits.bitwiseAND(F.lit((1 << SLICE) - 1)).alias("cell")))
-    return nodes.select("*", F.inline(F.array(*each)))
+def common_shingles(df: DataFrame, key: str, text: str, shingle: int) -> np.ndarray:
+    """The most shared shingles of a sample, sorted by hash. Only the order of prefixes depends on them, no result."""
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, BATCH_BYTES):
+            each, n = np.unique(np.concatenate([shingles(x, shingle) for x in set(texts(batch))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n.astype(np.int64))], ["token", "n"])
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """key, root (the smallest key of its group) for each row: groups of texts whose shingle sets are similar, at 0.8 about.
+    some = df.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(F.col(text).alias("text"))
+    counts = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_SHARED).select("token").toPandas()
+    return np.sort(top.token.to_numpy(np.int64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set in the order of all shingles, those of common last.
 
-    256 bits are compared; they differ in SIMILAR_BITS or fewer. 66 slices of 23 bits bring pairs
-    together: at similarity 0.82 nine of ten pairs agree in one at least, at 0.9 all but one in 500.
-    Unrelated texts share a cell at a rate of 66 / 2**23 for each pair.
+    Of two sets with that similarity the prefixes have a shingle in common, the first of all they share.
     """
-    small_batches(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
+    n = len(hashes)
+    if not n:
+        return hashes
+    last = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+    return np.concatenate([hashes[~last], hashes[last]])[: n - -(-NEAR * n // OF) + 1]
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(found, BATCH_BYTES):
-            fps = np.array([wide_fingerprint(x, shingle) for x in texts(batch)], np.uint64).reshape(-1)
-            words = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, WIDE), pa.int32()), pa.array(fps.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), words], ["key", "words"])
-
-    prints = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, words array<long>")
-    prints = written(prints.select("key", F.slice("words", 1, COMPARED).alias("fp"), "words"), "simhash-prints")
-    nodes = written(prints.where("key is not null").groupBy("fp").agg(F.min("key").alias("node"), F.min_by("words", "key").alias("words")), "simhash-nodes")
-    differ = lambda a, b: sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(COMPARED)), F.lit(0))
-    found = written(linked(nodes, slices, lambda a, b: differ(a, b) <= SIMILAR_BITS).select("fp", "root"), "simhash-classes")
-    release(df.sparkSession)
-    return prints.join(found, "fp", "left").select(F.col("key").alias(key), "root")
+
+def enough(both: Column, a: Column, b: Column) -> Column:
+    """Whether `both` shared shingles of sets of a and b make a similarity of NEAR / OF."""
+    return OF * both >= NEAR * (a + b - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b: nodes) whose sets (node, hashes) are similar, by all their shingles."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
+
+
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """key, root (the smallest key of its group) for each row: groups of texts that links of a similarity of 0.8 or more join.
+
+    Exact: equal sets are found by digest; others that are similar share a shingle of their prefixes.
+    An equi-join on those that several have brings candidates together; the sizes, and the shingles
+    left behind the shared one, rule out pairs that can't reach the similarity, and every other pair
+    is verified by its whole sets, which are made again from the texts of candidates alone. As in
+    linked(), a cell's members are compared with its pivot first, and only members of different
+    components with each other.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    kind = df.schema[key].dataType.simpleString()
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(df, key, text, shingle))
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+
+    def made(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches(found, BATCH_BYTES):
+                sets = [shingles(x, shingle) for x in texts(batch)]
+                digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+                sizes = pa.array([len(x) for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, lists(sets if whole else [prefix(x, common.value) for x in sets])], ["key", "digest", "n", "hashes"])
+
+        return run
+
+    schema = f"key {kind}, digest binary, n int, hashes array<long>"
+    prints = written(docs.mapInArrow(made(False), schema), "similar-prints")
+    nodes = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("node")), "similar-nodes")
+    own = written(prints.join(nodes.withColumnRenamed("node", "key"), ["key", "digest"], "left_semi").select("key", "n", "hashes"), "similar-own")
+    counts = own.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    several = spark.sparkContext.broadcast(bitmap(counts.select("token")))
+
+    def shared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            column = batch.column(2)
+            tokens, stops = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+            at = np.flatnonzero(mapped(several.value, tokens))
+            row = np.searchsorted(stops, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - stops[row]).astype(np.int32))], ["token", "node", "n", "at"])
+
+    grid = written(own.mapInArrow(shared, f"token long, node {kind}, n int, at int"), "similar-grid")
+    dropped(own)
+    # What two sets can share at most, if the shingle they meet in is the first they share.
+    most = lambda a, b: F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    able = enough(most("a", "b"), F.col("a.n"), F.col("b.n"))
+    pivots = grid.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), "node").alias("p"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "p.*")
+    a, b = grid.alias("a"), pivots.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & able)
+    stars = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "similar-stars")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        some = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-some")
+        some = F.broadcast(some) if bounded(some, FEW) else some  # or whole texts are shuffled
+        sets = docs.join(some, "key", "left_semi").mapInArrow(made(True), schema)
+        whole = sets.join(nodes.withColumnRenamed("node", "key"), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+        return written(whole.select(F.col("key").alias("node"), "hashes"), "similar-sets")
+
+    sets = sets_of(stars)
+    first = written(components(verified(stars, sets)), "similar-first")
+    dropped(sets)
+    held = written(grid.join(first, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "similar-held")
+    dropped(grid)
+    mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    held = held.join(mixed, "token", "left_semi")
+    a, b = held.alias("a"), held.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & able)
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    known = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = written(pairs.join(known, ["a", "b"], "left_anti"), "similar-across")
+    root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    links = verified(across, sets_of(across)).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    top = written(components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "similar-top")
+    found = nodes.join(first, "node", "left").select("digest", F.coalesce("root", "node").alias("mid"))
+    found = found.join(top.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left")
+    found = written(found.select("digest", F.coalesce("top", "mid").alias("root")), "similar-classes")
+    release(spark)
+    return prints.select("key", "digest").join(found, "digest", "left").select(F.col("key").alias(key), "root")
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:

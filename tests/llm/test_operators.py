@@ -327,6 +327,45 @@ def test_similar_groups(docs, rows, empty):
     assert simhash.representatives(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def variants():
+    """Texts of 6 to 60 words with words appended or exchanged, around a similarity of 0.8; a line that all of some share."""
+    rng = random.Random(11)
+    out = []
+    line = sentence(rng, "en", 12)
+    for n in [*range(6, 20), 30, 40, 60, 60]:
+        for k in range(6):
+            text = sentence(rng, "en", n).split()
+            out.append(text)
+            for j in range(1, 4):
+                more = [*text, *sentence(rng, "en", j).split()]
+                if k % 2 and n >= 30:
+                    for _ in range(j):
+                        more[rng.randrange(n)] = "changed"
+                out.append(more)
+    out += [[*sentence(rng, "en", rng.randint(8, 30)).split(), *line.split()] for _ in range(60)]
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+def groups_of(texts):
+    """The least id that links of a similarity of 0.8 or more lead to, for each id, and how many links are close to it."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts for w in [t.split()]}
+    share = {(i, j): len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if i < j and a & b}
+    root = {i: i for i in sets}
+    top = lambda i: i if root[i] == i else top(root[i])
+    for (i, j), x in share.items():
+        if x >= 0.8 and top(i) != top(j):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in sets}, share
+
+
+def test_similar_joins_every_pair_from_the_bound_on(spark, variants):
+    want, share = groups_of(variants)
+    assert sum(0.8 <= x < 0.86 for x in share.values()) >= 20
+    got = {r.doc_id: r.root for r in simhash.similar(spark.createDataFrame(variants, "doc_id long, text string")).collect()}
+    assert not [(i, j, x) for (i, j), x in share.items() if x >= 0.8 and got[i] != got[j]]
+
+
 def test_quality_separates_and_estimates_the_prior(spark, docs, empty):
     rng = random.Random(4)
     junk = lambda: " ".join(w + "###" for w in sentence(rng, "en", 40).split()) if rng.random() < 0.5 else " ".join([sentence(rng, "en", 1)] * 50)
