@@ -366,6 +366,22 @@ def test_similar_joins_every_pair_from_the_bound_on(spark, variants):
     assert not [(i, j, x) for (i, j), x in share.items() if x >= 0.8 and got[i] != got[j]]
 
 
+def test_similar_joins_no_pair_below_the_bound(spark):
+    """Pairs of 200 shingles at 0.70 to 0.79, which bits alone can't tell from 0.8."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(120):
+        text = sentence(rng, "en", 204).split()
+        more = list(text)
+        for k in range(5 + i % 2):
+            more[10 + 30 * k] = "changed"
+        texts += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(more))]
+    want, share = groups_of(texts)
+    assert len(share) >= 120 and all(0.7 <= x < 0.8 for x in share.values() if x > 0.1)
+    got = {r.doc_id: r.root for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_quality_separates_and_estimates_the_prior(spark, docs, empty):
     rng = random.Random(4)
     junk = lambda: " ".join(w + "###" for w in sentence(rng, "en", 40).split()) if rng.random() < 0.5 else " ".join([sentence(rng, "en", 1)] * 50)
