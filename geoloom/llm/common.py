@@ -141,9 +141,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     c = F.col(hashes.columns[0])
     at = F.shiftrightunsigned(c, 64 - MAP_BITS)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    found = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 

@@ -2,18 +2,19 @@
 
 Symbols are the training words, one class for all unseen words, and the end of a text, which also
 stands before its first word. The root's distribution is the add-one-half estimate of the base. A
-context of one or two words is a candidate if its share of all training tokens is LEAST_SHARE or
-more, and keeps the next symbols whose share after it reaches that too; so there are at most
-1 / LEAST_SHARE contexts and pairs of each length, whatever the corpus, and the tree is broadcast.
-A candidate is retained if the divergence of its next-symbol distribution from that of its longest
-retained suffix, times its count, is at least GAIN nats; every occurrence is judged by the counts
-without itself, and symbols that were not kept count against it. Distributions are smoothed into
-those of the suffix. A symbol is scored by the state of the longest retained suffix before it.
-
-Words are counted over the whole training corpus, added up in each task before the shuffle; pairs
-and triples in one more scan each, among words and pairs that can reach the share. Word counts grow
-with the corpus and are not broadcast: those of at least HEAVY of all tokens (at most 1 / HEAVY) are
-looked up in the scan that scores, the others by a join.
+context of up to DEPTH words is a candidate if it occurs LEAST_COUNT times or more, and keeps the
+next symbols that follow it so often, whatever the size of the corpus. A candidate is retained if the
+divergence of its next-symbol distribution from that of its longest retained suffix, times its count,
+is at least GAIN nats; every occurrence is judged by the counts without itself, and symbols that were
+not kept count against it. Distributions are smoothed into those of the suffix. A symbol is scored by
+the state of the longest retained suffix before it. Tree says the same for two words in memory.
+
+The tree is a table of sequences of words, by hash. What a sequence adds to the score of a text, as
+context and next symbol and as context of what follows, is one weight, so a text's score is the sum
+of those of all sequences in it. Words are counted over the whole training corpus, longer sequences
+in one more scan for each length, among those whose two parts may occur often enough by a bitmap of
+a fixed size. The MOST sequences of the highest counts are looked up in the scan that scores, the
+others by a join; so are words of less than HEAVY of all tokens.
 
 Defined results: a null or empty text is the end symbol alone; a null key counts as the empty text
 for the split into training and held-out rows; a repeated row is learned and scored again; without
@@ -28,14 +29,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, documents, packed, release, remainder, small_batches, texts, unpacked, written
+from geoloom.llm.common import batches, bitmap, documents, mapped, release, remainder, small_batches, texts, written
 
-LEAST_SHARE = 1e-5
-#: Occurrences that a context and a kept next symbol need in any case.
+#: Occurrences that a context and a kept next symbol need.
 LEAST_COUNT = 3
+#: Words of the longest context.
+DEPTH = 2
+#: Sequences that are broadcast, 16 bytes each.
+MOST = 4_000_000
+#: The end of a text as a word's hash, and what stands before its first word.
+END, START = 0x1F3D5B79A2C4E680, 0x6A09E667F3BCC908
+#: Bits by which a sequence's hash is rotated for each word that follows.
+ROLL = 11
 GAIN = 10.0
 #: Weight of the suffix's distribution, in counts.
 SMOOTH = 4.0
@@ -183,43 +191,96 @@ class Tree:
         return out
 
 
-def learn(rows: DataFrame, often: np.ndarray, n_often: np.ndarray, n_texts: int, norm: float, least: float) -> Tree:
-    """The tree over the words with hashes `often` (sorted) that occur n_often times."""
-    spark = rows.sparkSession
-    end = len(often)
-    occurs = np.append(n_often, n_texts)
-    shared = spark.sparkContext.broadcast(often)
+def rolled(x: np.ndarray) -> np.ndarray:
+    u = x.view(np.uint64)
+    return (u << np.uint64(ROLL) | u >> np.uint64(64 - ROLL)).view(np.int64)
 
-    def coded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, hashes, sizes = word_ids(parts)
-        return sequence(find(shared.value, hashes)[ids], sizes, end)
 
-    def pairs(parts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        codes, inside = coded(parts)
-        a, b = codes[:-1], codes[1:]
-        at = inside[:-1] & (a >= 0) & (b >= 0)
-        yield 0, *np.unique(a[at] * (end + 1) + b[at], return_counts=True)
+def rotated(c: Column, bits: int) -> Column:
+    return F.shiftleft(c, bits % 64).bitwiseOR(F.shiftrightunsigned(c, 64 - bits % 64)) if bits % 64 else c
 
-    def kept(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = counts.where(F.col("n") >= least).toPandas().sort_values("key")
-        return found.key.to_numpy(np.int64), found.n.to_numpy(np.int64)
 
-    one = kept(tally(rows, pairs))
-    frequent = spark.sparkContext.broadcast(one[0])
+def sequences(hashes: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length 1 .. most the hashes of the sequences that end at each place of all texts, and the places that have one."""
+    words, inside = sequence(hashes, sizes, END)
+    first = np.append(True, ~inside[:-1])[: len(words)]
+    words[first] = START
+    starts = np.flatnonzero(first)
+    place = np.arange(len(words)) - np.repeat(starts, sizes + 2)
+    keys = words
+    for length in range(1, most + 1):
+        yield keys, np.flatnonzero(place >= length - 1)
+        keys = rolled(np.append(np.int64(0), keys[:-1])) ^ words
 
-    def triples(parts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        codes, inside = coded(parts)
-        a, b = codes[:-1], codes[1:]
-        place = np.where(inside[:-1] & (a >= 0) & (b >= 0), find(frequent.value, a * (end + 1) + b), -1)
-        at = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
-        yield 0, *np.unique(place[at] * (end + 1) + codes[at + 2], return_counts=True)
 
-    two = kept(tally(rows, triples))
-    base = (occurs + 0.5) / norm
-    return Tree(base, occurs, one, two)
+def often(rows: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
+    """key, ctx (all but the last word), n of the sequences of a length that occur LEAST_COUNT times or more; bits has those one shorter."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, BATCH_BYTES):
+            ids, hashes, sizes = word_ids(texts(batch))
+            *_, (shorter, _), (keys, at) = sequences(hashes[ids], sizes, length)
+            there = mapped(shared.value, shorter)
+            at = at[there[at] & there[at - 1]]
+            each, where, n = np.unique(keys[at], return_index=True, return_counts=True)
+            context = shorter[at[where] - 1]
+            for i in range(0, len(each), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(each[part]), pa.array(context[part]), pa.array(n[part].astype(np.int64))], ["key", "ctx", "n"])
 
-def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return rows.mapInArrow(run, "key long, ctx long, n long").groupBy("key", "ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+
+
+def learn(rows: DataFrame, words: DataFrame, n_texts: int, norm: float, depth: int) -> DataFrame:
+    """key, n, weight of the sequences that matter; words: word, n of all training words."""
+    spark = rows.sparkSession
+    ends = spark.createDataFrame([(END, n_texts), (START, n_texts)], "key long, n long")
+    last = words.select(F.col("word").alias("key"), "n").unionByName(ends).where(F.col("n") >= LEAST_COUNT)
+    last = written(last.select("key", "n", F.col("key").alias("first"), ((F.col("n") + 0.5) / F.lit(norm)).alias("chance")), "suffixtree-words")
+    n, total, below = F.col("n"), F.col("total"), F.col("below")
+    back = F.log10(F.lit(SMOOTH) / (total + SMOOTH))
+    parts = []
+    for length in range(2, depth + 2):
+        edges = often(rows, length, bitmap(last.select("key"))).join(last.select(F.col("key").alias("ctx"), F.col("n").alias("occurs"), "first"), "ctx")
+        edges = edges.withColumn("suffix", F.col("key").bitwiseXOR(rotated(F.col("first"), ROLL * (length - 1))))
+        edges = written(edges.join(last.select(F.col("key").alias("suffix"), F.col("chance").alias("below")), "suffix").drop("suffix"), "suffixtree-edges")
+        stats = edges.groupBy("ctx").agg(F.sum("n").alias("total"), F.max("occurs").alias("occurs"), F.sum(n * (F.log(n - 1 + SMOOTH * below) - F.log(below))).alias("won"))
+        won = F.col("won") - total * F.log(total - 1 + SMOOTH) + F.greatest(F.col("occurs") - total, F.lit(0)) * F.log(F.lit(SMOOTH) / (total + SMOOTH))
+        kept = written(stats.where(won >= GAIN).select("ctx", "total", "occurs"), "suffixtree-kept")
+        chance = F.coalesce((n + SMOOTH * below) / (total + SMOOTH), below)
+        table = edges.drop("occurs").join(kept.drop("occurs"), "ctx", "left").select("key", "n", "first", chance.alias("chance"), F.when(total.isNotNull(), F.log10(chance / below) - back).alias("weight"))
+        last = written(table, "suffixtree-level")
+        parts += [last.where("weight is not null").select("key", "n", "weight"), kept.select(F.col("ctx").alias("key"), F.col("occurs").alias("n"), back.alias("weight"))]
+        release(spark)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return written(out.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "suffixtree-weights")
+
+
+def split(weights: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The sequences of the highest counts, at most so many, and the others, if there are."""
+    scale = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in sorted(weights.groupBy(scale.alias("at")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            least = r["at"]
+            break
+    if least is None:
+        return weights, None
+    return weights.where(scale > least), weights.where(scale <= least)
+
+
+def brought(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns of a table, sorted by the first."""
+    keys, values = (x.to_numpy() for x in table.toArrow().columns)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score for each row of docs, learned from train."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -237,18 +298,20 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
     norm = tokens + 0.5 * (kinds + 1)
     words = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "n")
     floor = max(1, HEAVY * tokens)
-    heavy = words.where(F.col("n") >= floor).toPandas().sort_values("word")
-    often, n_often = heavy.word.to_numpy(np.int64), heavy.n.to_numpy(np.int64)
-    least = max(LEAST_COUNT, LEAST_SHARE * tokens)
-    coded = n_often >= least
-    tree = learn(rows, often[coded], n_often[coded], n_texts, norm, least)
+    often_words, n_often = brought(words.where(F.col("n") >= floor))
+    weights = learn(rows, words, n_texts, norm, depth)
+    top, others = split(weights, most)
+    keys, weight = brought(top.select("key", "weight"))
+    maybe = bitmap(weights.select("key"))
     release(spark)
-    shared = packed(spark, (tree, often, n_often, often[coded]))
+    shared = spark.sparkContext.broadcast((often_words, n_often, keys, weight, maybe))
+    some = others is not None
+    del keys, weight
     kind = docs.schema[key].dataType.simpleString()
     ends = float(np.log10(n_texts + 0.5))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often, n_often, symbols = unpacked(shared)
+        often, n_often, held, weight, maybe = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches(found, BATCH_BYTES):
             parts = texts(batch)
@@ -259,20 +322,32 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
             logs = np.where(there, np.log10((n_often[at] if len(often) else 0) + 0.5), 0.0)
             known = np.bincount(owner, there[ids], len(parts)).astype(np.int64) + (n_texts > 0)
             base = np.bincount(owner, logs[ids], len(parts)) + ends
-            codes, inside = sequence(find(symbols, hashes)[ids], n, len(symbols))
-            extra = np.bincount(np.repeat(np.arange(len(parts)), n + 2), model.gains(codes, inside), len(parts))
+            place = np.repeat(np.arange(len(parts)), n + 2)
+            extra, seldom = np.zeros(len(parts)), []
+            for keys, at in sequences(hashes[ids], n, depth + 1):
+                at = at[mapped(maybe, keys[at])]
+                hit = find(held, keys[at])
+                extra += np.bincount(place[at[hit >= 0]], weight[hit[hit >= 0]], len(parts))
+                if some:
+                    seldom.append((place[at[hit < 0]], keys[at[hit < 0]]))
+            by, longer = map(np.concatenate, zip(*seldom, strict=True)) if some else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            longer = longer[np.argsort(by, kind="stable")]
+            longer = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(by, minlength=len(parts)))).astype(np.int32)), pa.array(longer))
             rare = ~there[ids]
             stops = np.cumsum(np.bincount(owner, rare, len(parts))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), stops)), pa.array(hashes[ids][rare]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(parts))), batch.column(0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(extra), lists], ["row", "key", "n_tokens", "known", "base", "extra", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(parts))), batch.column(0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(extra), lists, longer], ["row", "key", "n_tokens", "known", "base", "extra", "rare", "longer"])
             row += len(parts)
 
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"row long, key {kind}, n_tokens long, known long, base double, extra double, rare array<long>")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"row long, key {kind}, n_tokens long, known long, base double, extra double, rare array<long>, longer array<long>")
     found = written(found, "suffixtree-scores")
     seldom = words.where(F.col("n") < floor)
     each = found.select("row", F.explode("rare").alias("word")).join(seldom, "word", "left")
     rest = each.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
-    out = found.drop("rare").join(rest, "row", "left")
+    out = found.drop("rare", "longer").join(rest, "row", "left")
+    if some:
+        each = found.select("row", F.explode("longer").alias("key")).join(others.select("key", "weight"), "key")
+        out = out.join(each.groupBy("row").agg(F.sum("weight").alias("joined")), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("joined", F.lit(0.0)))
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(norm))
     return out.select(F.col("key").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score"))
 

@@ -195,6 +195,46 @@ def test_suffixtree_states_are_distributions():
     assert len(alone) == 4
 
 
+def tree_scores(train, texts):
+    """base + gains of Tree over all words that occur LEAST_COUNT times, with pairs and triples of that count."""
+    least = suffixtree.LEAST_COUNT
+    ids, hashes, sizes = suffixtree.word_ids(train)
+    n = np.bincount(ids, minlength=len(hashes))
+    symbols = np.sort(hashes[n >= least])
+    end = len(symbols)
+    norm = len(ids) + len(train) + 0.5 * (len(hashes) + 2)
+    occurs = np.append(n[np.argsort(hashes)][np.isin(np.sort(hashes), symbols)], len(train))
+    codes, inside = suffixtree.sequence(suffixtree.find(symbols, hashes)[ids], sizes, end)
+    at = np.flatnonzero(inside[:-1] & (codes[:-1] >= 0) & (codes[1:] >= 0))
+    keys, n_pairs = np.unique(codes[at] * (end + 1) + codes[at + 1], return_counts=True)
+    one = keys[n_pairs >= least], n_pairs[n_pairs >= least]
+    pair = np.full(len(codes), -1)
+    pair[at] = suffixtree.find(one[0], codes[at] * (end + 1) + codes[at + 1])
+    at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
+    keys, n_three = np.unique(pair[at] * (end + 1) + codes[at + 2], return_counts=True)
+    tree = suffixtree.Tree((occurs + 0.5) / norm, occurs, one, (keys[n_three >= least], n_three[n_three >= least]))
+    out = []
+    for x in texts:
+        ids, hashes, sizes = suffixtree.word_ids([x])
+        out.append(tree.gains(*suffixtree.sequence(suffixtree.find(symbols, hashes)[ids] if len(ids) else np.zeros(0, np.int64), sizes, end)).sum())
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 400, 10**6])
+def test_suffixtree_keeps_what_occurs_three_times_in_a_large_corpus(spark, most):
+    """A phrase of three texts among 400,000 tokens is gathered; all of the tree broadcast, part of it, none."""
+    rng = random.Random(21)
+    phrase = "quite rare words that follow one another"
+    vocabulary = [sentence(rng, "en", 1) for _ in range(3000)]
+    train = [" ".join(rng.choices(vocabulary, k=100)) + (f" {phrase}" if i in (5, 600, 3900) else "") for i in range(4000)]
+    texts = [phrase, "rare that one", "", None, *train[:40]]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score - r.base_score for r in suffixtree.score(frame(texts), frame(train), most=most).collect()}
+    want = tree_scores([t.encode() for t in train], [(t or "").encode() for t in texts])
+    assert want[0] > 10
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
 def counted(text):
     w = words(text)
     seen, dup = set(), 0
