@@ -12,19 +12,28 @@ from pyspark.sql.window import Window
 from geoloom.functions.cleaning import yolo_number
 
 c = F.col
+#: Patches that one range of the numbering of objects holds.
+SPAN = 1 << 16
 
 
-def coco_annotations(objects: DataFrame) -> DataFrame:
-    """objects (patch, feature, class_id, x, y, w, h, area, truncated) with image_id and id.
+def numbered(objects: DataFrame) -> DataFrame:
+    """objects (patch, feature, ...) with id, counting from 1 over all patches in order, and in a patch by feature.
 
-    Ids count over all patches in order, so that they don't depend on the split that is written:
-    objects before a patch by a running sum over patches, then by place within the patch.
+    Ids don't depend on the split that is written. Patches are counted by ranges of SPAN, so that the
+    windows hold one range of patches or one row for each range.
     """
-    counts = objects.groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("patch").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("patch", F.coalesce(before, F.lit(0)).alias("start"))
+    counts = objects.groupBy("patch").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(c("patch") / SPAN))
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("n"))
+    until = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", until(Window.orderBy("range")).alias("before"))
+    starts = counts.join(ranges, "range").select("patch", (c("before") + until(Window.partitionBy("range").orderBy("patch"))).alias("start"))
     rank = F.row_number().over(Window.partitionBy("patch").orderBy("feature"))
-    return objects.withColumn("rank", rank).join(starts, "patch").select((c("start") + c("rank")).alias("id"), (c("patch") + 1).alias("image_id"), c("class_id").alias("category_id"), "x", "y", "w", "h", "area", "truncated")
+    return objects.withColumn("rank", rank).join(starts, "patch").withColumn("id", c("start") + c("rank")).drop("rank", "start")
+
+
+def coco_annotations(objects: DataFrame) -> DataFrame:
+    """objects (patch, feature, class_id, x, y, w, h, area, truncated) with image_id and id."""
+    return numbered(objects).select("id", (c("patch") + 1).alias("image_id"), c("class_id").alias("category_id"), "x", "y", "w", "h", "area", "truncated")
 
 
 def yolo_line(index: Column, x: Column, y: Column, w: Column, h: Column, width: int, height: int) -> Column:

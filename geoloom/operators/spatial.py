@@ -47,26 +47,12 @@ def region_of(patches: DataFrame, areas: DataFrame, size: int) -> DataFrame:
     return patches.select("patch").join(best, "patch", "left").select("patch", F.coalesce("name", F.lit("")).alias("name"))
 
 
-def burned(features: DataFrame) -> DataFrame:
-    """r, c, class_id, feature: pixels of boxes (feature, class_id, r0, r1, c0, c1); a later feature lies on top."""
-    rows = features.where("r1 > r0 and c1 > c0").select("feature", "class_id", "c0", "c1", F.explode(F.sequence("r0", c("r1") - 1)).alias("r"))
-    each = rows.select("feature", "class_id", "r", F.explode(F.sequence("c0", c("c1") - 1)).alias("c"))
-    return each.groupBy("r", "c").agg(F.max_by("class_id", "feature").alias("class_id"), F.max("feature").alias("feature"))
-
-
-def patch_pixels(patches: DataFrame, pixels: DataFrame, size: int, side: int = CELL) -> DataFrame:
-    """Every pixel (r, c, ...) once for each patch that holds it, with its place pr, pc in the patch."""
-    a = patches.select("patch", "row", "col", F.inline(cells(c("row"), c("row") + size, c("col"), c("col") + size, side)))
-    b = pixels.withColumns({"cr": F.floor(c("r") / side).cast("bigint"), "cc": F.floor(c("c") / side).cast("bigint")})
-    meet = a.join(b, ["cr", "cc"]).where((c("r") >= c("row")) & (c("r") < c("row") + size) & (c("c") >= c("col")) & (c("c") < c("col") + size))
-    return meet.withColumns({"pr": c("r") - c("row"), "pc": c("c") - c("col")}).drop("cr", "cc")
-
-
 def filled_spans(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, r, c0, c1: even-odd fill of polygons given by edges (by, x0, y0, x1, y1) in pixel coordinates.
 
     A row is sampled at its centre; an edge counts on rows from its upper end to before its lower
-    end; crossings are rounded to the nearest pixel edge and taken in pairs from the left.
+    end; crossings are rounded to the nearest pixel edge and taken in pairs from the left. Where rings
+    turn clockwise, a flat edge on a row's centres that runs from right to left is a span of its own.
     """
     from pyspark.sql.window import Window
 
@@ -78,4 +64,7 @@ def filled_spans(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     rows = rows.select(*by, "r", F.floor(x + 0.5).cast("bigint").alias("x"))
     order = Window.partitionBy(*by, "r").orderBy("x")
     rows = rows.withColumns({"n": F.row_number().over(order), "next": F.lead("x").over(order)})
-    return rows.where("n % 2 = 1 and next > x").select(*by, "r", c("x").alias("c0"), c("next").alias("c1"))
+    spans = rows.where("n % 2 = 1 and next > x").select(*by, "r", c("x").alias("c0"), c("next").alias("c1"))
+    flat = edges.where((c("y0") == c("y1")) & (c("x0") > c("x1")) & (F.floor("y0") + 0.5 == c("y0")))
+    side = lambda v: F.floor(c(v) + 0.5).cast("bigint")
+    return spans.unionByName(flat.select(*by, F.floor("y0").cast("bigint").alias("r"), side("x1").alias("c0"), side("x0").alias("c1")).where("c1 > c0"))

@@ -5,54 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators import spatial
+from geoloom.operators import burn
 
 c = F.col
 SLACK = 1e-9
+IGNORE = 255
 
 
-def detections(patches: DataFrame, boxes: DataFrame, size: int, min_visible: float = 0.3, min_side: float = 2.0) -> DataFrame:
-    """patch, feature, class_id, x, y, w, h, area, truncated of the boxes that show enough of themselves in a patch."""
-    full = (c("r1") - c("r0")) * (c("c1") - c("c0"))
-    height, width = c("v1") - c("v0"), c("h1") - c("h0")
-    found = spatial.overlaps(patches, boxes, size).withColumn("__share", height * width / full)
-    found = found.where((c("__share") >= min_visible - SLACK) & (height >= min_side) & (width >= min_side))
-    r4 = lambda v: F.round(v.cast("double"), 4)
-    return found.select("patch", "feature", "class_id", r4(c("h0") - c("col")).alias("x"), r4(c("v0") - c("row")).alias("y"), r4(width).alias("w"), r4(height).alias("h"), r4(height * width).alias("area"), (c("__share") < 1 - SLACK).alias("truncated"))
+def detections(patches: DataFrame, shapes: DataFrame, size: int, min_visible: float = 0.3, min_side: float = 2.0) -> DataFrame:
+    """patch, feature, class_id, x, y, w, h, area, truncated of the shapes that show enough of themselves in a patch's valid pixels."""
+    r4 = lambda v: F.round(v, 4)
+    found = burn.seen(patches, shapes, size).withColumn("share", c("seen") / c("area"))
+    found = found.withColumns({"x": r4(c("x0") - c("col")), "y": r4(c("y0") - c("row"))})
+    found = found.withColumns({"w": r4(r4(c("x1") - c("col")) - c("x")), "h": r4(r4(c("y1") - c("row")) - c("y"))})
+    found = found.where((c("share") >= min_visible - SLACK) & (c("h") >= min_side) & (c("w") >= min_side))
+    return found.select("patch", "feature", "class_id", "x", "y", "w", "h", r4(c("seen")).alias("area"), (c("share") < 1 - SLACK).alias("truncated"))
 
 
-def instances(patches: DataFrame, boxes: DataFrame, size: int, min_visible: float = 0.3, min_area: int = 4) -> DataFrame:
-    """patch, feature, class_id, whole-pixel box x, y, w, h, area in pixels, truncated."""
-    full = (c("r1") - c("r0")) * (c("c1") - c("c0"))
-    height, width = c("v1") - c("v0"), c("h1") - c("h0")
-    found = spatial.overlaps(patches, boxes, size).withColumn("__share", height * width / full)
-    found = found.where((c("__share") >= min_visible - SLACK) & (height * width >= min_area))
-    return found.select("patch", "feature", "class_id", (c("h0") - c("col")).alias("x"), (c("v0") - c("row")).alias("y"), width.alias("w"), height.alias("h"), (height * width).alias("area"), (c("__share") < 1 - SLACK).alias("truncated"))
+def accepts_detections(patches: DataFrame, shapes: DataFrame, found: DataFrame, size: int, least: float) -> DataFrame:
+    """patch, covered of the patches whose kept detections cover `least` of it or more, overlaps counted once."""
+    return burn.covered(patches, shapes, found, size).where(c("covered") >= least * size * size)
 
 
-def class_pixels(patches: DataFrame, features: DataFrame, size: int, background: int = 0) -> DataFrame:
-    """patch, class_id, pixels of the mask, the background's too where it has any."""
-    counts = spatial.patch_pixels(patches, spatial.burned(features), size).groupBy("patch", "class_id").agg(F.count(F.lit(1)).alias("pixels"))
-    # A patch's few classes meet in one row, so that the background is the rest of it without a second pass.
-    found = patches.select("patch").join(counts.groupBy("patch").agg(F.collect_list(F.struct("class_id", "pixels")).alias("held")), "patch", "left")
-    held = F.coalesce("held", F.array().cast("array<struct<class_id:bigint,pixels:bigint>>"))
-    rest = size * size - F.aggregate(held, F.lit(0).cast("bigint"), lambda n, x: n + x["pixels"])
-    ground = F.struct(F.lit(background).cast("bigint").alias("class_id"), rest.cast("bigint").alias("pixels"))
-    return found.select("patch", F.inline(F.when(rest > 0, F.array_append(held, ground)).otherwise(held)))
+def instances(patches: DataFrame, shapes: DataFrame, size: int, min_visible: float = 0.3, min_area: int = 4, all_touched: bool = False) -> DataFrame:
+    """patch, feature, class_id, whole-pixel box x, y, w, h, area in pixels, truncated, counts (run lengths, columns first)."""
+    found = burn.own_pixels(patches, shapes, size, all_touched).where((c("share") >= min_visible - SLACK) & (c("area") >= min_area))
+    return found.select("patch", "feature", "class_id", "x", "y", "w", "h", "area", (c("share") < 1 - SLACK).alias("truncated"), "counts")
 
 
-def labelled(counts: DataFrame, size: int, least: float, background: int = 0) -> DataFrame:
-    """patch, share of the patches of which at least `least` has a class."""
-    found = counts.groupBy("patch").agg((F.sum(F.when(c("class_id") != background, c("pixels")).otherwise(0)) / float(size * size)).alias("share"))
+def class_pixels(patches: DataFrame, shapes: DataFrame, size: int, background: int = 0, areas: DataFrame | None = None, ignore: int = IGNORE) -> DataFrame:
+    """patch, class_id, pixels of the mask, those of the background and of what is ignored too."""
+    found = burn.histogram(patches, shapes, size, areas, ignore)
+    return found.withColumn("class_id", F.when(c("class_id") == 0, background).otherwise(c("class_id"))) if background else found
+
+
+def labelled(counts: DataFrame, size: int, least: float, background: int = 0, ignore: int = IGNORE) -> DataFrame:
+    """patch, share of the patches of which at least `least` has a class: a share of all pixels, ignored ones too."""
+    found = counts.groupBy("patch").agg((F.sum(F.when(~c("class_id").isin(background, ignore), c("pixels")).otherwise(0)) / float(size * size)).alias("share"))
     return found.where(c("share") >= least)
 
 
-def patch_classes(counts: DataFrame, min_fraction: float, background: bool = False) -> DataFrame:
+def patch_classes(counts: DataFrame, min_fraction: float, background: bool = False, ignore: int = IGNORE) -> DataFrame:
     """patch, single, multi: the class with most of the valid pixels (the lowest of equals) and all with enough, ascending.
 
-    counts: patch, class_id, pixels of valid pixels, class 0 the background.
+    counts: patch, class_id, pixels; class 0 is the background, and what is ignored isn't valid. A
+    patch without a valid pixel is left out.
     """
-    found = counts.groupBy("patch").agg(F.sum("pixels").alias("valid"), F.sort_array(F.collect_list(F.struct("class_id", "pixels"))).alias("held"))
+    found = counts.where(c("class_id") != ignore).groupBy("patch").agg(F.sum("pixels").alias("valid"), F.sort_array(F.collect_list(F.struct("class_id", "pixels"))).alias("held"))
     enough = F.filter("held", lambda x: (x["class_id"] != 0) & (x["pixels"] > 0) & (x["pixels"] / c("valid") >= min_fraction))
     found = found.withColumn("enough", enough)
     best = F.array_max(F.transform("enough", lambda x: F.struct(x["pixels"].alias("n"), (-x["class_id"]).alias("o"))))
@@ -62,10 +61,3 @@ def patch_classes(counts: DataFrame, min_fraction: float, background: bool = Fal
         return found.where(named).select("patch", (-best["o"]).alias("single"), multi.alias("multi"))
     zero = F.lit(0).cast("bigint")
     return found.where(named | (c("valid") > 0)).select("patch", F.when(named, -best["o"]).otherwise(zero).alias("single"), F.when(named, multi).otherwise(F.array(zero)).alias("multi"))
-
-
-def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """r, c, changed of pixels (r, c, class_id) that either set labels; missing is background 0."""
-    a, b = before.select("r", "c", c("class_id").alias("x")), after.select("r", "c", c("class_id").alias("y"))
-    both = a.join(b, ["r", "c"], "full")
-    return both.select("r", "c", (F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0))).alias("changed"))

@@ -11,7 +11,7 @@ from geoloom.operators import exports as E
 from geoloom.operators import sampling as A
 from geoloom.operators import splits as P
 from geoloom.operators import targets as G
-from geoloom.plans.patches import MEET, _SHARE, labels, patches
+from geoloom.plans.patches import MEET, _SHARE, labels, patches, shapes
 from geoloom.plans.tables import ANCHORS, FEATURES, PATCH, SCENES, anchors, features, scenes, sql, table
 
 c = F.col
@@ -285,7 +285,7 @@ def m12_plan(spark, sf_dir) -> DataFrame:
 
 
 def objects(spark, sf_dir) -> DataFrame:
-    return G.detections(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
+    return G.detections(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 OBJECTS = f"objects AS (SELECT patch, feature, class_id, CAST(h0 - ac AS DOUBLE) AS x, CAST(v0 - ar AS DOUBLE) AS y, CAST(h1 - h0 AS DOUBLE) AS w, CAST(v1 - v0 AS DOUBLE) AS h, CAST((v1 - v0) * (h1 - h0) AS DOUBLE) AS area, (v1 - v0) * (h1 - h0) < area_all AS truncated FROM meet WHERE {_SHARE} AND v1 - v0 >= 2 AND h1 - h0 >= 2)"

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from geoloom.functions import cleaning as C
 from geoloom.functions import tiles as T
 from geoloom.functions import utm
+from geoloom.operators import burn as B
+from geoloom.operators import exports as E
 from geoloom.operators import raster as R
 from geoloom.operators import sampling as A
 from geoloom.operators import spatial as S
@@ -16,7 +18,7 @@ from geoloom.operators import splits as P
 from geoloom.operators import targets as G
 from geoloom.plans.geometry import _POINT_TILE
 from geoloom.plans.masks import PIXELS, pixels
-from geoloom.plans.patches import BURNED, IN_PATCH, MEET, _SHARE, g18_class_pixels, labels, patches
+from geoloom.plans.patches import BURNED, IN_PATCH, MEET, _SHARE, g18_class_pixels, labels, patches, shapes
 from geoloom.plans.tables import ANCHORS, FEATURES, PATCH, POINTS, anchors, points, sql, table
 
 c = F.col
@@ -164,7 +166,7 @@ def g2_padded_masks(spark, sf_dir) -> DataFrame:
 
 def g9_accepts_instances(spark, sf_dir) -> DataFrame:
     """Patches that instances cover by a twentieth or more, each pixel once."""
-    found = S.patch_pixels(patches(spark, sf_dir), S.burned(labels(spark, sf_dir)), PATCH).groupBy("patch").agg(F.count_distinct(F.struct("pr", "pc")).alias("covered"))
+    found = B.feature_pixels(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH).groupBy("patch").agg(F.sum("pixels").alias("covered"))
     return found.where(c("covered") >= 0.05 * PATCH * PATCH)
 
 
@@ -193,21 +195,14 @@ def m6_split_statistics(spark, sf_dir) -> DataFrame:
 
 def m9_info_table(spark, sf_dir) -> DataFrame:
     """Objects by split and class, with totals of either."""
-    found = G.detections(patches(spark, sf_dir), labels(spark, sf_dir), PATCH).join(P.random_split(patches(spark, sf_dir), "patch").select("patch", "split"), "patch")
+    found = G.detections(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH).join(P.random_split(patches(spark, sf_dir), "patch").select("patch", "split"), "patch")
     return found.rollup("split", "class_id").agg(F.count(F.lit(1)).alias("objects"), F.round(F.sum("area"), 2).alias("area"))
 
 
 def w12_coco_instances(spark, sf_dir) -> DataFrame:
-    """Instances with ids over all patches and the run lengths of their boxes' masks."""
-    found = G.instances(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
-    before = c("x") * PATCH + c("y")
-    columns = F.flatten(F.transform(F.sequence(F.lit(1), c("w")), lambda i: F.when(i < c("w"), F.array(c("h"), PATCH - c("h"))).otherwise(F.array(c("h")))))
-    rest = F.lit(PATCH * PATCH) - before - (c("w") - 1) * PATCH - c("h")
-    # A box as high as the patch is one run.
-    runs = F.when(c("h") == PATCH, F.array(before, c("w") * PATCH)).otherwise(F.concat(F.array(before), columns))
-    counts = F.when(rest > 0, F.concat(runs, F.array(rest))).otherwise(runs)
-    rank = F.row_number().over(Window.orderBy("patch", "feature")).cast("bigint")
-    return found.select(rank.alias("id"), "patch", "class_id", F.array_join(counts.cast("array<string>"), ",").alias("counts"))
+    """Instances with ids over all patches and the run lengths of their masks."""
+    found = G.instances(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
+    return E.numbered(found).select("id", "patch", "class_id", F.array_join(c("counts").cast("array<string>"), ",").alias("counts"))
 
 
 def w16_by_split(spark, sf_dir) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import burn as B
 from geoloom.operators import raster as R
+from geoloom.operators import shapes as Z
 from geoloom.operators import spatial as S
 from geoloom.operators import targets as G
 from geoloom.plans.tables import ANCHORS, FEATURES, PATCH, anchors, features, sql, table
@@ -21,12 +24,27 @@ def labels(spark, sf_dir) -> DataFrame:
     return features(spark, sf_dir).withColumnRenamed("id", "feature")
 
 
+def boxes_as_shapes(boxes: DataFrame) -> DataFrame:
+    """Pixel boxes (feature, class_id, r0, r1, c0, c1) as polygons of four corners."""
+    return Z.shapes(boxes.select("feature", "class_id", Z.box_parts().alias("parts")))
+
+
+def shapes(spark, sf_dir) -> DataFrame:
+    return boxes_as_shapes(labels(spark, sf_dir))
+
+
+def valid_patches(spark, sf_dir) -> DataFrame:
+    """Patches on a raster of 2500 x 2380 pixels: beyond it they are padding."""
+    return B.within(patches(spark, sf_dir), 2500, 2380)
+
+
 def areas(spark, sf_dir) -> DataFrame:
-    """Larger boxes with a name, as areas of interest: customers with the highest balances, named by nation."""
-    return labels(spark, sf_dir).join(table(spark, sf_dir, "customer").where("c_acctbal > 8800").select(c("c_custkey").alias("feature"), "c_nationkey"), "feature").select("feature", F.concat(F.lit("n"), (c("c_nationkey") % 7).cast("string")).alias("name"), "r0", (c("r1") + 30).alias("r1"), "c0", (c("c1") + 40).alias("c1"))
+    """Every customer's box as an area of interest, named by nation: some patches lie in none."""
+    named = table(spark, sf_dir, "customer").select(c("c_custkey").alias("feature"), F.concat(F.lit("n"), (c("c_nationkey") % 7).cast("string")).alias("name"))
+    return labels(spark, sf_dir).join(named, "feature").select("feature", "name", "r0", "r1", "c0", "c1")
 
 
-AREAS = "areas AS (SELECT id AS feature, 'n' || CAST(c_nationkey % 7 AS VARCHAR) AS name, r0, r1 + 30 AS r1, c0, c1 + 40 AS c1 FROM features JOIN customer ON c_custkey = id WHERE c_acctbal > 8800)"
+AREAS = "areas AS (SELECT id AS feature, 'n' || CAST(c_nationkey % 7 AS VARCHAR) AS name, r0, r1, c0, c1 FROM features JOIN customer ON c_custkey = id)"
 MEET = f"meet AS (SELECT a.id AS patch, f.id AS feature, f.class_id, a.\"row\" AS ar, a.col AS ac, greatest(a.\"row\", f.r0) AS v0, least(a.\"row\" + {PATCH}, f.r1) AS v1, greatest(a.col, f.c0) AS h0, least(a.col + {PATCH}, f.c1) AS h1, (f.r1 - f.r0) * (f.c1 - f.c0) AS area_all FROM anchors a JOIN features f ON f.r0 < a.\"row\" + {PATCH} AND f.r1 > a.\"row\" AND f.c0 < a.col + {PATCH} AND f.c1 > a.col)"
 BURNED = "burned AS (SELECT r, c, arg_max(class_id, id) AS class_id, max(id) AS feature FROM (SELECT id, class_id, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM features)) GROUP BY r, c)"
 IN_PATCH = f"inpatch AS (SELECT a.id AS patch, b.* FROM (SELECT *, r // {PATCH} AS k FROM burned) b JOIN anchors a ON b.k = a.\"row\" // {PATCH} AND b.c >= a.col AND b.c < a.col + {PATCH})"
@@ -50,8 +68,7 @@ def a15_region_of(spark, sf_dir) -> DataFrame:
 
 
 def v5_burned(spark, sf_dir) -> DataFrame:
-    found = S.burned(labels(spark, sf_dir))
-    return found.groupBy("r", "class_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("c").alias("cols"), F.sum("feature").alias("features"))
+    return B.row_sums(shapes(spark, sf_dir))
 
 
 def polygons(spark, sf_dir) -> DataFrame:
@@ -78,12 +95,11 @@ def v10_point_boxes(spark, sf_dir) -> DataFrame:
 
 def g1_mask(spark, sf_dir) -> DataFrame:
     """The runs of equal class in each row of each patch's mask."""
-    pixels = S.patch_pixels(patches(spark, sf_dir), S.burned(labels(spark, sf_dir)), PATCH)
-    return R.islands(pixels.select("patch", "class_id", "pr", "pc"), ["patch", "pr", "class_id"], "pc", "c0", "c1").withColumnRenamed("pr", "r")
+    return B.mask_runs(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 def g18_class_pixels(spark, sf_dir) -> DataFrame:
-    return G.class_pixels(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
+    return G.class_pixels(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 def g3_accepts(spark, sf_dir) -> DataFrame:
@@ -91,15 +107,13 @@ def g3_accepts(spark, sf_dir) -> DataFrame:
 
 
 def g5_detections(spark, sf_dir) -> DataFrame:
-    return G.detections(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
+    return G.detections(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 def g6_accepts_detections(spark, sf_dir) -> DataFrame:
     """Patches that kept detections cover by a tenth or more, overlaps counted once."""
-    found = G.detections(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
-    rows = found.select("patch", "x", "w", F.explode(F.sequence(c("y").cast("bigint"), (c("y") + c("h") - 1).cast("bigint"))).alias("r"))
-    pixels = rows.select("patch", "r", F.explode(F.sequence(c("x").cast("bigint"), (c("x") + c("w") - 1).cast("bigint"))).alias("c")).distinct()
-    return pixels.groupBy("patch").agg(F.count(F.lit(1)).alias("covered")).where(c("covered") >= 0.1 * PATCH * PATCH)
+    a, b = patches(spark, sf_dir), shapes(spark, sf_dir)
+    return G.accepts_detections(a, b, G.detections(a, b, PATCH), PATCH, 0.1)
 
 
 def g7_large_objects(spark, sf_dir) -> DataFrame:
@@ -109,13 +123,12 @@ def g7_large_objects(spark, sf_dir) -> DataFrame:
 
 
 def g8_instances(spark, sf_dir) -> DataFrame:
-    return G.instances(patches(spark, sf_dir), labels(spark, sf_dir), PATCH)
+    return G.instances(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH).drop("counts")
 
 
 def g8_instance_ids(spark, sf_dir) -> DataFrame:
     """Pixels of each instance in the id mask, where a later one lies on top."""
-    pixels = S.patch_pixels(patches(spark, sf_dir), S.burned(labels(spark, sf_dir)), PATCH)
-    return pixels.groupBy("patch", "feature").agg(F.count(F.lit(1)).alias("pixels"))
+    return B.feature_pixels(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 def g10_classes(spark, sf_dir) -> DataFrame:
@@ -123,15 +136,47 @@ def g10_classes(spark, sf_dir) -> DataFrame:
     return found.select("patch", "single", F.array_join(c("multi").cast("array<string>"), " ").alias("multi"))
 
 
-def g12_change(spark, sf_dir) -> DataFrame:
-    """Two classes before, the others after: changed and equal pixels by row."""
+def _changes(spark, sf_dir, with_areas: bool) -> DataFrame:
+    """Two classes before, the others after: changed and equal pixels, of those that a set labels, by row."""
     all_ = labels(spark, sf_dir)
-    found = G.changed(S.burned(all_.where("class_id <= 2")), S.burned(all_.where("class_id > 2")))
-    return found.groupBy("r").agg(F.count_if("changed").alias("changed"), F.count_if(~c("changed")).alias("same"))
+    sides = [all_.where(w) for w in ("class_id <= 2", "class_id > 2")]
+    before, after = (boxes_as_shapes(x) for x in sides)
+    wider = tuple(boxes_as_shapes(x.withColumns({"r1": c("r1") + 30, "c1": c("c1") + 40})) for x in sides) if with_areas else None
+
+    def body(p, changed, known) -> tuple:
+        some = known & ((p.classes[0] > 0) | (p.classes[1] > 0))
+        n = some.sum(1)
+        r = np.flatnonzero(n)
+        return p.row + r, changed.sum(1)[r], (some & ~changed).sum(1)[r]
+
+    tiles = B.tiles(before.unionByName(after))
+    found = B.change(tiles, before, after, 256, body, "r long, changed long, same long", wider)
+    return found.groupBy("r").agg(F.sum("changed").alias("changed"), F.sum("same").alias("same"))
+
+
+def g12_change(spark, sf_dir) -> DataFrame:
+    return _changes(spark, sf_dir, False)
+
+
+def g12_change_areas(spark, sf_dir) -> DataFrame:
+    """The same where both sets have annotated areas, around their labels: elsewhere nothing is known."""
+    return _changes(spark, sf_dir, True)
+
+
+def g10_valid_classes(spark, sf_dir) -> DataFrame:
+    """Classes of patches by their valid pixels; those beyond the raster have none and are left out."""
+    counts = G.class_pixels(valid_patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
+    found = G.patch_classes(counts, 0.02, background=True)
+    return found.select("patch", "single", F.array_join(c("multi").cast("array<string>"), " ").alias("multi"))
+
+
+def g5_valid_detections(spark, sf_dir) -> DataFrame:
+    """Detections of what lies on the raster."""
+    return G.detections(valid_patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
 
 
 def g21_object_counts(spark, sf_dir) -> DataFrame:
-    return G.detections(patches(spark, sf_dir), labels(spark, sf_dir), PATCH).groupBy("patch", "class_id").agg(F.count(F.lit(1)).alias("objects"))
+    return G.detections(patches(spark, sf_dir), shapes(spark, sf_dir), PATCH).groupBy("patch", "class_id").agg(F.count(F.lit(1)).alias("objects"))
 
 
 def m11_label_summary(spark, sf_dir) -> DataFrame:
@@ -188,6 +233,9 @@ QUERIES = {
     "g8_instance_ids": (g8_instance_ids, sql("SELECT patch, feature, count(*) AS pixels FROM inpatch GROUP BY ALL", ANCHORS, FEATURES, BURNED, IN_PATCH)),
     "g10_classes": (g10_classes, sql("SELECT id AS patch, coalesce(single, 0) AS single, coalesce(multi, '0') AS multi FROM anchors LEFT JOIN (SELECT patch, arg_max(class_id, pixels * 1000 - class_id) AS single, string_agg(CAST(class_id AS VARCHAR), ' ' ORDER BY class_id) AS multi FROM (SELECT *, pixels / sum(pixels) OVER (PARTITION BY patch) AS s FROM counts) WHERE class_id <> 0 AND s >= 0.02e0 GROUP BY patch) ON id = patch", ANCHORS, FEATURES, BURNED, IN_PATCH, COUNTS)),
     "g12_change": (g12_change, sql("SELECT r, count(*) FILTER (WHERE coalesce(a, 0) <> coalesce(b, 0)) AS changed, count(*) FILTER (WHERE coalesce(a, 0) = coalesce(b, 0)) AS same FROM (SELECT r, c, arg_max(class_id, id) FILTER (WHERE class_id <= 2) AS a, arg_max(class_id, id) FILTER (WHERE class_id > 2) AS b FROM (SELECT id, class_id, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM features)) GROUP BY r, c) GROUP BY r", FEATURES)),
+    "g12_change_areas": (g12_change_areas, sql("SELECT r, count(*) FILTER (WHERE coalesce(a, 0) <> coalesce(b, 0)) AS changed, count(*) FILTER (WHERE coalesce(a, 0) = coalesce(b, 0)) AS same FROM (SELECT r, c, arg_max(class_id, id) FILTER (WHERE class_id <= 2 AND own) AS a, arg_max(class_id, id) FILTER (WHERE class_id > 2 AND own) AS b, bool_or(own) AS seen, bool_or(class_id <= 2) AS in_a, bool_or(class_id > 2) AS in_b FROM (SELECT id, class_id, r, c, r < r1 AND c < c1 AS own FROM (SELECT *, unnest(range(c0, c1 + 40)) AS c FROM (SELECT *, unnest(range(r0, r1 + 30)) AS r FROM features))) GROUP BY r, c) WHERE seen AND in_a AND in_b GROUP BY r", FEATURES)),
+    "g10_valid_classes": (g10_valid_classes, sql("SELECT id AS patch, coalesce(single, 0) AS single, coalesce(multi, '0') AS multi FROM inside LEFT JOIN (SELECT patch, arg_max(class_id, pixels * 1000 - class_id) AS single, string_agg(CAST(class_id AS VARCHAR), ' ' ORDER BY class_id) AS multi FROM (SELECT patch, class_id, count(*) AS pixels, count(*) / any_value(valid) AS s FROM inpatch JOIN inside ON id = patch WHERE r < 2500 AND c < 2380 GROUP BY patch, class_id) WHERE s >= 0.02e0 GROUP BY patch) ON id = patch", ANCHORS, FEATURES, BURNED, IN_PATCH, f"inside AS (SELECT * FROM (SELECT id, greatest(0, least(\"row\" + {PATCH}, 2500) - \"row\") * greatest(0, least(col + {PATCH}, 2380) - col) AS valid FROM anchors) WHERE valid > 0)")),
+    "g5_valid_detections": (g5_valid_detections, sql(f"SELECT patch, feature, class_id, CAST(h0 - ac AS DOUBLE) AS x, CAST(v0 - ar AS DOUBLE) AS y, CAST(h1 - h0 AS DOUBLE) AS w, CAST(v1 - v0 AS DOUBLE) AS h, CAST((v1 - v0) * (h1 - h0) AS DOUBLE) AS area, (v1 - v0) * (h1 - h0) < area_all AS truncated FROM (SELECT * REPLACE (least(v1, 2500) AS v1, least(h1, 2380) AS h1) FROM meet) WHERE v1 > v0 AND h1 > h0 AND {_SHARE} AND v1 - v0 >= 2 AND h1 - h0 >= 2", ANCHORS, FEATURES, MEET)),
     "g18_class_pixels": (g18_class_pixels, sql("SELECT patch, class_id, pixels FROM counts", ANCHORS, FEATURES, BURNED, IN_PATCH, COUNTS)),
     "g21_object_counts": (g21_object_counts, sql(f"SELECT patch, class_id, count(*) AS objects FROM meet WHERE {_SHARE} AND v1 - v0 >= 2 AND h1 - h0 >= 2 GROUP BY ALL", ANCHORS, FEATURES, MEET)),
     "m11_label_summary": (m11_label_summary, sql("SELECT class_name, count(*) AS features, count(*) FILTER (WHERE r0 < 1300 AND r1 > 200 AND c0 < 1800 AND c1 > 300) AS in_region FROM features GROUP BY class_name", FEATURES)),
