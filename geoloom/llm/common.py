@@ -21,8 +21,11 @@ BATCH_ROWS = 512
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is named (tests), one under the warehouse."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster, spark.checkpoint.dir; in local mode, where it is unset, one under the warehouse."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("executors need a shared folder for tables: set spark.checkpoint.dir")
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/geoloom"
 
 
@@ -48,11 +51,23 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside; the session's own number afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, tag: str, rows: int = BATCH_ROWS) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, outlives executors and is computed once."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    with cleared(spark):
+    with cleared(spark), batch_rows(spark, rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,14 +91,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_number(df: DataFrame, key: str) -> str:
+    """The type of a key that is compared as a long; others than whole numbers raise here, not in a task."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a whole number, not {kind}")
+    return kind
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

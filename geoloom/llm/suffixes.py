@@ -19,7 +19,8 @@ class have an earlier copy of that window.
 
 Defined results: a null text is empty; documents of equal key don't remove from each other; a null
 key neither removes nor loses anything; repeated rows (equal key and text) get equal results; an
-empty table gives an empty table; other columns are ignored.
+empty table gives an empty table; other columns are ignored, whatever their names. Keys are whole
+numbers; other types raise. A very long text is hashed in pieces and its row is one batch.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bounded, cleared, documents, joined, release, small_batches, texts, written
+from geoloom.llm.common import batches, bounded, cleared, documents, joined, release, texts, whole_number, written
 
 LENGTH = 50
 SEED = 20
@@ -278,7 +279,7 @@ def blocks(found: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, t (xxhash64 of the text), spans (array of start, stop): what goes, overlapping as found."""
     spark = docs.sparkSession
-    small_batches(spark)
+    whole_number(docs, key)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null").where(F.octet_length("text") >= LENGTH)
     rows = rows.withColumn("t", F.xxhash64("text"))
     prints = rows.select("key", "t", F.octet_length("text").alias("n"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
@@ -360,9 +361,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             key, t, at = (get(c, open_)[hit] for c in ("key", "t", "at"))
             yield span(key, t, (at - most[hit]).astype(np.int32), (at - least[hit] + LENGTH).astype(np.int32))
 
-    small_batches(spark, 16384)  # rows of at most some hundred bytes
-    spans = written(places.repartition("h").sortWithinPartitions("h", "key").mapInArrow(match, "key long, t long, start int, stop int"), "suffix-spans")
-    small_batches(spark)
+    spans = written(places.repartition("h").sortWithinPartitions("h", "key").mapInArrow(match, "key long, t long, start int, stop int"), "suffix-spans", rows=16384)  # rows of some hundred bytes at most
     release(spark)
     whole = copies.select("key", "t", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"))
     return spans.unionByName(whole).groupBy("key", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("key", key)
