@@ -16,21 +16,24 @@ steps on the links, the last FEW links by one task. Fingerprints, links and comp
 
 Defined results: a null or empty text has fingerprint zero and links as any other; repeated rows
 have equal fingerprints and so one component; an empty table gives an empty table; other columns are
-ignored. component_id is the smallest key of the component, null keys aside.
+ignored, whatever their names. component_id is the smallest key of the component, null keys aside;
+keys are whole numbers, other types raise. A very long text is a batch of its own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bitmap, bounded, documents, dropped, mapped, release, small_batches, texts, written
+from geoloom.llm.common import batches, bitmap, bounded, documents, dropped, mapped, release, texts, whole_number, written
 
 DISTANCE = 4
 SHINGLE = 4
@@ -74,7 +77,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp (the fingerprint as a signed long)."""
-    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +186,21 @@ def linked(nodes: DataFrame, cells_of: Callable[[DataFrame], DataFrame], near: C
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """key, fp, root (the smallest key reachable over links) for each row of df."""
+    whole_number(df, key)
     if not 0 <= distance <= BLOCKS - 2:
         raise ValueError(f"cells of two sub-grids of {BLOCKS} find links up to distance {BLOCKS - 2}")
     prints = written(fingerprints(df, key, text, shingle), "simhash-prints")
-    nodes = written(prints.where("key is not null").groupBy("fp").agg(F.min("key").alias("node")), "simhash-nodes")
-    found = written(linked(nodes, cells, lambda a, b: close(a, b, distance)), "simhash-classes")
+    least = written(prints.where("key is not null").groupBy("fp").agg(F.min("key").alias("key")), "simhash-least")
+    nodes = least.select(F.col("fp").alias("node"), "fp")
+    found = written(linked(nodes, cells, lambda a, b: close(a, b, distance)).select("fp", F.col("root").alias("group")), "simhash-classes")
+    found = written(rooted(least.join(found, "fp")).select("fp", "root"), "simhash-roots")
     release(df.sparkSession)
-    return prints.join(found.select("fp", "root"), "fp", "left").select(F.col("key").alias(key), "fp", "root")
+    return prints.join(found, "fp", "left").select(F.col("key").alias(key), "fp", "root")
+
+
+def rooted(members: DataFrame) -> DataFrame:
+    """members (group, key, ...) with root, the smallest key of the group."""
+    return members.join(members.groupBy("group").agg(F.min("key").alias("root")), "group")
 
 
 #: Texts are near-duplicates if their sets of distinct shingles have a Jaccard similarity of NEAR / OF or more.
@@ -251,8 +261,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
 
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """key, root (the smallest key of its group) for each row: groups of texts that links of a similarity of 0.8 or more join.
+def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, t (xxhash64 of the text), group, root (its smallest key) for each row: texts that links of a similarity of 0.8 or more join.
 
     Exact: equal sets are found by digest; others that are similar share a shingle of their prefixes.
     An equi-join on those that several have brings candidates together; the sizes, and the shingles
@@ -261,10 +271,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     linked(), a cell's members are compared with its pivot first, and only members of different
     components with each other.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    spark, kind = df.sparkSession, whole_number(df, key)
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     common = spark.sparkContext.broadcast(common_shingles(df, key, text, shingle))
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -272,18 +280,22 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     def made(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row = TaskContext.get().partitionId() << 40
             for batch in batches(found, BATCH_BYTES):
                 sets = [shingles(x, shingle) for x in texts(batch)]
                 digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
                 sizes = pa.array([len(x) for x in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, lists(sets if whole else [prefix(x, common.value) for x in sets])], ["key", "digest", "n", "hashes"])
+                rows = pa.array(row + np.arange(len(sets)))
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), rows, digests, sizes, lists(sets if whole else [prefix(x, common.value) for x in sets])], ["key", "t", "row", "digest", "n", "hashes"])
 
         return run
 
-    schema = f"key {kind}, digest binary, n int, hashes array<long>"
+    schema = f"key {kind}, t long, row long, digest binary, n int, hashes array<long>"
     prints = written(docs.mapInArrow(made(False), schema), "similar-prints")
-    nodes = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("node")), "similar-nodes")
-    own = written(prints.join(nodes.withColumnRenamed("node", "key"), ["key", "digest"], "left_semi").select("key", "n", "hashes"), "similar-own")
+    # A node is a set of shingles: the number of one of its rows, as keys may repeat.
+    nodes = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("node")), "similar-nodes")
+    own = written(prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "hashes"), "similar-own")
     counts = own.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     several = spark.sparkContext.broadcast(bitmap(counts.select("token")))
 
@@ -295,7 +307,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
             row = np.searchsorted(stops, at, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - stops[row]).astype(np.int32))], ["token", "node", "n", "at"])
 
-    grid = written(own.mapInArrow(shared, f"token long, node {kind}, n int, at int"), "similar-grid")
+    grid = written(own.mapInArrow(shared, "token long, node long, n int, at int"), "similar-grid")
     dropped(own)
     # What two sets can share at most, if the shingle they meet in is the first they share.
     most = lambda a, b: F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
@@ -306,11 +318,12 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     stars = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "similar-stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        some = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-some")
-        some = F.broadcast(some) if bounded(some, FEW) else some  # or whole texts are shuffled
-        sets = docs.join(some, "key", "left_semi").mapInArrow(made(True), schema)
-        whole = sets.join(nodes.withColumnRenamed("node", "key"), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
-        return written(whole.select(F.col("key").alias("node"), "hashes"), "similar-sets")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = written(nodes.join(some, "node", "left_semi"), "similar-some")
+        keys = some.select("key").distinct()
+        keys = F.broadcast(keys) if bounded(some, FEW) else keys  # or whole texts are shuffled
+        sets = docs.join(keys, "key", "left_semi").mapInArrow(made(True), schema)
+        return written(sets.join(some, ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
 
     sets = sets_of(stars)
     first = written(components(verified(stars, sets)), "similar-first")
@@ -327,19 +340,39 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     links = verified(across, sets_of(across)).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     top = written(components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "similar-top")
-    found = nodes.join(first, "node", "left").select("digest", F.coalesce("root", "node").alias("mid"))
+    found = nodes.join(first, "node", "left").select("digest", "key", F.coalesce("root", "node").alias("mid"))
     found = found.join(top.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left")
-    found = written(found.select("digest", F.coalesce("top", "mid").alias("root")), "similar-classes")
+    found = written(rooted(found.select("digest", "key", F.coalesce("top", "mid").alias("group"))).select("digest", "group", "root"), "similar-classes")
     release(spark)
-    return prints.select("key", "digest").join(found, "digest", "left").select(F.col("key").alias(key), "root")
+    return prints.select("key", "t", "digest").join(found, "digest", "left").select("key", "t", "group", "root")
+
+
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """key, root (the smallest key of its group) for each row: groups of texts that links of a similarity of 0.8 or more join."""
+    return grouped(df, key, text, shingle).select(F.col("key").alias(key), "root")
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of df with the smallest key of their group of similar(); of rows with that key, one. Rows of null key stay."""
-    groups = similar(df, key, text, shingle)
-    stay = groups.where(F.col(key) == F.col("root")).select(F.col(key).alias("root")).distinct()
-    kept = df.where(F.col(key).isNotNull()).join(stay, F.col(key) == F.col("root"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    """A row of df for each group of similar(): of the smallest key, then of the least hash of the text, then of all columns.
+
+    Rows of null key stay. Where no key repeats, a semi-join on it is all that whole rows go through.
+    """
+    spark = df.sparkSession
+    groups = written(grouped(df, key, text, shingle).where("key is not null"), "similar-groups")
+    own = f"__{uuid.uuid4().hex}"  # no column of df has this name
+    k, t, h = (f"{own}_{x}" for x in "kth")
+    first = groups.where(F.col("key") == F.col("root")).groupBy("group").agg(F.min("key").alias(k), F.min("t").alias(t))
+    several = written(groups.groupBy(F.col("key").alias(k)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(k), "similar-several")
+    small = F.broadcast(several) if bounded(several, FEW) else several
+    stay = written(first.join(small, k, "left_anti").select(k), "similar-stay")
+    kept = df.join(F.broadcast(stay) if bounded(stay, FEW) else stay, F.col(f"`{key}`") == F.col(k), "left_semi").unionByName(df.where(F.col(f"`{key}`").isNull()))
+    if several.limit(1).count():
+        hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+        again = df.join(small, F.col(f"`{key}`") == F.col(k), "left_semi").withColumns({k: F.col(f"`{key}`"), t: F.xxhash64(f"`{text}`"), h: F.xxhash64(*hashed)})
+        again = again.join(first.select(k, t).distinct(), [k, t], "left_semi")
+        best = again.groupBy(k, t).agg(F.min(h).alias(h))
+        kept = kept.unionByName(again.join(best, [k, t, h], "left_semi").dropDuplicates([k, t, h]).select(df.columns))
+    return kept
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
