@@ -4,32 +4,35 @@ Trusted positives and unlabelled web text are described by word, line and charac
 logistic model minimises the non-negative unbiased risk
     p * E+[loss(f)] + max(0, Eu[loss(-f)] - p * E+[loss(-f)]),
 in whose negative part a step goes uphill while it is below 0, so that a flexible model can't drive
-it there. The class prior p is estimated from the same two samples: over thresholds t of a
-positive-against-unlabelled score, the least ratio of shares Pu(s > t) / P+(s > t), each half of
-the rows scored by a model of the other half.
+it there. The class prior p is estimated over thresholds t of a positive-against-unlabelled score: the
+least ratio of shares Pu(s > t) / P+(s > t), P+ of either half of the positives by a model of the
+other half, Pu of all rows by one aggregation.
 
-Fitting reads bounded samples, the SAMPLE rows of either kind with the least hashes of their keys;
-scoring reads every text in full.
+The weights are fitted on bounded samples, the SAMPLE keys of either kind with the least hashes (a
+key that repeats gives one of its rows); the prior and the scores read every text in full.
 
-Defined results: a null text counts as empty and is scored like any other; without positives every
-score is 0; repeated rows get equal scores; other columns are ignored; an empty table gives an empty
-table.
+Defined results: a null text counts as empty and is scored like any other; rows of null key are
+scored, but not learned; without positives every score is 0; repeated rows get equal scores; other
+columns are ignored, whatever their names; an empty table gives an empty table. A very long text is
+a batch of its own.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, documents, joined, remainder, small_batches, texts
+from geoloom.llm.common import batch_rows, batches, documents, joined, remainder, texts
 
 #: Rows of either kind that the model is fitted on.
 SAMPLE = 8000
+#: Thresholds at which shares are compared for the class prior.
+LEVELS = 64
 BATCH_BYTES = 1 << 20
 THRESHOLD = 0.7
 #: Classes of bytes whose shares of a text are features.
@@ -72,30 +75,36 @@ def descend(gradient, width: int, rounds: int, rate: float = 0.05) -> np.ndarray
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200) -> float:
-    """Share of positives among the unlabelled. Rows end in a 1."""
-    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+def halves(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200) -> list[np.ndarray]:
+    """For each half of the rows a model of positives against unlabelled. Rows end in a 1."""
+    out = []
     for half in (0, 1):
         own_p, own_u = positive[half::2], unlabelled[half::2]
 
         def gradient(w: np.ndarray, own_p: np.ndarray = own_p, own_u: np.ndarray = own_u) -> np.ndarray:
             return (-sigmoid(-(own_p @ w)) @ own_p / max(1, len(own_p)) + sigmoid(own_u @ w) @ own_u / max(1, len(own_u))) / 2 + 1e-2 * w
 
-        w = descend(gradient, positive.shape[1], rounds)
-        p[1 - half :: 2], u[1 - half :: 2] = positive[1 - half :: 2] @ w, unlabelled[1 - half :: 2] @ w
-    p, u = np.sort(p), np.sort(u)
-    at = p[: max(1, len(p) // 2)]  # thresholds above which at least half of the positives lie
-    over_p = 1 - np.searchsorted(p, at) / len(p)
-    over_u = 1 - np.searchsorted(u, at) / len(u)
-    return float(np.clip((over_u / over_p).min(), 0.01, 0.99))
+        out.append(descend(gradient, positive.shape[1], rounds))
+    return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 400, decay: float = 1e-2) -> dict:
-    """The model: standardisation, weights, and the class prior that was used."""
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    wide = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).clip(-8, 8).astype(np.float64)
-    p, u = wide(positive), wide(unlabelled)
-    prior = estimate_prior(p, u) if prior is None else prior
+def thresholds(positive: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
+    """[2, LEVELS]: scores that half or more of the positives pass, of each half by the model of the other."""
+    return np.array([np.quantile(positive[1 - half :: 2] @ w if len(positive) > 1 else positive @ w, np.linspace(0, 0.5, LEVELS)) for half, w in enumerate(models)])
+
+
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features in deviations from the mean, and a 1."""
+    return np.hstack([((x - mean) / scale).clip(-8, 8), np.ones((len(x), 1))]).astype(np.float64)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Callable[[dict], float], rounds: int = 400, decay: float = 1e-2) -> dict:
+    """The model: standardisation, weights, and the class prior that was used; prior may be found from models of the halves."""
+    model = {"mean": unlabelled.mean(0), "scale": unlabelled.std(0) + 1e-3}
+    p, u = (standard(x, model["mean"], model["scale"]) for x in (positive, unlabelled))
+    if callable(prior):
+        models = halves(p, u)
+        prior = prior(model | {"halves": models, "levels": thresholds(p, models)})
 
     def gradient(w: np.ndarray) -> np.ndarray:
         fp, fu = p @ w, u @ w
@@ -106,40 +115,58 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
             return -down + decay * w
         return up + down + decay * w
 
-    return {"mean": mean, "scale": scale, "weights": descend(gradient, p.shape[1], rounds), "prior": prior}
+    return model | {"weights": descend(gradient, p.shape[1], rounds), "prior": prior}
 
 
 def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
-    if model is None:
-        return np.zeros(len(x))
-    z = ((x - model["mean"]) / model["scale"]).clip(-8, 8)
-    return sigmoid(z @ model["weights"][:-1] + model["weights"][-1])
+    return np.zeros(len(x)) if model is None else sigmoid(standard(x, model["mean"], model["scale"]) @ model["weights"])
+
+
+def prior_of(docs: DataFrame, text: str, model: dict) -> float:
+    """The least ratio, over thresholds, of the share of all docs above to that of held-out positives."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, over, rows = shared.value, np.zeros((2, LEVELS), np.int64), 0
+        for batch in batches(found, BATCH_BYTES):
+            x = standard(features(texts(batch)), m["mean"], m["scale"])
+            rows += len(x)
+            for half, (w, levels) in enumerate(zip(m["halves"], m["levels"], strict=True)):
+                over[half] += len(x) - np.searchsorted(np.sort(x @ w), levels)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * LEVELS + 1)), pa.array(np.append(over.ravel(), rows))], ["place", "n"])
+
+    with batch_rows(docs.sparkSession):
+        sums = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    n = dict(sums)
+    over_u = np.array([n.get(i, 0) for i in range(2 * LEVELS)]).reshape(2, LEVELS) / max(1, n.get(2 * LEVELS, 0))
+    return float(np.clip((over_u / (1 - np.linspace(0, 0.5, LEVELS))).min(), 0.01, 0.99))
 
 
 def train(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict | None:
-    """Fit on at most `sample` of the keys in positives and as many rows of docs, of whatever quality."""
+    """Fit on at most `sample` of the keys in positives and as many rows of docs, of whatever quality; the class prior is of all docs."""
     spark = docs.sparkSession
-    small_batches(spark)
-    k = F.col(key).cast("long").alias("key")
-    least = lambda df, kind: df.select(k).where("key is not null").withColumn("h", F.xxhash64("key", F.lit(7))).orderBy("h", "key").limit(sample).select("key", F.lit(kind).alias("kind"))
-    chosen = least(positives, 1).unionByName(least(docs, 0))  # at most 2 * sample rows
-    rows = docs.select(k, F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    k, kind = F.col(f"`{key}`").alias("key"), docs.schema[key].dataType.simpleString()
+    positives = positives.select(F.col(f"`{key}`").cast(kind).alias("key"))
+    least = lambda df, label: df.where("key is not null").distinct().withColumn("h", F.xxhash64("key", F.lit(7))).orderBy("h", "key").limit(sample).select("key", F.lit(label).alias("kind"))
+    chosen = least(positives, 1).unionByName(least(docs.select(k), 0))  # at most 2 * sample keys
+    rows = docs.select(k, F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key")
 
     def describe(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found, BATCH_BYTES):
             x = features(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "kind", "x"])
 
-    got = rows.select("key", "text", "kind").mapInArrow(describe, "key long, kind int, x binary").orderBy("kind", "key").collect()
-    matrix = lambda kind: [np.frombuffer(r.x, np.float32) for r in got if r.kind == kind]
+    found = rows.select("key", "text", "kind").mapInArrow(describe, f"key {kind}, kind int, x binary")
+    with batch_rows(spark):
+        got = found.groupBy("kind", "key").agg(F.min("x").alias("x")).orderBy("kind", "key").collect()  # a row for a key
+    matrix = lambda label: [np.frombuffer(r.x, np.float32) for r in got if r.kind == label]
     p, u = matrix(1), matrix(0)
-    return fit(np.array(p, np.float64), np.array(u, np.float64)) if p and u else None
+    return fit(np.array(p, np.float64), np.array(u, np.float64), lambda model: prior_of(docs, text, model)) if p and u else None
 
 
 def score(df: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df's columns and score double; a column of that name is replaced."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     df = df.drop("score")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["score double"])
