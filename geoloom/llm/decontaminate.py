@@ -12,8 +12,10 @@ copies of a passage.
 
 Defined results: words are lower-cased in A-Z and lose punctuation at their ends (a word of nothing
 else stays); a null or empty text or item matches nothing; items of fewer than MIN_MATCH words match
-where all their words do, but never those of fewer than the shortest mask; a repeated document or
-item gives its rows again; empty tables give an empty table; other columns are ignored.
+where all their words do, but never those of fewer than the shortest mask; of stretches with equal
+matches the one that begins earliest in the document against the item's start is given, and in it
+the first; a repeated document or item gives its rows again; empty tables give an empty table; other
+columns are ignored, whatever their names. A very long text is a batch of its own.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, documents, packed, small_batches, texts, unpacked
+from geoloom.llm.common import batches, documents, packed, texts, unpacked
 
 #: Which of consecutive words a seed reads.
-MASKS = ("11111", "1101011", "11001011", "110100101")
+MASKS = ("11011", "1101011", "11001011", "110100101")
 MIN_MATCH = 8
 MISS = 3
 BLOCK_WORDS = 1 << 18
@@ -96,14 +98,14 @@ class Block:
                 text = int(owner[place])
                 diagonals.update((text, i, place - p) for i, p in zip(self.item[a:b].tolist(), self.at[a:b].tolist(), strict=True))
         best: dict[tuple[int, int], tuple] = {}
-        for text, item, shift in diagonals:
+        for text, item, shift in sorted(diagonals):
             first, n = int(self.starts[item]), int(self.lengths[item])
             begin = max(first, int(starts[text]) - shift)
             end = min(first + n, int(starts[text] + lengths[text]) - shift)
             same = words[begin + shift : end + shift] == self.words[begin:end]
             a, b = stretch(same)
             matches = int(same[a:b].sum())
-            if matches >= min(MIN_MATCH, n) and (text, item) not in best or matches > best.get((text, item), (0,) * 6)[5] >= 1:
+            if matches >= min(MIN_MATCH, n) and matches > best.get((text, item), (0,) * 6)[5]:
                 best[text, item] = (text, item, begin + a + shift - int(starts[text]), begin + a - first, b - a, matches)
         return [best[k] for k in sorted(best)]
 
@@ -137,7 +139,6 @@ OVERLAPS = "item_id long, start long, item_start long, n_words long, n_matched l
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and benchmark item that overlap: the best stretch, in words."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {OVERLAPS}"
     out = spark.createDataFrame([], schema)
@@ -159,7 +160,6 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that overlap no benchmark item, all columns as they are, without a shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
     at = docs.columns.index(text)
     out = docs
     for block in blocks(items, item_key, item_text):
