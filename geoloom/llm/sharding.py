@@ -7,11 +7,13 @@ itself, so growing from n to n + 1 shards moves 1 / (n + 1) of the records, all
 Defined results: a null key counts as the empty text; equal keys share a shard; an empty table
 gives an empty table; columns of the input whose names equal an output column are replaced; a null
 text has size 1 and the crc32 of the empty text. Slots are gapless from 0 in every shard also with
-repeated keys.
+repeated keys: such rows are in the order of a hash of all their columns but maps, and rows equal in
+those are exchangeable. Very long texts are read once and never held together.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +22,9 @@ from pyspark.sql.window import Window
 
 from geoloom.llm.common import documents
 
-#: Slices of the hash range within a shard that are ranked apart: the slot table has at most shards x SLICES rows.
-SLICES = 4096
+#: Slices of the hash range within a shard, and parts of a slice, that are ranked apart: the slot table has at most shards x SLICES x PARTS rows.
+SLICES = 256
+PARTS = 16
 
 
 def draw(seed: str, key: Column, part: str) -> Column:
@@ -41,20 +44,25 @@ def rendezvous(key: Column, weights: Sequence[float], seed: str = "shards") -> C
 def shard(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * 8, grown: Sequence[float] | None = None, seed: str = "shards") -> DataFrame:
     """df with shard int, slot long and, if grown weights are given, grown_shard int.
 
-    A slot is the rank by (hash, key) in the shard. The hash range is cut into SLICES, each ranked by
-    itself, and a table of at most len(weights) * SLICES counts, small enough to broadcast whatever
-    the size of df, gives the ranks before each slice: no task holds a whole shard.
+    A slot is the rank by (slice, part, hash, key, hash of the row) in the shard. The range of the
+    key's hash is cut into SLICES, each slice by the row's hash into PARTS, so that the rows of a hot
+    key are ranked apart, and a table of at most len(weights) * SLICES * PARTS counts, small enough
+    to broadcast whatever the size of df, gives the ranks before each part.
     """
     df = df.drop(*[c for c in df.columns if c in ("shard", "slot", "grown_shard")])
+    own = f"__{uuid.uuid4().hex}"  # no column of df has these names
+    u, row, piece, start, rank = (f"{own}_{x}" for x in ("u", "row", "slice", "start", "rank"))
     k = F.col(f"`{key}`")
-    placed = df.withColumns({"shard": rendezvous(k, weights, seed), "__u": draw(seed, k, "slot")})
-    placed = placed.withColumn("__slice", F.floor(F.col("__u") * SLICES).cast("int"))
-    counts = placed.groupBy("shard", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__slice").orderBy("__u", k))
-    ranked = placed.withColumn("__rank", rank).join(F.broadcast(starts), ["shard", "__slice"])
-    out = {"slot": F.col("__start") + F.col("__rank") - 1}
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    placed = df.withColumns({"shard": rendezvous(k, weights, seed), u: draw(seed, k, "slot"), row: F.xxhash64(*hashed)})
+    place = F.floor(F.col(u) * SLICES) * PARTS + F.pmod(F.col(row), F.lit(PARTS))
+    placed = placed.withColumn(piece, place.cast("int"))
+    counts = placed.groupBy("shard", piece).agg(F.count(F.lit(1)).alias(start))
+    before = Window.partitionBy("shard").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", piece, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy("shard", piece).orderBy(u, k, row)))
+    ranked = ranked.join(F.broadcast(starts), ["shard", piece])
+    out = {"slot": F.col(start) + F.col(rank) - 1}
     if grown is not None:
         out["grown_shard"] = rendezvous(k, grown, seed)
     return ranked.withColumns(out).select(*[F.col(f"`{c}`") for c in df.columns], "shard", F.col("slot").cast("long").alias("slot"), *(["grown_shard"] if grown is not None else []))
