@@ -7,32 +7,34 @@ next symbols that follow it so often, whatever the size of the corpus. A candida
 divergence of its next-symbol distribution from that of its longest retained suffix, times its count,
 is at least GAIN nats; every occurrence is judged by the counts without itself, and symbols that were
 not kept count against it. Distributions are smoothed into those of the suffix. A symbol is scored by
-the state of the longest retained suffix before it. Tree says the same for two words in memory.
+the state of the longest retained suffix before it.
 
 The tree is a table of sequences of words, by hash. What a sequence adds to the score of a text, as
 context and next symbol and as context of what follows, is one weight, so a text's score is the sum
 of those of all sequences in it. Words are counted over the whole training corpus, longer sequences
 in one more scan for each length, among those whose two parts may occur often enough by a bitmap of
-a fixed size. The MOST sequences of the highest counts are looked up in the scan that scores, the
-others by a join; so are words of less than HEAVY of all tokens.
+a fixed size. The MOST sequences and MOST_WORDS words of the highest counts are looked up in the scan
+that scores, the others by a join. Words are known by 64-bit hashes.
 
 Defined results: a null or empty text is the end symbol alone; a null key counts as the empty text
 for the split into training and held-out rows; a repeated row is learned and scored again; without
-training rows every score is 0; an empty table gives an empty table; other columns are ignored.
+training rows every score is 0; an empty table gives an empty table; other columns are ignored,
+whatever their names. A very long text is a batch of its own: its task needs some hundred bytes for
+each of its words.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bitmap, documents, mapped, release, remainder, small_batches, texts, written
+from geoloom.llm.common import batches, bitmap, documents, mapped, packed, release, remainder, texts, unpacked, written
 
 #: Occurrences that a context and a kept next symbol need.
 LEAST_COUNT = 3
@@ -47,33 +49,83 @@ ROLL = 11
 GAIN = 10.0
 #: Weight of the suffix's distribution, in counts.
 SMOOTH = 4.0
-HEAVY = 1e-6
+#: Words that are broadcast, 16 bytes each.
+MOST_WORDS = 1_000_000
 BATCH_BYTES = 2 << 20
 #: Distinct counts that a task holds before it sends them on.
 HELD = 1 << 22
+#: Bytes whose words are hashed at a time, or one word's: the arrays stay in a core's cache.
+PIECE = 1 << 16
+# Numbers of the word hash: any odd ones, and a random one for each byte.
+BASE, MULTIPLIER = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD6E8FEB86659FD93)
+BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 WORDS, TEXTS = 0, 1
 
 
-def word_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An index for each word of all texts, the hash for each index, words in each text."""
-    index: dict[bytes, int] = {}
-    ids: list[int] = []
-    sizes = []
-    for x in parts:
-        words = x.lower().split()
-        sizes.append(len(words))
-        ids += [index.setdefault(w, len(index)) for w in words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index)).view(np.int64)
-    return np.array(ids, np.int64), hashes, np.array(sizes, np.int64)
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts, A-Z lower-cased, one after another; words in each text.
 
-
-def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The place of each value in a sorted table, -1 where it isn't."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+    A word's hash is the polynomial of its bytes' numbers, taken from running sums of some words at a time.
+    """
+    data = b"\n".join([b"", *parts, b""]).lower()
+    at = np.frombuffer(data, np.uint8)
+    space = SPACE[at]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    bounds = np.cumsum([1, *(len(x) + 1 for x in parts)])
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(stops, low + PIECE, "right")))
+        a, b = starts[first:last] - low, stops[first:last] - low
+        up, down = powers(int(b[-1]))
+        sums = np.append(np.uint64(0), np.cumsum(BYTE[at[low : low + b[-1]]] * up[: b[-1]]))
+        out[first:last] = (sums[b] - sums[a]) * down[a]
+        first = last
+    out = (out ^ (out >> np.uint64(32))) * MULTIPLIER
+    return (out ^ (out >> np.uint64(29))).view(np.int64), sizes
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    step = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)))
+    return step(BASE), step(np.uint64(pow(int(BASE), -1, 1 << 64)))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2^64, for n places or more."""
+    return _powers(max(PIECE, 1 << (n - 1).bit_length()))
+
+
+class Lookup:
+    """Values of uniform 64-bit keys: sorted keys, and where those of each range of hashes begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys.view(np.uint64))
+        self.keys, self.values = keys.view(np.uint64)[order], values[order]
+        self.shift = np.uint64(64 - max(1, min(30, len(keys).bit_length())))
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among values, -1 where there is none."""
+        out = np.full(len(keys), -1)
+        if not len(self.keys):
+            return out
+        keys = keys.view(np.uint64)
+        open_, at = np.arange(len(keys)), self.first[(keys >> self.shift).astype(np.int64)].astype(np.int64)
+        while len(open_):
+            there = at < len(self.keys)
+            open_, at = open_[there], at[there]
+            found, wanted = self.keys[at], keys[open_]
+            hit = found == wanted
+            out[open_[hit]] = at[hit]
+            more = found < wanted
+            open_, at = open_[more], at[more] + 1
+        return out
 
 
 def sequence(codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +142,11 @@ def sequence(codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def tally(rows: DataFrame, count: Callable[[list[bytes]], Iterator[tuple[int, np.ndarray, np.ndarray]]], kinds: int = 1) -> DataFrame:
@@ -121,76 +176,6 @@ def tally(rows: DataFrame, count: Callable[[list[bytes]], Iterator[tuple[int, np
     return rows.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """Retained contexts. Symbols are codes 0 .. end; -1 is any other word.
-
-    one_*: pairs (context * width + next); two_*: pairs (context pair * width + next), the context
-    pair being its place in one_keys. n_*: occurrences of each context; -1: not retained.
-    """
-
-    def __init__(self, base: np.ndarray, occurs: np.ndarray, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], gain: float = GAIN, smooth: float = SMOOTH):
-        self.width, self.smooth = len(base), smooth
-        self.base = base
-        self.one_keys, self.one_n = one
-        self.two_keys, self.two_n = two
-        context, after = np.divmod(self.one_keys, self.width)
-        self.kept_one, self.in_one = self.retain(context, after, self.one_n, occurs, base[after], gain)
-        context, after = np.divmod(self.two_keys, self.width)
-        last = self.one_keys % self.width  # the second word of a context pair
-        below = self.chance_one(last[context], after)
-        self.kept_two, self.in_two = self.retain(context, after, self.two_n, self.one_n, below, gain)
-
-    def retain(self, context: np.ndarray, after: np.ndarray, n: np.ndarray, occurs: np.ndarray, below: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each context whether it is retained, and the count of its kept next symbols."""
-        total = np.bincount(context, n, len(occurs))
-        own = (n - 1 + self.smooth * below) / (total[context] - 1 + self.smooth)
-        won = np.bincount(context, n * np.log(own / below), len(occurs)) if len(n) else np.zeros(len(occurs))
-        lost = (occurs - total).clip(0) * np.log(self.smooth / (total + self.smooth))
-        return (total > 0) & (won + lost >= gain), total
-
-    def chance_one(self, context: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """P(after | the longest retained suffix of at most one word); after must be a code."""
-        at = find(self.one_keys, context * self.width + after)
-        n = np.where(at >= 0, self.one_n[at] if len(self.one_n) else 0, 0)
-        state = (n + self.smooth * self.base[after]) / (self.in_one[context] + self.smooth)
-        return np.where(self.kept_one[context], state, self.base[after])
-
-    def gains(self, codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """For each place of a sequence log10 of P(symbol | longest retained suffix) / P(symbol | root); 0 at a text's first."""
-        out = np.zeros(len(codes))
-        first = np.append(True, ~inside[:-1])
-        previous = np.append(-1, codes[:-1])
-        previous[first] = -1
-        at = np.flatnonzero(previous >= 0)
-        at = at[self.kept_one[previous[at]]]
-        b, c = previous[at], codes[at]
-        total = self.in_one[b] + self.smooth
-        ratio = self.smooth / total
-        known = np.flatnonzero(c >= 0)
-        hit = find(self.one_keys, b[known] * self.width + c[known])
-        some = known[hit >= 0]
-        ratio[some] += self.one_n[hit[hit >= 0]] / (total[some] * self.base[c[some]])
-        chance = np.ones(len(codes))
-        chance[at] = ratio
-        if self.kept_two.any():
-            before = np.append(-1, previous[:-1])
-            before[first] = -1
-            at = np.flatnonzero((before >= 0) & (previous >= 0))
-            pair = find(self.one_keys, before[at] * self.width + previous[at])
-            at, pair = at[pair >= 0], pair[pair >= 0]
-            at, pair = at[self.kept_two[pair]], pair[self.kept_two[pair]]
-            c = codes[at]
-            total = self.in_two[pair] + self.smooth
-            ratio = chance[at] * self.smooth / total
-            known = np.flatnonzero(c >= 0)
-            hit = find(self.two_keys, pair[known] * self.width + c[known])
-            some = known[hit >= 0]
-            ratio[some] += self.two_n[hit[hit >= 0]] / (total[some] * self.base[c[some]])
-            chance[at] = ratio
-        out += np.log10(chance)
-        return out
-
-
 def rolled(x: np.ndarray) -> np.ndarray:
     u = x.view(np.uint64)
     return (u << np.uint64(ROLL) | u >> np.uint64(64 - ROLL)).view(np.int64)
@@ -219,8 +204,7 @@ def often(rows: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(found, BATCH_BYTES):
-            ids, hashes, sizes = word_ids(texts(batch))
-            *_, (shorter, _), (keys, at) = sequences(hashes[ids], sizes, length)
+            *_, (shorter, _), (keys, at) = sequences(*word_hashes(texts(batch)), length)
             there = mapped(shared.value, shorter)
             at = at[there[at] & there[at - 1]]
             each, where, n = np.unique(keys[at], return_index=True, return_counts=True)
@@ -274,21 +258,19 @@ def split(weights: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 def brought(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both columns of a table, sorted by the first."""
+    """Both columns of a table of bounded size."""
     keys, values = (x.to_numpy() for x in table.toArrow().columns)
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    return keys, values
 
 
-def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, most: int = MOST) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, most: int = MOST, most_words: int = MOST_WORDS) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score for each row of docs, learned from train."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = train.select(F.col(text).alias("text"))
+    rows = train.select(F.col(f"`{text}`").alias("text"))
 
     def words_and_texts(parts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        ids, hashes, _ = word_ids(parts)
-        yield WORDS, hashes, np.bincount(ids, minlength=len(hashes))
+        hashes, _ = word_hashes(parts)
+        yield WORDS, *np.unique(hashes, return_counts=True)
         yield TEXTS, np.zeros(1, np.int64), np.array([len(parts)])
 
     counts = written(tally(rows, words_and_texts, 2), "suffixtree-counts")
@@ -297,59 +279,57 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
     tokens, kinds = n_words + n_texts, distinct + (n_texts > 0)
     norm = tokens + 0.5 * (kinds + 1)
     words = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "n")
-    floor = max(1, HEAVY * tokens)
-    often_words, n_often = brought(words.where(F.col("n") >= floor))
     weights = learn(rows, words, n_texts, norm, depth)
+    some_words, seldom = split(words, most_words)
     top, others = split(weights, most)
-    keys, weight = brought(top.select("key", "weight"))
-    maybe = bitmap(weights.select("key"))
+    # What is not in a map of all training words or sequences needs no lookup and no join.
+    model = packed(spark, (Lookup(*brought(some_words.select("word", "n"))), bitmap(words.select("word")), Lookup(*brought(top.select("key", "weight"))), bitmap(weights.select("key"))))
     release(spark)
-    shared = spark.sparkContext.broadcast((often_words, n_often, keys, weight, maybe))
-    some = others is not None
-    del keys, weight
+    with_words, with_longer = seldom is not None, others is not None
     kind = docs.schema[key].dataType.simpleString()
     ends = float(np.log10(n_texts + 0.5))
 
+    def lists(by: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+        values = values[np.argsort(by, kind="stable")]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(by, minlength=n))).astype(np.int32)), pa.array(values))
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, n_often, held, weight, maybe = shared.value
+        known_words, all_words, known_longer, all_longer = unpacked(model)
         row = TaskContext.get().partitionId() << 40
+        none = np.zeros(0, np.int64)
         for batch in batches(found, BATCH_BYTES):
             parts = texts(batch)
-            ids, hashes, n = word_ids(parts)
+            hashes, n = word_hashes(parts)
             owner = np.repeat(np.arange(len(parts)), n)
-            at = find(often, hashes)
+            at = known_words.find(hashes)
             there = at >= 0
-            logs = np.where(there, np.log10((n_often[at] if len(often) else 0) + 0.5), 0.0)
-            known = np.bincount(owner, there[ids], len(parts)).astype(np.int64) + (n_texts > 0)
-            base = np.bincount(owner, logs[ids], len(parts)) + ends
+            rare = ~there & mapped(all_words, hashes) if with_words else np.zeros(len(at), bool)
+            logs = np.log10((known_words.values[at] if len(known_words.values) else np.zeros(len(at))) * there + 0.5)
+            known = np.bincount(owner, there, len(parts)).astype(np.int64) + (n_texts > 0)
+            base = np.bincount(owner, np.where(rare, 0.0, logs), len(parts)) + ends
             place = np.repeat(np.arange(len(parts)), n + 2)
-            extra, seldom = np.zeros(len(parts)), []
-            for keys, at in sequences(hashes[ids], n, depth + 1):
-                at = at[mapped(maybe, keys[at])]
-                hit = find(held, keys[at])
-                extra += np.bincount(place[at[hit >= 0]], weight[hit[hit >= 0]], len(parts))
-                if some:
+            extra, seldom = np.zeros(len(parts)), [(none, none)]
+            for keys, at in sequences(hashes, n, depth + 1):
+                at = at[mapped(all_longer, keys)[at]]
+                hit = known_longer.find(keys[at])
+                extra += np.bincount(place[at[hit >= 0]], known_longer.values[hit[hit >= 0]], len(parts))
+                if with_longer:
                     seldom.append((place[at[hit < 0]], keys[at[hit < 0]]))
-            by, longer = map(np.concatenate, zip(*seldom, strict=True)) if some else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            longer = longer[np.argsort(by, kind="stable")]
-            longer = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(by, minlength=len(parts)))).astype(np.int32)), pa.array(longer))
-            rare = ~there[ids]
-            stops = np.cumsum(np.bincount(owner, rare, len(parts))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), stops)), pa.array(hashes[ids][rare]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(parts))), batch.column(0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(extra), lists, longer], ["row", "key", "n_tokens", "known", "base", "extra", "rare", "longer"])
+            by, longer = map(np.concatenate, zip(*seldom, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(parts))), batch.column(0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(extra), lists(owner[rare], hashes[rare], len(parts)), lists(by, longer, len(parts))], ["row", "key", "n_tokens", "known", "base", "extra", "rare", "longer"])
             row += len(parts)
 
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"row long, key {kind}, n_tokens long, known long, base double, extra double, rare array<long>, longer array<long>")
-    found = written(found, "suffixtree-scores")
-    seldom = words.where(F.col("n") < floor)
-    each = found.select("row", F.explode("rare").alias("word")).join(seldom, "word", "left")
-    rest = each.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
-    out = found.drop("rare", "longer").join(rest, "row", "left")
-    if some:
+    found = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"row long, key {kind}, n_tokens long, known long, base double, extra double, rare array<long>, longer array<long>")
+    out = found = written(found, "suffixtree-scores")
+    if with_words:
+        each = found.select("row", F.explode("rare").alias("word")).join(seldom, "word", "left")
+        rest = each.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
+        out = out.join(rest, "row", "left").withColumns({"known": F.col("known") + F.coalesce("more", F.lit(0)), "base": F.col("base") + F.coalesce("logs", F.lit(0.0))})
+    if with_longer:
         each = found.select("row", F.explode("longer").alias("key")).join(others.select("key", "weight"), "key")
         out = out.join(each.groupBy("row").agg(F.sum("weight").alias("joined")), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("joined", F.lit(0.0)))
-    base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(norm))
-    return out.select(F.col("key").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score"))
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(norm))
+    return out.select(F.col("key").alias(key), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

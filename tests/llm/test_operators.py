@@ -100,10 +100,39 @@ def test_knapsack_against_brute_force():
         used = mixing.knapsack(lengths, counts, budget)
         assert all(0 <= u <= c for u, c in zip(used, counts))
         assert sum(u * n for u, n in zip(used, lengths)) == min(sums, key=lambda s: (abs(s - budget), s))
-        whole, once = mixing.fit(lengths, counts, budget, dp_budget=16)
+        whole, once = mixing.fit(lengths, counts, budget, bits=16)
         assert all(0 <= u <= c for u, c in zip(once, counts)) and whole <= 3
 
 
+def test_mixing_of_long_texts_takes_the_nearest_sum():
+    assert mixing.fit([600000], [10], 450000) == (0, [1])
+    assert mixing.fit([600000], [10], 250000) == (0, [0])
+    lengths, counts = [30_000_001, 5_000_003, 17, 3], [3, 4, 1000, 1000]
+    _, once = mixing.fit(lengths, counts, 40_000_000)
+    assert abs(sum(a * b for a, b in zip(lengths, once)) - 40_000_000) <= 10
+    even = [2 * i + 2 for i in range(3000)]
+    assert sum(a * b for a, b in zip(even, mixing.fit(even, [1] * 3000, 500_001)[1])) in (500_000, 500_002)
+
+
+def test_targets_of_many_sources():
+    rng = random.Random(2)
+    sizes, weights = [rng.randrange(1000) for _ in range(20000)], [rng.randint(1, 3) for _ in range(20000)]
+    got = mixing.fill_targets(sizes, weights, sum(sizes))
+    assert sum(got) == pytest.approx(sum(sizes)) and all(t <= 3 * n + 1e-6 for t, n in zip(got, sizes))
+    level = max(t / w for t, w in zip(got, weights))
+    assert all(t == pytest.approx(min(3 * n, level * w)) for t, n, w in zip(got, sizes, weights))
+
+
+def test_mixing_counts_rows_of_one_key(spark):
+    """A third of the rows has one key and text: they are taken by number, and every row comes back."""
+    rows = [(5, "a b c", "s")] * 300 + [(100 + i, "d e f", "s") for i in range(300)] + [(None, "one two", None)] * 400
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 1000
+    for source in ("s", None):
+        some = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.repeats for r in some) - some[0].target) <= 3
+
+
 def removed_by_brute_force(rows):
     first = {}
     for i, t, *_ in rows:
@@ -177,47 +206,61 @@ def test_suffixtree_against_brute_force(docs, rows, empty):
     assert suffixtree.score(docs, empty).agg(F.max(F.abs("score"))).first()[0] == pytest.approx(0, abs=1e-6)
 
 
-def test_suffixtree_states_are_distributions():
-    """Kept and other symbols of a retained state have probabilities that add up to 1."""
-    text = b"a b c " * 50 + b"b a d "
-    ids, hashes, sizes = suffixtree.word_ids([text])
-    codes, inside = suffixtree.sequence(ids, sizes, 4)
-    one = np.unique(codes[:-1] * 5 + codes[1:], return_counts=True)
-    occurs = np.bincount(codes, minlength=5)
-    base = (occurs + 0.5) / (occurs.sum() + 2.5)
-    tree = suffixtree.Tree(base, occurs, one, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    assert tree.kept_one.any()
-    for state in np.flatnonzero(tree.kept_one):
-        total = tree.chance_one(np.full(5, state), np.arange(5)).sum()
-        outside = tree.smooth * (1 - base.sum()) / (tree.in_one[state] + tree.smooth)
-        assert total + outside == pytest.approx(1)
-    alone = tree.gains(*suffixtree.sequence(np.zeros(0, np.int64), np.zeros(2, np.int64), 4))
-    assert len(alone) == 4
-
-
-def tree_scores(train, texts):
-    """base + gains of Tree over all words that occur LEAST_COUNT times, with pairs and triples of that count."""
-    least = suffixtree.LEAST_COUNT
-    ids, hashes, sizes = suffixtree.word_ids(train)
-    n = np.bincount(ids, minlength=len(hashes))
-    symbols = np.sort(hashes[n >= least])
-    end = len(symbols)
-    norm = len(ids) + len(train) + 0.5 * (len(hashes) + 2)
-    occurs = np.append(n[np.argsort(hashes)][np.isin(np.sort(hashes), symbols)], len(train))
-    codes, inside = suffixtree.sequence(suffixtree.find(symbols, hashes)[ids], sizes, end)
-    at = np.flatnonzero(inside[:-1] & (codes[:-1] >= 0) & (codes[1:] >= 0))
-    keys, n_pairs = np.unique(codes[at] * (end + 1) + codes[at + 1], return_counts=True)
-    one = keys[n_pairs >= least], n_pairs[n_pairs >= least]
-    pair = np.full(len(codes), -1)
-    pair[at] = suffixtree.find(one[0], codes[at] * (end + 1) + codes[at + 1])
-    at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-    keys, n_three = np.unique(pair[at] * (end + 1) + codes[at + 2], return_counts=True)
-    tree = suffixtree.Tree((occurs + 0.5) / norm, occurs, one, (keys[n_three >= least], n_three[n_three >= least]))
+def tree_gains(train, texts, depth):
+    """What the tree adds to the base score of each text, by dictionaries of tuples."""
+    least, gain, smooth = suffixtree.LEAST_COUNT, suffixtree.GAIN, suffixtree.SMOOTH
+    symbols = lambda t: ("^", *words(t.translate(LOWER)), "$")
+    lines = [symbols(t) for t in train]
+    runs = lambda line, n: [line[i : i + n] for i in range(len(line) - n + 1)]
+    counts = {n: Counter(x for line in lines for x in runs(line, n)) for n in range(1, depth + 2)}
+    kinds = Counter(x for line in lines for x in line[1:])
+    norm = sum(kinds.values()) + 0.5 * (len(kinds) + 1)
+    chance = {x: (n + 0.5) / norm for x, n in counts[1].items() if n >= least}
+    gains, back = {}, {}
+    for length in range(2, depth + 2):
+        after = {}
+        for x, n in counts[length].items():
+            if n >= least:
+                after.setdefault(x[:-1], []).append((x, n))
+        for context, some in after.items():
+            total, occurs = sum(n for _, n in some), counts[length - 1][context]
+            won = sum(n * math.log((n - 1 + smooth * chance[x[1:]]) / (total - 1 + smooth) / chance[x[1:]]) for x, n in some)
+            won += max(occurs - total, 0) * math.log(smooth / (total + smooth))
+            for x, n in some:
+                chance[x] = (n + smooth * chance[x[1:]]) / (total + smooth) if won >= gain else chance[x[1:]]
+            if won >= gain:
+                back[context] = math.log10(smooth / (total + smooth))
+                gains |= {x: math.log10(chance[x] / chance[x[1:]]) - back[context] for x, _ in some}
     out = []
-    for x in texts:
-        ids, hashes, sizes = suffixtree.word_ids([x])
-        out.append(tree.gains(*suffixtree.sequence(suffixtree.find(symbols, hashes)[ids] if len(ids) else np.zeros(0, np.int64), sizes, end)).sum())
-    return out
+    for t in texts:
+        line = symbols(t)
+        out.append(sum(gains.get(x, 0) for n in range(2, depth + 2) for x in runs(line, n)) + sum(back.get(x, 0) for n in range(1, depth + 1) for x in runs(line, n)))
+    return out, back
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffixtree_against_dictionaries(spark, docs, rows, depth):
+    rng = random.Random(31)
+    vocabulary = [sentence(rng, "en", 1) for _ in range(6)]
+    phrases = [" ".join(rng.choices(vocabulary, k=9)) for _ in range(5)]
+    train = [" ".join(rng.choice([*phrases, f"rare{rng.randrange(900)}"]) for _ in range(5)) for _ in range(400)]
+    texts = [*train[:50], "", "unseen words only", *(t or "" for _, t, *_ in rows[:20])]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score - r.base_score for r in suffixtree.score(frame(texts), frame(train), depth=depth).collect()}
+    want, kept = tree_gains(train, texts, depth)
+    assert {len(x) for x in kept} == set(range(1, depth + 1))
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
+def test_word_hashes_are_of_words():
+    parts = [b"", b"A b\x0bc", b" \n", b"x" * 200000 + b" yy " + b"X" * 200000, "é\x1cn\x00".encode(), b"b a"]
+    hashes, sizes = suffixtree.word_hashes(parts)
+    each = [w for x in parts for w in x.lower().split()]
+    assert sizes.tolist() == [len(x.split()) for x in parts] and len(hashes) == len(each)
+    assert len(set(hashes.tolist())) == len(set(each)) == len(set(zip(hashes.tolist(), each)))
+    table = suffixtree.Lookup(hashes[:4], np.arange(4))
+    assert [table.values[i] if i >= 0 else -1 for i in table.find(hashes[:4])] == [0, 1, 2, 3]
+    assert suffixtree.Lookup(hashes[:0], hashes[:0]).find(hashes).max() == -1
 
 
 @pytest.mark.parametrize("most", [0, 400, 10**6])
@@ -229,8 +272,8 @@ def test_suffixtree_keeps_what_occurs_three_times_in_a_large_corpus(spark, most)
     train = [" ".join(rng.choices(vocabulary, k=100)) + (f" {phrase}" if i in (5, 600, 3900) else "") for i in range(4000)]
     texts = [phrase, "rare that one", "", None, *train[:40]]
     frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score - r.base_score for r in suffixtree.score(frame(texts), frame(train), most=most).collect()}
-    want = tree_scores([t.encode() for t in train], [(t or "").encode() for t in texts])
+    got = {r.doc_id: r.score - r.base_score for r in suffixtree.score(frame(texts), frame(train), most=most, most_words=most).collect()}
+    want, _ = tree_gains(train, [t or "" for t in texts], suffixtree.DEPTH)
     assert want[0] > 10
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
 
@@ -284,6 +327,12 @@ def test_langid_held_out_accuracy(docs, rows, empty):
     right = sum(got[i].lang_pred == l for i, l in held if i % 9 not in (1, 2))
     assert right >= 0.95 * sum(i % 9 not in (1, 2) for i, _ in held)
     assert all(0 <= r.score <= 1 for r in got.values())
+    many = langid.MOST_LANGUAGES
+    for block in (1, 2):  # languages in blocks give the same
+        langid.MOST_LANGUAGES = block
+        again = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+        assert all(again[i].lang_pred == got[i].lang_pred and again[i].score == pytest.approx(got[i].score) for i in got)
+    langid.MOST_LANGUAGES = many
     nothing = langid.train(empty)
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
@@ -469,12 +518,30 @@ def test_sharding_follows_weights(spark):
     assert shares[1] / 20000 == pytest.approx(0.75, abs=0.02)
 
 
+PAGE = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files of some kilobytes in many splits."""
+    names = {"spark.sql.files.maxPartitionBytes": "16000", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def read_pages(spark, path):
+    return [tuple(r) for r in warc.read_warc(spark, path).withColumnRenamed("record_id", "page_id").select(PAGE).collect()]
+
+
 def test_warc_round_trip(spark, tmp_path):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "u\r\nX: 1", ""), (4, "u", fake), (5, "u", fake + "WARC/1.0\r\n"), (6, "u", "x\r\n\r\n"), (7, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (9, "u", fake), (9, "u", fake), (10, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\n")]
+    pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "u\r\nX: 1", ""), (4, "u", fake), (5, "u", fake + "WARC/1.0\r\n"), (6, "u", "x\r\n\r\n"), (7, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (9, "u", fake), (9, "u", fake), (10, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\n"), (11, "u", "WARC/1."), (12, "http://x/WARC/1.0", "y")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     warc.write_warc(df, f"file://{tmp_path}/out")
-    got = sorted(map(tuple, warc.read_warc(spark, f"file://{tmp_path}/out").collect()), key=str)
+    got = sorted(read_pages(spark, f"file://{tmp_path}/out"), key=str)
     want = []
     for i, _, html in pages:
         data = (html or "").encode()
@@ -485,13 +552,54 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_warc_broken_chain():
-    record = b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    at, to = warc.candidates(record * 9)
-    assert warc.reached(at, to, 9 * len(record)).all()
-    for data in (record + b"x", b"x" + record, record[:-1]):
-        with pytest.raises(ValueError):
-            warc.reached(*warc.candidates(data), len(data))
+def record(kind, number, body, *more):
+    lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + number, *more, b"Content-Length: %d" % len(body)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_warc_of_other_makers_in_splits_and_gzip(spark, tmp_path, small_splits):
+    """Records of all types, magic in payloads and headers, records over many splits, one huge one; plain and as gzip members."""
+    import gzip
+
+    rng = random.Random(13)
+    fake = record(b"response", b"<urn:x>", b"abc")
+    records, want = [record(b"warcinfo", b"<urn:uuid:1>", b"software: x\r\n")], [("warcinfo", "<urn:uuid:1>", 13)]
+    for i in range(200):
+        body = bytes(rng.choices(b"ab\r\n", k=rng.randrange(300)))
+        body = rng.choice([body, body + fake, fake * rng.randint(1, 40), b"WARC/1.0\r\n" * rng.randint(1, 900), b"WARC/1." + body, body + b"\r\n\r\n"])
+        if i == 100:
+            body = bytes(rng.choices(b"abcd", k=200_000)) + fake + b"z" * 50_000
+        kind = rng.choice([b"request", b"metadata", b"resource"])
+        number = b"<urn:uuid:%d>" % (i + 2)
+        records.append(record(kind, number, body, *([b"WARC-Target-URI: http://x/WARC/1.0"] * (i % 3 == 0))))
+        want.append((kind.decode(), number.decode(), len(body)))
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>"
+    digest = base64.b32encode(hashlib.sha1(b"<p>").digest())
+    records.append(record(b"response", b"<urn:a>", http, b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + digest))
+    records.append(record(b"revisit", b"<urn:b>", b"", b"WARC-Payload-Digest: sha1:" + digest))
+    want += [("response", "<urn:a>", 3), ("revisit", "<urn:b>", None)]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "zip").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(b"".join(records))
+    (tmp_path / "plain/b.warc").write_bytes(b"".join(records[:3]))
+    (tmp_path / "zip/a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    found = warc.read_warc(spark, f"file://{tmp_path}/plain").collect()
+    starts = np.cumsum([0, *map(len, records)])[:-1].tolist()
+    rows = sorted((r.start, r.record_type, r.id, r.payload_bytes) for r in found if r.file.endswith("a.warc"))
+    assert rows == [(s, *w) for s, w in zip(starts, want)]
+    assert sorted((r.record_type, r.id, r.payload_bytes) for r in found if r.file.endswith("b.warc")) == sorted(want[:3])
+    assert [r.verified for r in found if r.id == "<urn:a>"] == [True]
+    packed = warc.read_warc(spark, f"file://{tmp_path}/zip").collect()
+    assert sorted(map(str, ((r.start, r.record_type, r.id, r.payload_bytes) for r in packed))) == sorted(map(str, rows))
+
+
+def test_warc_broken_chains(spark, tmp_path):
+    one = record(b"response", b"<urn:record:1>", b"ab")
+    for i, data in enumerate((one + b"x", b"x" + one, one[:-1], one * 3 + one[:40])):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / f"{i}/a.warc").write_bytes(data)
+        with pytest.raises(ValueError, match="chain"):
+            warc.read_warc(spark, f"file://{tmp_path}/{i}")
 
 
 def test_decontamination_tolerates_substitutions(spark, docs, empty):
