@@ -3,9 +3,9 @@
 Counts of each text give a vector of four transformed statistics: word length, symbols, repeated
 lines and repeated five-word windows, each shrunk towards a typical value for short texts. For each
 (language, source) the minimum-covariance-determinant estimate takes the COVER share of rows with
-the least determinant of their covariance: from medians and quartiles, concentration steps keep the
-rows of least Mahalanobis distance and estimate anew. A row whose squared distance exceeds the
-chi-square quantile 1 - TAIL is rejected.
+the least determinant of their covariance: from three starts, concentration steps keep the rows of
+least Mahalanobis distance and estimate anew until the determinant falls no more; the least one is
+taken. A row whose squared distance exceeds the chi-square quantile 1 - TAIL is rejected.
 
 One step is one aggregation: rows are added up by (group, bin of squared distance), combined before
 the shuffle, and running sums over the bins give the estimate of the nearest rows; no task holds a
@@ -13,7 +13,8 @@ group. A group of fewer than MIN_ROWS rows is judged by the estimate of its lang
 
 Defined results: a null or empty text has no words, so base_failed; null language or source is a
 group of its own; an estimate of fewer than MIN_ROWS rows rejects nothing; equal texts of one group get
-equal verdicts; an empty table gives an empty table; other columns are ignored.
+equal verdicts; an empty table gives an empty table; other columns are ignored, whatever their names.
+A very long text is split into words and windows in its task, some hundred bytes for each word.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; per cent of words
 COVER = 0.75
-STEPS = 4
-TAIL = 5e-5
+#: Steps at most, and the fall of a log determinant below which they end.
+STEPS, CONVERGED = 15, 1e-3
+#: Share of rows of a normal sample that are rejected.
+TAIL = 1e-4
 MIN_ROWS = 50
 #: Bins of squared distance in each e-fold.
 BINS = 32
 #: Groups up to which their estimates are broadcast; above, the join shuffles.
 BROADCAST_ROWS = 20_000
-#: Least standard deviation of each statistic, so that one that never varies in a group is no reason by itself.
+#: Least standard deviation of each statistic: what differs by less than some of it is no reason to reject, however alike a group's rows are.
 FLOORS = (0.3, 0.08, 0.15, 0.12)
 NAMES = ("word_length", "symbols", "lines", "repeats")
 
@@ -158,31 +161,65 @@ def with_estimates(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.join(small(other), on[0] & on[1] & on[2]).drop(*[f"k_{c}" for c in GROUP])
 
 
+def covariances(sums: Callable[[str], Column], n: Column, widen: float) -> dict[tuple[int, int], Column]:
+    """Covariance from sums s0.. and s00..; a statistic's variance is at least FLOORS ** 2, its covariances shrink alike."""
+    p = range(len(NAMES))
+    cov = {(i, j): widen * (sums(f"s{i}{j}") / n - sums(f"s{i}") * sums(f"s{j}") / (n * n)) for i in p for j in p if j >= i}
+    return {(i, j): F.greatest(v, F.lit(FLOORS[i] ** 2)) if i == j else v for (i, j), v in cov.items()}
+
+
 def estimate(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
-    """A row for each group of rows (GROUP, x0..): its mean m0.. and factor l00.. of the covariance."""
-    p = len(NAMES)
-    quartiles = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)]
-    found = rows.groupBy(*GROUP).agg(*quartiles)
+    """A row for each group of rows (GROUP, x0..): its mean m0.. and factor l00.. of the covariance of least determinant.
+
+    Three starts are concentrated side by side: medians and quartiles, the mean and covariance of the
+    rows within a spread of all medians, and those of all rows. A step keeps the nearest `cover` of
+    rows and estimates anew; steps go on until no start's log determinant falls by CONVERGED or more.
+    """
+    p = range(len(NAMES))
+    pairs = [(i, j) for i in p for j in p if j >= i]
+    found = rows.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in p])
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i]))
-    found = found.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
-    found = written(found, "rules-estimate")
+    middle = written(found.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)]), "rules-middle")
+    columns = [*GROUP, "start", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)], "logdet"]
+
+    def logdet(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in p), F.lit(0.0)))
+
+    def shifted(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({f"y{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in p})
+
+    def moved(sums: DataFrame, widen: float) -> DataFrame:
+        """Estimates of sums (GROUP, start, n, s0.., s00.. of rows shifted by old0..)."""
+        new = factor(sums, covariances(F.col, F.col("n"), widen))
+        return logdet(new.withColumns({f"m{i}": F.col(f"old{i}") + F.col(f"s{i}") / F.col("n") for i in p})).select(columns)
+
+    added = [F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"s{i}") for i in p], *[F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"s{i}{j}") for i, j in pairs]]
+    olds = [F.max(f"m{i}").alias(f"old{i}") for i in p]  # the same on all rows of a group and start
+    near = shifted(with_estimates(rows, middle))
+    core = F.forall(F.array(*[F.abs(F.col(f"y{i}")) <= F.col(f"l{i}{i}") for i in p]), lambda x: x)
+    both = near.withColumn("start", F.explode(F.when(core, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
+    starts = moved(both.groupBy(*GROUP, "start").agg(*added, *olds), 1.0)
+    found = written(logdet(middle.withColumn("start", F.lit(0))).select(columns).unionByName(starts), "rules-estimate")
     # The nearest `cover` of a normal sample has a covariance that is too small by this factor.
-    widen = cover / (1 - chi2_tail(chi2_quantile(1 - cover, p // 2), p // 2 + 1))
+    half = len(NAMES) // 2
+    widen = cover / (1 - chi2_tail(chi2_quantile(1 - cover, half), half + 1))
+    names = ["n", *[f"s{i}" for i in p], *[f"s{i}{j}" for i, j in pairs]]
+    key = [*GROUP, "start"]
     for _ in range(steps):
-        near = with_estimates(rows, found).withColumns({f"y{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)})
-        near = near.withColumn("bin", F.floor(F.log(distance() + 1e-4) * BINS).cast("int"))
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"s{i}") for i in range(p)], *[F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"s{i}{j}") for i in range(p) for j in range(i, p)]]
-        binned = near.groupBy(*GROUP, "bin").agg(*sums)
-        whole, upto = Window.partitionBy(*GROUP), Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        names = ["n", *[f"s{i}" for i in range(p)], *[f"s{i}{j}" for i in range(p) for j in range(i, p)]]
-        run = binned.select(*GROUP, "bin", F.sum("n").over(whole).alias("all"), *[F.sum(c).over(upto).alias(c) for c in names])
-        first = run.where(F.col("n") >= cover * F.col("all")).groupBy(*GROUP).agg(F.min_by(F.struct(*names), "bin").alias("t")).select(*GROUP, "t.*")
-        cov = {(i, j): widen * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n"))) + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)}
-        moved = factor(first, cov).join(small(found.select(*[F.col(c).alias(f"k_{c}") for c in GROUP], *[F.col(f"m{i}").alias(f"old{i}") for i in range(p)])), [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in GROUP])
-        new = moved.select(*GROUP, *[(F.col(f"old{i}") + F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
-        last, found = found, written(new, "rules-estimate")
-        dropped(last)
-    return found
+        near = shifted(with_estimates(rows, found)).withColumn("bin", F.floor(F.log(distance() + 1e-4) * BINS).cast("int"))
+        binned = near.groupBy(*key, "bin").agg(*added, *olds)
+        whole, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        run = binned.select(*key, "bin", *[f"old{i}" for i in p], F.sum("n").over(whole).alias("all"), *[F.sum(c).over(upto).alias(c) for c in names])
+        first = run.where(F.col("n") >= cover * F.col("all")).groupBy(*key).agg(F.min_by(F.struct(*names, *[f"old{i}" for i in p]), "bin").alias("t")).select(*key, "t.*")
+        new = written(moved(first, widen), "rules-estimate")
+        before = found.select(*[F.col(c).alias(f"k_{c}") for c in key], F.col("logdet").alias("old"))
+        fell = new.join(small(before), [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
+        dropped(found)
+        found = new
+        if fell is None or fell < CONVERGED:
+            break
+    best = found.groupBy(*GROUP).agg(F.min_by(F.struct(*columns[len(key):]), F.struct("logdet", "start")).alias("best"))
+    return written(best.select(*GROUP, "best.*").drop("logdet"), "rules-least")
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, str] = ("lang", "source"), tail: float = TAIL) -> DataFrame:
