@@ -11,7 +11,7 @@ task has too is settled there.
 
 The suffixes at anchors, LENGTH bytes long, and the reversed REACH - 1 bytes before them are then
 sorted per anchor by deep-shallow sorting: multikey quicksort by eight-byte characters down to
-SHALLOW bytes, in numpy for all anchors at once, and a blind trie (only branching depths and bytes
+SHALLOW bytes, the rounds of all anchors' partitions together, and a blind trie (only branching depths and bytes
 are stored; one comparison with a leaf finds the place) for each group that still shares its prefix.
 The sorts give the common prefix lengths of neighbours; for each a < REACH, rows equal in a bytes
 before and LENGTH - a bytes from the anchor on form classes, and all but the smallest document of a
@@ -40,7 +40,8 @@ LENGTH = 50
 SEED = 20
 REACH = LENGTH - SEED + 1
 SHALLOW = 16
-BITMAP_BITS = 27
+#: Bits of the bitmap for each anchor that several documents have, and at most in all (a power of 2): 64 MB.
+ANCHOR_BITS, MOST_BITS = 16, 29
 #: Bits of the bitmap that one row brings to the driver.
 CHUNK_BITS = 18
 #: Rows of exact copies up to which their keys are broadcast; above, the join shuffles.
@@ -157,6 +158,39 @@ def shared(a: bytes, b: bytes) -> int:
     return len(a) - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7 >> 3)
 
 
+def multikey_quicksort(order: np.ndarray, characters: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+    """Sort order[begin:end] of each segment by the rows' first SHALLOW bytes, eight at a time, in place.
+
+    A round takes all open segments: each is parted by a pivot of its own, the middle one of three, into
+    smaller, equal and larger rows; smaller and larger ones stay at their character, equal ones go on
+    with the next.
+    """
+    depths = np.zeros(len(begins), np.int64)
+    while True:
+        open_ = (ends - begins > 1) & (depths < SHALLOW)
+        begins, ends, depths = begins[open_], ends[open_], depths[open_]
+        if not len(begins):
+            return
+        sizes = ends - begins
+        first = np.cumsum(sizes) - sizes
+        segment = np.repeat(np.arange(len(begins)), sizes)
+        places = np.arange(len(segment)) + (begins - first)[segment]
+        rows = order[places]
+        keys = characters[rows, depths[segment] // 8].astype(np.uint64)
+        a, b, c = keys[first], keys[first + sizes // 2], keys[first + sizes - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
+        side = (keys >= pivot).astype(np.int64) + (keys > pivot)
+        counts = np.bincount(segment * 3 + side, minlength=3 * len(begins)).reshape(-1, 3)
+        starts = begins[:, None] + np.cumsum(counts, axis=1) - counts
+        for k in range(3):
+            own = side == k
+            rank = np.cumsum(own)
+            before = np.append(0, rank)[first]
+            order[starts[segment[own], k] + rank[own] - 1 - before[segment[own]]] = rows[own]
+        begins, ends = starts.ravel(), (starts + counts).ravel()
+        depths = (depths[:, None] + np.array([0, 8, 0])).ravel()
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows by (group, string) and the common prefix of each with the row before, -1 where a group begins.
 
@@ -169,19 +203,13 @@ def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np
     common[:1] = -1
     common[1:][ordered[1:] != ordered[:-1]] = -1
     characters = np.ascontiguousarray(strings).view(">u8")
-    for depth in range(0, SHALLOW, 8):
-        # Runs of rows with an equal prefix are ternary-partitioned by their next character, all at once.
-        run = np.cumsum(common < depth)
-        tied = np.flatnonzero((np.diff(run, prepend=-1) == 0) | (np.diff(run, append=-1) == 0))
-        if not len(tied):
-            return order, common
-        keys = characters[order[tied], depth // 8].astype(np.uint64)
-        by = np.lexsort((keys, run[tied]))
-        order[tied] = order[tied][by]
-        keys = keys[by]
-        differ = np.flatnonzero((run[tied][1:] == run[tied][:-1]) & (keys[1:] != keys[:-1])) + 1
-        bits = keys[differ] ^ keys[differ - 1]
-        common[tied[differ]] = depth + sum((bits >> np.uint64(64 - 8 * k)) == 0 for k in range(1, 8))
+    begins = np.flatnonzero(common < 0)
+    multikey_quicksort(order, characters, begins, np.append(begins[1:], n))
+    for depth in range(SHALLOW - 8, -8, -8):
+        keys = characters[order, depth // 8].astype(np.uint64)
+        bits = keys[1:] ^ keys[:-1]
+        prefix = depth + sum((bits >> np.uint64(64 - 8 * k)) == 0 for k in range(1, 8))
+        common[1:] = np.where((common[1:] < 0) | (bits == 0), common[1:], prefix)
     begins = np.flatnonzero(common < SHALLOW)
     ends = np.append(begins[1:], n)
     rest = strings[:, SHALLOW:].copy()
@@ -296,9 +324,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[start + text])], ["h", "key"])
 
     marks = single.select("key", "text").mapInArrow(mark, "h long, key long")
-    several = marks.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    several = written(marks.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h"), "suffix-several")
+    map_bits = min(MOST_BITS, max(CHUNK_BITS, (ANCHOR_BITS * several.count()).bit_length()))
     # Low bits choose the place: anchors are least hashes, whose high bits are nearly all 0.
-    chunk = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)), CHUNK_BITS).cast("int")
+    chunk = F.shiftright(F.col("h").bitwiseAND(F.lit((1 << map_bits) - 1)), CHUNK_BITS).cast("int")
 
     def fill(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[int, np.ndarray] = {}
@@ -310,9 +339,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for c, bits in words.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
 
-    bitmap = np.zeros((1 << (BITMAP_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 6)), np.uint64)
+    bitmap = np.zeros((1 << (map_bits - CHUNK_BITS), 1 << (CHUNK_BITS - 6)), np.uint64)
     with cleared(spark):
-        for row in several.select("h", chunk.alias("chunk")).repartition("chunk").mapInArrow(fill, "chunk int, bits binary").collect():  # 16 MB
+        for row in several.select("h", chunk.alias("chunk")).repartition("chunk").mapInArrow(fill, "chunk int, bits binary").toLocalIterator():
             bitmap[row.chunk] = np.frombuffer(row.bits, np.uint64)
     bitmap = bitmap.reshape(-1)
     shared_bits = spark.sparkContext.broadcast(bitmap)
@@ -326,7 +355,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             rows = []
             for start, some in pieces(parts):
                 h, text, at = anchors(some)
-                where = h & np.uint64((1 << BITMAP_BITS) - 1)
+                where = h & np.uint64((1 << map_bits) - 1)
                 hit = np.flatnonzero((bits[where >> np.uint64(6)] >> (where & np.uint64(63))) & np.uint64(1))
                 for x, i, p in zip(h[hit].view(np.int64).tolist(), text[hit].tolist(), at[hit].tolist(), strict=True):
                     data, key = some[i], keys[start + i]
