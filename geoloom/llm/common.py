@@ -18,6 +18,13 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: long texts must not make a batch of gigabytes.
 BATCH_ROWS = 512
+#: Bytes whose words are hashed at a time, or one word's: the arrays stay in a core's cache.
+PIECE = 1 << 16
+# Numbers of the word hash: any odd ones, and a random one for each byte.
+BASE, MULTIPLIER = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD6E8FEB86659FD93)
+BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -121,6 +128,44 @@ def joined(parts: list[bytes], pad: int) -> tuple[bytes, np.ndarray, np.ndarray]
     return b"".join(parts) + bytes(pad), starts, lengths
 
 
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts, A-Z lower-cased, one after another; words in each text.
+
+    A word's hash is the polynomial of its bytes' numbers, taken from running sums of some words at a time.
+    """
+    data = b"\n".join([b"", *parts, b""]).lower()
+    at = np.frombuffer(data, np.uint8)
+    space = SPACE[at]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    bounds = np.cumsum([1, *(len(x) + 1 for x in parts)])
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(stops, low + PIECE, "right")))
+        a, b = starts[first:last] - low, stops[first:last] - low
+        up, down = powers(int(b[-1]))
+        sums = np.append(np.uint64(0), np.cumsum(BYTE[at[low : low + b[-1]]] * up[: b[-1]]))
+        out[first:last] = (sums[b] - sums[a]) * down[a]
+        first = last
+    out = (out ^ (out >> np.uint64(32))) * MULTIPLIER
+    return (out ^ (out >> np.uint64(29))).view(np.int64), sizes
+
+
+#: Powers by their number, made once in a task.
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2^64, for n places or more."""
+    n = max(PIECE, 1 << (n - 1).bit_length())
+    if n not in POWERS:
+        step = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)))
+        POWERS[n] = step(BASE), step(np.uint64(pow(int(BASE), -1, 1 << 64)))
+    return POWERS[n]
+
+
 def batches(rows: Iterator[pa.RecordBatch], most_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices whose text is at most most_bytes, or one row."""
     at_col = column

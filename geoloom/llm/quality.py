@@ -1,7 +1,7 @@
 """Quality classifier from positive and unlabelled texts (operator 7).
 
-Trusted positives and unlabelled web text are described by word, line and character statistics. A
-logistic model minimises the non-negative unbiased risk
+Trusted positives and unlabelled web text are described by word, line and character statistics and by
+the shares of hashed words. A logistic model minimises the non-negative unbiased risk
     p * E+[loss(f)] + max(0, Eu[loss(-f)] - p * E+[loss(-f)]),
 in whose negative part a step goes uphill while it is below 0, so that a flexible model can't drive
 it there. The class prior p is estimated over thresholds t of a positive-against-unlabelled score: the
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, batches, documents, joined, remainder, texts
+from geoloom.llm.common import batch_rows, batches, documents, joined, remainder, texts, word_hashes
 
 #: Rows of either kind that the model is fitted on.
 SAMPLE = 8000
+#: Buckets that words are hashed into: their shares of a text tell which words it has.
+BUCKETS = 256
 #: Thresholds at which shares are compared for the class prior.
 LEVELS = 64
 BATCH_BYTES = 1 << 20
@@ -58,7 +60,10 @@ def features(parts: list[bytes]) -> np.ndarray:
             lines = x.split(b"\n")
             again = sum(map(operator.eq, w, w[1:]))
             words[i] = (np.log1p(len(w)) / 10, again / len(w), len(set(w)) / len(w), min(len(x) / len(w), 40) / 10, 1 - len(set(lines)) / len(lines))
-    return np.hstack([shares, np.sqrt(shares), words, words[:, 1:2] ** 0.5]).astype(np.float32)
+    hashes, sizes = word_hashes(parts)
+    place = np.repeat(np.arange(n), sizes) * BUCKETS + (hashes.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+    which = np.bincount(place, minlength=n * BUCKETS).reshape(n, BUCKETS) / np.maximum(sizes, 1)[:, None]
+    return np.hstack([shares, np.sqrt(shares), words, words[:, 1:2] ** 0.5, np.sqrt(which)]).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
