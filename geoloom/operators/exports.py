@@ -41,10 +41,15 @@ def yolo_line(index: Column, x: Column, y: Column, w: Column, h: Column, width:
     return F.concat_ws(" ", index.cast("string"), *[yolo_number(n) for n in numbers])
 
 
+def yolo_indices(labels: DataFrame) -> DataFrame:
+    """class_id, index: classes numbered from 0 in the order of their ids."""
+    found = labels.select("class_id").distinct()  # at most 255
+    return found.select("class_id", (F.row_number().over(Window.orderBy("class_id")) - 1).cast("bigint").alias("index"))
+
+
 def yolo_files(objects: DataFrame, width: int, height: int) -> DataFrame:
     """patch, text: a line for each object in order; classes numbered from 0 in the order of their ids."""
-    index = objects.select("class_id").distinct().select("class_id", (F.row_number().over(Window.orderBy("class_id")) - 1).alias("index"))
-    lines = objects.join(F.broadcast(index), "class_id").select("patch", "feature", yolo_line(c("index"), c("x"), c("y"), c("w"), c("h"), width, height).alias("line"))  # at most 255 classes
+    lines = objects.join(F.broadcast(yolo_indices(objects)), "class_id").select("patch", "feature", yolo_line(c("index"), c("x"), c("y"), c("w"), c("h"), width, height).alias("line"))  # at most 255 classes
     return lines.groupBy("patch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("feature", "line"))), lambda s: s["line"]), "\n").alias("text"))
 
 

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import cleaning as C
+from geoloom.operators import catalogue as CG
+from geoloom.operators import dataset as D
 from geoloom.operators import exports as E
+from geoloom.operators import features as FT
+from geoloom.operators import fetching as FE
 from geoloom.operators import sampling as A
 from geoloom.operators import splits as P
 from geoloom.operators import targets as G
@@ -58,8 +62,8 @@ def l3_given_classes(spark, sf_dir) -> DataFrame:
 
 
 def l4_skipped(spark, sf_dir) -> DataFrame:
-    df = clean_labels(spark, sf_dir)
-    return df.agg(F.count_if(c("label").isNull()).alias("without"), F.count_if(~F.rlike("label", F.lit(C.NUMBER))).alias("text"), F.count(F.lit(1)).alias("features"))
+    found = FT.skip_counts(clean_labels(spark, sf_dir), c("label"), F.rlike("label", F.lit(C.NUMBER)))
+    return found.withColumnRenamed("unusable", "text")
 
 
 def rings(spark, sf_dir) -> DataFrame:
@@ -79,8 +83,7 @@ def l5_invalid(spark, sf_dir) -> DataFrame:
 
 
 def l15_bounds(spark, sf_dir) -> DataFrame:
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    return rings(spark, sf_dir).select("id", F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    return rings(spark, sf_dir).select("id", FT.bounds(F.array(F.array("ring"))).alias("b")).select("id", "b.*")
 
 
 def t25_jumps(spark, sf_dir) -> DataFrame:
@@ -101,40 +104,31 @@ def l17_shared_classes(spark, sf_dir) -> DataFrame:
 
 def l21_closest_name(spark, sf_dir) -> DataFrame:
     """For each misspelt name the known one of least edit distance, then first by name."""
-    wrong = table(spark, sf_dir, "nation").select(F.concat(F.substring("n_name", 2, 20), F.lit("X")).alias("name")).distinct()
-    known = F.broadcast(table(spark, sf_dir, "nation").select(c("n_name").alias("known")))  # 25 nations
-    pairs = wrong.join(known)
-    return pairs.groupBy("name").agg(F.min_by("known", F.struct(F.levenshtein("name", "known"), "known")).alias("known"))
+    nations = table(spark, sf_dir, "nation")
+    known = [r[0] for r in nations.select("n_name").distinct().collect()]  # 25 nations, a list that a user would give
+    return CG.closest(nations.select(F.concat(F.substring("n_name", 2, 20), F.lit("X")).alias("name")).distinct(), "name", known)
 
 
 def s54_label_fields(spark, sf_dir) -> DataFrame:
     """Of each text column the five most frequent values, if it has at most 255."""
-    docs = table(spark, sf_dir, "documents")
-    long = docs.select(F.inline(F.array(*[F.struct(F.lit(x).alias("field"), c(x).alias("value")) for x in ("lang", "source", "text")])))
-    counts = long.where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    kinds = counts.groupBy("field").agg(F.count(F.lit(1)).alias("kinds")).where("kinds <= 255")
-    rank = F.row_number().over(Window.partitionBy("field").orderBy(c("n").desc(), "value"))
-    return counts.join(F.broadcast(kinds), "field", "left_semi").withColumn("rank", rank.cast("bigint")).where("rank <= 5")
+    return CG.label_fields(table(spark, sf_dir, "documents"), ["lang", "source", "text"])
 
 
 def s5_failed_ratio(spark, sf_dir) -> DataFrame:
     """Sources whose share of failed fetches is over a limit."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.sum((c("value") > 250).cast("bigint")).alias("failed"), F.count(F.lit(1)).alias("total")).where("failed / total > 0.02").select("user_id", "failed", "total")
+    return FE.failed_ratio(table(spark, sf_dir, "events"), ["user_id"], c("value") > 250, 0.02)
 
 
 def s8_failures(spark, sf_dir) -> DataFrame:
     """Failures by kind with the first example, most frequent first."""
-    e = table(spark, sf_dir, "events").where("value > 300")
-    found = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("example"))
-    return found.withColumn("place", F.row_number().over(Window.orderBy(c("n").desc(), "event_type")).cast("bigint"))
+    return FE.failure_summary(table(spark, sf_dir, "events").where("value > 300"), "event_type", "event_id")
 
 
 def s9_placeholders(spark, sf_dir) -> DataFrame:
     """Pages equal to a known placeholder by size and digest: here the short ones."""
-    pages = table(spark, sf_dir, "pages").withColumns({"size": F.octet_length("html"), "sha": F.sha2(c("html").cast("binary"), 256)})
-    known = pages.where("size < 1500").select("size", "sha").distinct()
-    return pages.join(known, ["size", "sha"], "left_semi").select("page_id")
+    pages = table(spark, sf_dir, "pages")
+    known = pages.select(F.octet_length("html").alias("size"), F.sha2(c("html").cast("binary"), 256).alias("sha256")).where("size < 1500")
+    return FE.placeholders(pages, known, "html").select("page_id")
 
 
 def s14_urls(spark, sf_dir) -> DataFrame:
@@ -159,24 +153,21 @@ def s16_freshness(spark, sf_dir) -> DataFrame:
 
 
 def s17_cache_usage(spark, sf_dir) -> DataFrame:
-    found = s16_freshness(spark, sf_dir)
-    return found.agg(F.count("seconds").alias("tiles"), F.count_if(c("seconds") <= 300).alias("expired"), F.count_if(c("seconds").isNull()).alias("refused"))
+    return FE.cache_usage(s16_freshness(spark, sf_dir), "seconds", 300)
 
 
 def s15_wanted_tiles(spark, sf_dir) -> DataFrame:
     """Wanted responses that no fresh one in the cache answers."""
-    fresh = s16_freshness(spark, sf_dir).where("seconds > 300")
-    return responses(spark, sf_dir).select("id").join(fresh.select("id"), "id", "left_anti")
+    return FE.wanted(responses(spark, sf_dir).select("id"), s16_freshness(spark, sf_dir), ["id"], "seconds", 300)
 
 
 def s18_kept_tiles(spark, sf_dir) -> DataFrame:
-    return s16_freshness(spark, sf_dir).where("seconds > 300")
+    return FE.fresh(s16_freshness(spark, sf_dir), "seconds", 300)
 
 
 def s34_best_scene(spark, sf_dir) -> DataFrame:
     """Of each area the least cloudy scene under a limit, then the earliest, then the first id."""
-    found = scenes(spark, sf_dir).where("cloud <= 60")
-    return found.groupBy("area").agg(F.min_by("id", F.struct("cloud", "taken", "id")).alias("id"), F.count(F.lit(1)).alias("candidates"))
+    return CG.best_scene(scenes(spark, sf_dir), ["area"], 60)
 
 
 def s33_intervals(spark, sf_dir) -> DataFrame:
@@ -266,16 +257,14 @@ def a20_remaining(spark, sf_dir) -> DataFrame:
 def a22_broken_chunk(spark, sf_dir) -> DataFrame:
     """Patches to keep after a break: those of chunks before the first broken patch's."""
     df = anchors(spark, sf_dir).select("id", F.floor(c("row") / 512).alias("chunk"), "p_size", "p_brand")
-    broken = df.where("p_size = 7 and p_brand = 'Brand#33'").agg(F.min("chunk").alias("broken"))
-    return df.crossJoin(F.broadcast(broken)).where("broken is null or chunk < broken").select("id", "chunk")
+    return D.before_break(df, (c("p_size") == 7) & (c("p_brand") == "Brand#33")).select("id", "chunk")
 
 
 def a24_kept(spark, sf_dir) -> DataFrame:
     """What the keep rules do with each patch, the first that applies."""
-    df = anchors(spark, sf_dir)
     empty, share = (c("id") * 7) % 101 / 100.0, (c("id") * 13) % 100 / 100.0
-    what = F.when(empty >= 1, "no imagery").when(empty > 0.9, "too empty").when(share < 0.1, "too few labels").otherwise("kept")
-    return df.groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("patches"))
+    what = D.keep_reason(empty, share, 0.9, 0.1)
+    return anchors(spark, sf_dir).groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("patches"))
 
 
 def m12_plan(spark, sf_dir) -> DataFrame:
@@ -300,13 +289,12 @@ def w9_yolo(spark, sf_dir) -> DataFrame:
 
 
 def w10_yolo_indices(spark, sf_dir) -> DataFrame:
-    found = labels(spark, sf_dir).where("class_name <> 'BUILDING'").select("class_id").distinct()
-    return found.select("class_id", (F.row_number().over(Window.orderBy("class_id")) - 1).cast("bigint").alias("index"))
+    return E.yolo_indices(labels(spark, sf_dir))
 
 
 def w13_class_table(spark, sf_dir) -> DataFrame:
     found = objects(spark, sf_dir).groupBy(c("patch").alias("image")).agg(F.sort_array(F.collect_set("class_id")).alias("class_ids"))
-    splits = P.random_split(patches(spark, sf_dir), "patch").where("split <> 'val'").select(c("patch").alias("image"), "split")
+    splits = P.random_split(patches(spark, sf_dir), "patch").select(c("patch").alias("image"), "split")
     names = features(spark, sf_dir).select("class_id", c("class_name").alias("name")).distinct()
     return E.class_table(found, splits, names)
 
@@ -326,28 +314,26 @@ def w21_split_codes(spark, sf_dir) -> DataFrame:
 
 
 def w23_manifest(spark, sf_dir) -> DataFrame:
-    return patches(spark, sf_dir).select("patch", F.to_json(F.struct(c("patch").alias("name"), "row", "col")).alias("line"))
+    return D.manifest_lines(patches(spark, sf_dir).withColumn("name", c("patch")), ["name", "row", "col"])
 
 
 def w30_strides(spark, sf_dir) -> DataFrame:
     k = c("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), F.greatest(F.lit(1), F.bround((k % 60 + 4) * (1 - (k % 5) / 8.0)).cast("bigint")).alias("stride"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), D.inference_stride(k % 60 + 4, (k % 5) / 8.0).alias("stride"))
 
 
 def i1_verified(spark, sf_dir) -> DataFrame:
-    """Listed files that are missing, and files that aren't listed."""
-    listed = anchors(spark, sf_dir).select("id")
-    there = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_discount > 0.07").select(c("l_partkey").alias("id")).distinct().unionByName(spark.range(5).select((c("id") + 10_000_000).alias("id")))
-    missing = listed.join(there, "id", "left_anti").select("id", F.lit("missing").alias("problem"))
-    return missing.unionByName(there.join(listed, "id", "left_anti").select("id", F.lit("unlisted").alias("problem")))
+    """Listed files that are missing, and files that aren't listed: the parts of all order lines, and five that are no parts."""
+    listed = anchors(spark, sf_dir).select((c("id") * 2).alias("id"))
+    there = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("id")).distinct().unionByName(spark.range(5).select((c("id") + 10_000_000).alias("id")))
+    return D.listed_problems(listed, there, "id")
 
 
 def i6_mismatches(spark, sf_dir) -> DataFrame:
     """Fields of two runs' settings that differ, nulls equal."""
     a = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_size").cast("string").alias("x"), F.when(c("p_partkey") % 5 != 0, c("p_brand")).alias("y"))
     b = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), (c("p_size") - (c("p_partkey") % 3 == 0).cast("int")).cast("string").alias("x"), F.when(c("p_partkey") % 10 != 0, c("p_brand")).alias("y"))
-    fields = F.array_compact(F.array(*[F.when(~c(f"a.{f}").eqNullSafe(c(f"b.{f}")), F.lit(f)) for f in ("x", "y")]))
-    return a.alias("a").join(b.alias("b"), "id").select("id", F.array_join(fields, ",").alias("fields")).where("fields <> ''")
+    return D.mismatches(a, b, "id", ["x", "y"])
 
 
 def i10_outside_paths(spark, sf_dir) -> DataFrame:
@@ -430,14 +416,14 @@ QUERIES = {
     "m12_plan": (m12_plan, sql(f"SELECT id, n, {_HUMAN} AS size, CASE WHEN n * 1000 < 1000 THEN 'n<1K' WHEN n * 1000 < 10000 THEN '1K<n<10K' WHEN n * 1000 < 100000 THEN '10K<n<100K' ELSE '100K<n<1M' END AS category, b > 2.5e8 AS large FROM (SELECT *, n * 64 * 64 * 3e0 * 1000 AS b FROM (SELECT id, {_PAD.format(n='height')} * {_PAD.format(n='width')} AS n FROM rasters))", RASTERS)),
     "w8_coco": (w8_coco, sql("SELECT row_number() OVER (ORDER BY patch, feature) AS id, patch + 1 AS image_id, class_id AS category_id, x, y, w, h, area, truncated FROM objects", ANCHORS, FEATURES, MEET, OBJECTS)),
     "w9_yolo": (w9_yolo, sql("SELECT patch, string_agg(CAST(class_id - 1 AS VARCHAR) || ' ' || " + " || ' ' || ".join(_YOLO.format(v=v) for v in ("(x + w / 2) / 64", "(y + h / 2) / 64", "w / 64", "h / 64")) + ", chr(10) ORDER BY feature) AS text FROM objects GROUP BY patch", ANCHORS, FEATURES, MEET, OBJECTS)),
-    "w10_yolo_indices": (w10_yolo_indices, sql("SELECT class_id, row_number() OVER (ORDER BY class_id) - 1 AS \"index\" FROM (SELECT DISTINCT class_id FROM features WHERE class_name <> 'BUILDING')", FEATURES)),
-    "w13_class_table": (w13_class_table, sql("SELECT patch AS image, labels, CASE WHEN split <> 'val' THEN split ELSE '' END AS split FROM (SELECT patch, string_agg(class_name, ' ' ORDER BY class_id) AS labels FROM (SELECT DISTINCT patch, o.class_id, class_name FROM objects o JOIN features f ON f.id = o.feature) GROUP BY patch) JOIN split ON id = patch", ANCHORS, FEATURES, MEET, OBJECTS, _RANDOM)),
+    "w10_yolo_indices": (w10_yolo_indices, sql("SELECT class_id, row_number() OVER (ORDER BY class_id) - 1 AS \"index\" FROM (SELECT DISTINCT class_id FROM features)", FEATURES)),
+    "w13_class_table": (w13_class_table, sql("SELECT patch AS image, labels, split FROM (SELECT patch, string_agg(class_name, ' ' ORDER BY class_id) AS labels FROM (SELECT DISTINCT patch, o.class_id, class_name FROM objects o JOIN features f ON f.id = o.feature) GROUP BY patch) JOIN split ON id = patch", ANCHORS, FEATURES, MEET, OBJECTS, _RANDOM)),
     "w15_footprints": (w15_footprints, sql("SELECT id AS patch, " + ", ".join(_RING) + " FROM anchors", ANCHORS)),
     "w18_shards": (w18_shards, _FOLD),
     "w21_split_codes": (w21_split_codes, sql("SELECT id AS patch, CAST(CASE WHEN \"row\" >= 2000 THEN 255 WHEN split = 'train' THEN 0 WHEN split = 'val' THEN 1 ELSE 2 END AS BIGINT) AS code FROM split JOIN anchors USING (id)", ANCHORS, _RANDOM)),
     "w23_manifest": (w23_manifest, sql("SELECT id AS patch, '{\"name\":' || id || ',\"row\":' || \"row\" || ',\"col\":' || col || '}' AS line FROM anchors", ANCHORS)),
     "w30_strides": (w30_strides, "SELECT s_suppkey AS id, greatest(1, CAST(round_even((s_suppkey % 60 + 4) * (1 - (s_suppkey % 5) / 8e0), 0) AS BIGINT)) AS stride FROM supplier"),
-    "i1_verified": (i1_verified, sql("SELECT id, 'missing' AS problem FROM anchors WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.07) UNION ALL SELECT DISTINCT l_partkey, 'unlisted' FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.07 AND l_partkey NOT IN (SELECT id FROM anchors) UNION ALL SELECT 10000000 + range, 'unlisted' FROM range(5)", ANCHORS)),
+    "i1_verified": (i1_verified, "WITH listed AS (SELECT p_partkey * 2 AS id FROM part), there AS (SELECT DISTINCT l_partkey AS id FROM lineitem UNION ALL SELECT 10000000 + range FROM range(5)) SELECT id, 'missing' AS problem FROM listed WHERE id NOT IN (SELECT id FROM there) UNION ALL SELECT id, 'unlisted' FROM there WHERE id NOT IN (SELECT id FROM listed)"),
     "i6_mismatches": (i6_mismatches, "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 10 = 5 THEN 'x,y' WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS fields FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 10 = 5"),
     "i10_outside_paths": (i10_outside_paths, "SELECT s_suppkey AS id, s_suppkey % 8 IN (0, 7) AS inside FROM supplier"),
     "i11_redacted": (i11_redacted, "SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 1) || '://' || regexp_extract(url, '^(https?)://([^/]+)', 2) || '/...' AS host, 'https://h.example/' || page_id || '?key=***&x=***#f' AS shown FROM pages"),

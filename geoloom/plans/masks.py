@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import catalogue as CG
+from geoloom.operators import dataset as D
 from geoloom.operators import raster as R
 from geoloom.plans.tables import sql, table
 
@@ -54,7 +56,7 @@ def g17_class_histogram(spark, sf_dir) -> DataFrame:
 
 
 def g19_empty_ratio(spark, sf_dir) -> DataFrame:
-    return pixels(spark, sf_dir).groupBy("id").agg(F.avg((c("class_id") == 0).cast("double")).alias("empty_ratio"))
+    return D.empty_ratio(pixels(spark, sf_dir), ["id"], c("class_id") == 0)
 
 
 def g20_value_stats(spark, sf_dir) -> DataFrame:
@@ -114,17 +116,14 @@ def s27_mosaic(spark, sf_dir) -> DataFrame:
 
 def s35_composite(spark, sf_dir) -> DataFrame:
     """Per pixel the reducers of a stack of images: median, mean, least, largest, and last on top."""
-    rows = table(spark, sf_dir, "lineitem").where("l_tax < 0.06")
-    return rows.groupBy(c("l_partkey").alias("pixel")).agg(F.median("l_quantity").alias("median"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.max_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("top"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("pixel", c("l_partkey"))
+    found = CG.composite(rows, ["pixel"], "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 def s32_band_gaps(spark, sf_dir) -> DataFrame:
     """Columns of pixels that are empty in a patch where others have data."""
-    rows = pixels(spark, sf_dir).withColumn("there", c("v") > 0.1).groupBy("id", "c").agg(F.bool_or("there").alias("band"))
-    from pyspark.sql.window import Window
-
-    some = F.max(c("band").cast("int")).over(Window.partitionBy("id")) == 1
-    return rows.withColumn("some", some).where(~c("band") & c("some")).select("id", c("c").alias("band"))
+    return CG.band_gaps(pixels(spark, sf_dir), ["id"], "c", c("v") > 0.1).withColumnRenamed("c", "band")
 
 
 def a23_reflected(spark, sf_dir) -> DataFrame:
@@ -172,7 +171,7 @@ QUERIES = {
     "m10_normalised": (m10_normalised, sql("SELECT id, round(sum(z), 3) AS total, round(max(z), 3) AS high FROM (SELECT id, CAST(CAST((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS FLOAT) AS DOUBLE) AS z FROM pixels JOIN (SELECT c, avg(v) AS m, stddev_pop(v) AS s FROM pixels GROUP BY c) USING (c)) GROUP BY id", PIXELS)),
     "s29_nodata": (s29_nodata, sql("SELECT id, sum(CASE WHEN a = 0 AND b = 0 THEN 1 ELSE 0 END)::BIGINT AS empty FROM (SELECT id, r, c // 2 AS p, min(abs(round(v, 1))) AS a, max(abs(round(v, 1))) AS b FROM pixels GROUP BY ALL) GROUP BY id", PIXELS)),
     "s27_mosaic": (s27_mosaic, "SELECT l_partkey AS pixel, l_extendedprice AS value FROM lineitem WHERE l_discount > 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) = 1"),
-    "s35_composite": (s35_composite, "SELECT l_partkey AS pixel, median(l_quantity) AS median, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS top FROM lineitem WHERE l_tax < 0.06 GROUP BY l_partkey"),
+    "s35_composite": (s35_composite, "SELECT l_partkey AS pixel, median(l_quantity) AS median, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS top FROM lineitem GROUP BY l_partkey"),
     "s32_band_gaps": (s32_band_gaps, sql("SELECT id, c AS band FROM (SELECT id, c, bool_or(v > 0.1e0) AS b FROM pixels GROUP BY id, c) QUALIFY NOT b AND bool_or(b) OVER (PARTITION BY id)", PIXELS)),
     "a23_reflected": (a23_reflected, sql("SELECT id, place, round(v, 8) AS v FROM (SELECT id, r, avg(v) AS v FROM pixels GROUP BY id, r) JOIN (SELECT range AS place, CASE WHEN range < 8 THEN range ELSE 14 - range END AS r FROM range(12)) USING (r)", PIXELS)),
     "w28_blend": (w28_blend, sql(f"SELECT CAST(label AS BIGINT) AS label, (id % 10) * 4 + r AS \"row\", c AS col, round(sum({_HANN} * v) / greatest(sum({_HANN}), 1e-12), 8) AS score FROM pixels GROUP BY ALL", PIXELS).replace(" GROUP BY ALL", " GROUP BY label, (id % 10) * 4 + r, c")),

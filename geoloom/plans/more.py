@@ -9,8 +9,13 @@ from pyspark.sql.window import Window
 from geoloom.functions import cleaning as C
 from geoloom.functions import tiles as T
 from geoloom.functions import utm
+from geoloom.operators import alignment as AL
 from geoloom.operators import burn as B
+from geoloom.operators import catalogue as CG
+from geoloom.operators import dataset as D
 from geoloom.operators import exports as E
+from geoloom.operators import features as FT
+from geoloom.operators import fetching as FE
 from geoloom.operators import raster as R
 from geoloom.operators import sampling as A
 from geoloom.operators import spatial as S
@@ -18,7 +23,7 @@ from geoloom.operators import splits as P
 from geoloom.operators import targets as G
 from geoloom.plans.geometry import _POINT_TILE
 from geoloom.plans.masks import PIXELS, pixels
-from geoloom.plans.patches import BURNED, IN_PATCH, MEET, _SHARE, g18_class_pixels, labels, patches, shapes
+from geoloom.plans.patches import BURNED, IN_PATCH, MEET, _SHARE, g18_class_pixels, labels, patches, shapes, valid_patches
 from geoloom.plans.tables import ANCHORS, FEATURES, PATCH, POINTS, anchors, points, sql, table
 
 c = F.col
@@ -43,9 +48,8 @@ def t28_utm_round_trip(spark, sf_dir) -> DataFrame:
 
 def s6_retry_delays(spark, sf_dir) -> DataFrame:
     """Waits before the next try: what the server asks for, at most 30 s, else longer with each try."""
-    e = table(spark, sf_dir, "events")
     asked = F.when(c("event_id") % 3 == 0, F.floor("value"))
-    return e.select("event_id", F.when(asked.isNotNull(), F.least(asked, F.lit(30))).otherwise(c("event_id") % 4 + 1).cast("bigint").alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", FE.retry_seconds(c("event_id") % 4, asked).cast("bigint").alias("seconds"))
 
 
 def s12_stitch_offsets(spark, sf_dir) -> DataFrame:
@@ -58,29 +62,28 @@ def s12_stitch_offsets(spark, sf_dir) -> DataFrame:
 def s30_cloud_masked(spark, sf_dir) -> DataFrame:
     """Bands of several sources at one pixel; scene classes of clouds and shadows, or beyond the known, are no data."""
     rows = table(spark, sf_dir, "lineitem")
-    stack = rows.groupBy(c("l_partkey").alias("pixel")).agg(F.max_by("l_linenumber", F.struct("l_shipdate", "l_orderkey")).alias("scl"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
-    return stack.withColumn("scl", c("scl").cast("bigint") * 2).withColumn("valid", ~c("scl").isin(3, 8, 9, 10) & (c("scl") <= 11)).select("pixel", "valid", F.when(c("valid"), c("low")).alias("low"), F.when(c("valid"), c("high")).alias("high"))
+    stack = rows.groupBy(c("l_partkey").alias("pixel")).agg((F.max_by("l_linenumber", F.struct("l_shipdate", "l_orderkey")).cast("bigint") * 2).alias("scl"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return CG.cloud_masked(stack, "scl", ["low", "high"]).select("pixel", "valid", "low", "high")
 
 
 def s36_tag_queries(spark, sf_dir) -> DataFrame:
     """Selector text for each nation's tag in a box."""
     name = F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))
-    box = F.format_string("(%d,%d,%d,%d)", c("n_nationkey"), c("n_nationkey") + 1, c("n_nationkey") + 2, c("n_nationkey") + 3)
     selector = F.when(c("n_regionkey") == 0, F.concat(F.lit('["'), name, F.lit('"]'))).otherwise(F.concat(F.lit('["place"="'), name, F.lit('"]')))
-    return table(spark, sf_dir, "nation").select(c("n_nationkey").cast("bigint").alias("id"), F.concat(F.lit("nwr"), selector, box, F.lit(";")).alias("text"))
+    return table(spark, sf_dir, "nation").select(c("n_nationkey").cast("bigint").alias("id"), CG.tag_query(selector, *[c("n_nationkey") + i for i in range(4)]).alias("text"))
 
 
 def s38_ordered_features(spark, sf_dir) -> DataFrame:
     """Elements of a map answer in the order that decides which lies on top: class, then type, then id."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    of_class = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderstatus", "o_orderkey"))
-    return rows.select(c("o_orderkey").alias("id"), of_class.cast("bigint").alias("place"))
+    return CG.ordered_features(rows, "o_orderpriority", "o_orderstatus", "o_orderkey").select(c("o_orderkey").alias("id"), "place")
 
 
 def l6_projected(spark, sf_dir) -> DataFrame:
     """Nations whose customers' coordinates can't be degrees."""
-    df = table(spark, sf_dir, "customer").select("c_nationkey", F.when(c("c_custkey") % 190 == 3, 500000.0).otherwise(c("c_custkey") % 360 - 180.0).alias("x"))
-    return df.groupBy(c("c_nationkey").cast("bigint").alias("nation")).agg(F.bool_or(F.abs("x") > 180).alias("projected"))
+    x = F.when(c("c_custkey") % 190 == 3, 500000.0).otherwise(c("c_custkey") % 360 - 180.0)
+    parts = F.array(F.array(F.array(F.struct(x.alias("x"), F.lit(0.0).alias("y")))))
+    return table(spark, sf_dir, "customer").groupBy(c("c_nationkey").cast("bigint").alias("nation")).agg(F.bool_or(FT.projected(parts)).alias("projected"))
 
 
 def l10_zone_pieces(spark, sf_dir) -> DataFrame:
@@ -88,18 +91,15 @@ def l10_zone_pieces(spark, sf_dir) -> DataFrame:
     k = c("s_suppkey")
     west = (k * 97) % 340 - 170.0
     df = table(spark, sf_dir, "supplier").select(k.alias("id"), west.alias("west"), (west + (k % 20) / 2.0 + 0.5).alias("east"))
-    zone = lambda v: F.least(F.greatest(F.floor((v + 180) / 6) + 1, F.lit(1)), F.lit(60))
-    df = df.withColumn("zone", F.explode(F.sequence(zone(c("west")), zone(c("east")))))
-    return df.select("id", "zone", F.greatest(c("west"), c("zone") * 6 - 186.0).alias("west"), F.least(c("east"), c("zone") * 6 - 180.0).alias("east")).where("east > west")
+    return FT.zone_pieces(df).select("id", "zone", "west", "east")
 
 
 def l11_union(spark, sf_dir) -> DataFrame:
     """Two label sets in one order, the second on top, numbered together."""
-    a = table(spark, sf_dir, "customer").select(F.lit(0).alias("file"), c("c_custkey").alias("id"), c("c_mktsegment").alias("label"))
-    b = table(spark, sf_dir, "supplier").select(F.lit(1).alias("file"), c("s_suppkey").alias("id"), F.when(c("s_suppkey") % 2 == 0, "BUILDING").otherwise("TOWER").alias("label"))
-    both = a.unionByName(b)
-    ids = C.class_ids(both, "label")
-    return both.join(F.broadcast(ids), "label").select(c("file").cast("bigint").alias("file"), "id", "class_id")  # at most 255 labels
+    a = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_mktsegment").alias("label"))
+    b = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), F.when(c("s_suppkey") % 2 == 0, "BUILDING").otherwise("TOWER").alias("label"))
+    both = FT.united([a, b])
+    return FT.kept(both, C.class_ids(both, "label"), "label").select("file", "id", "class_id")
 
 
 def l13_ignore_clash(spark, sf_dir) -> DataFrame:
@@ -117,14 +117,14 @@ def l18_shared_lookup(spark, sf_dir) -> DataFrame:
 
 def l20_areas(spark, sf_dir) -> DataFrame:
     """Named areas: how many pieces and how much area each has."""
-    df = labels(spark, sf_dir).withColumn("name", F.coalesce(F.nullif(F.trim("class_name"), F.lit("")), F.lit("?")))
-    return df.groupBy("name").agg(F.count(F.lit(1)).alias("pieces"), F.sum((c("r1") - c("r0")) * (c("c1") - c("c0"))).alias("area"))
+    df = FT.area_names(labels(spark, sf_dir), "class_name")
+    return df.groupBy(c("class_name").alias("name")).agg(F.count(F.lit(1)).alias("pieces"), F.sum((c("r1") - c("r0")) * (c("c1") - c("c0"))).alias("area"))
 
 
 def a10_position_order(spark, sf_dir) -> DataFrame:
     """Sampled positions by row strip, in the sampled order within each."""
-    df = anchors(spark, sf_dir).select("id", F.floor(c("row") / 512).alias("strip"), ((c("id") * 7919) % 10007).alias("drawn"))
-    return df.select("id", F.row_number().over(Window.partitionBy("strip").orderBy("drawn", "id")).cast("bigint").alias("place"), "strip")
+    df = D.by_strip(anchors(spark, sf_dir).select("id", "row"), 512, F.struct((c("id") * 7919) % 10007, "id"))
+    return df.select("id", "place", "strip")
 
 
 def a19_large_chunks(spark, sf_dir) -> DataFrame:
@@ -135,33 +135,32 @@ def a19_large_chunks(spark, sf_dir) -> DataFrame:
 
 def a21_completed(spark, sf_dir) -> DataFrame:
     """Distinct positions that are done, as one number each."""
-    done = table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(((c("l_partkey") % 70) * 1000 + c("l_suppkey") % 90).alias("pos"))
-    return done.distinct()
+    done = table(spark, sf_dir, "lineitem").select((c("l_partkey") % 70).alias("row"), (c("l_suppkey") % 90).alias("col"))
+    return D.completed(done).select((c("row") * 1000 + c("col")).alias("pos"))
 
 
 def r3_valid_everywhere(spark, sf_dir) -> DataFrame:
     """Pixels that every source has."""
-    return table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("pixel")).agg(F.bool_and(c("l_tax") < 0.08).alias("valid"))
+    return AL.valid_everywhere(table(spark, sf_dir, "lineitem").withColumn("pixel", c("l_partkey")), ["pixel"], c("l_tax") < 0.08)
 
 
 def r4_stackable(spark, sf_dir) -> DataFrame:
     """Groups of sources whose bands and types agree."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey"))
-    kind = F.struct((c("s_suppkey") % 3).alias("bands"), F.when(c("s_acctbal") > 5000, "uint16").otherwise("uint8").alias("dtype"))
-    return s.groupBy(c("n_name").alias("stack")).agg((F.count_distinct(kind) == 1).alias("stackable"), F.count(F.lit(1)).alias("sources"))
+    s = s.select(c("n_name").alias("stack"), (c("s_suppkey") % 3).alias("bands"), F.when(c("s_acctbal") > 5000, "uint16").otherwise("uint8").alias("dtype"))
+    return AL.stackable(s, ["stack"], "bands", "dtype")
 
 
 def r12_any_overlap(spark, sf_dir) -> DataFrame:
     """Classes with a label in the raster's first quarter."""
-    return labels(spark, sf_dir).groupBy("class_id").agg(F.bool_or((c("r0") < 600) & (c("c0") < 600)).alias("overlaps"))
+    return AL.any_overlap(labels(spark, sf_dir), ["class_id"], 600, 600)
 
 
 def g2_padded_masks(spark, sf_dir) -> DataFrame:
     """Pixels of each patch beyond the raster's edge, which the mask ignores, and those inside."""
-    height, width = 2500, 2380
-    inside = lambda v, most: F.greatest(F.lit(0), F.least(c(v) + PATCH, F.lit(most)) - c(v))
-    n = (inside("row", height) * inside("col", width)).cast("bigint")
-    return patches(spark, sf_dir).select("patch", n.alias("inside"), (PATCH * PATCH - n).alias("ignored"))
+    counts = G.class_pixels(valid_patches(spark, sf_dir), shapes(spark, sf_dir), PATCH)
+    ignored = F.coalesce(F.sum(F.when(c("class_id") == G.IGNORE, c("pixels"))), F.lit(0))
+    return counts.groupBy("patch").agg((F.sum("pixels") - ignored).alias("inside"), ignored.alias("ignored"))
 
 
 def g9_accepts_instances(spark, sf_dir) -> DataFrame:
@@ -176,21 +175,32 @@ def g11_accepts_classes(spark, sf_dir) -> DataFrame:
 
 def g13_padded_values(spark, sf_dir) -> DataFrame:
     """Rows of a continuous target beyond the edge are not-a-number: what is left of each patch."""
-    rows = pixels(spark, sf_dir).withColumn("t", F.when(c("r") + c("id") % 4 < 8, c("v")).otherwise(float("nan")))
-    return rows.groupBy("id").agg(F.count_if(~F.isnan("t")).alias("valid"), F.round(F.sum(F.when(~F.isnan("t"), c("t"))), 6).alias("total"))
+    rows = AL.padded_values(pixels(spark, sf_dir), c("r") + c("id") % 4 < 8, "v")
+    return rows.groupBy("id").agg(F.count_if(~F.isnan("v")).alias("valid"), F.round(F.sum(F.when(~F.isnan("v"), c("v"))), 6).alias("total"))
 
 
 def m3_valid_pixels(spark, sf_dir) -> DataFrame:
     """Pixels whose bands are finite and not all black."""
-    bands = pixels(spark, sf_dir).groupBy("id", "r", F.floor(c("c") / 2).alias("p")).agg(F.max(F.abs(F.round("v", 1))).alias("m"))
-    return bands.groupBy("id").agg(F.count_if(c("m") > 0).alias("valid"))
+    level = F.round("v", 1) + 0.0
+    bands = pixels(spark, sf_dir).groupBy("id", "r", F.floor(c("c") / 2).alias("p")).agg(F.min_by(level, "c").alias("a"), F.max_by(level, "c").alias("b"))
+    return D.valid_pixels(bands, ["id"], [c("a"), c("b")], black_is_empty=True)
+
+
+def _statistics(spark, sf_dir, split: str) -> tuple[DataFrame, DataFrame]:
+    rows = pixels(spark, sf_dir).withColumnRenamed("id", "patch")
+    split_of = P.random_split(rows.select("patch").distinct(), "patch")
+    return D.statistics(rows.withColumn("band", F.lit(0)), R.histogram(rows, ["patch"]), split_of, split, value="v")
 
 
 def m6_split_statistics(spark, sf_dir) -> DataFrame:
     """Moments of the training patches alone."""
-    train = P.random_split(pixels(spark, sf_dir).select("id").distinct(), "id").where("split = 'train'").select("id")
-    rows = pixels(spark, sf_dir).join(train, "id", "left_semi")
-    return R.moments(rows.withColumn("k", F.lit(0)), ["k"], "v").select("count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    return _statistics(spark, sf_dir, "train")[0].select("count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+def m7_class_statistics(spark, sf_dir) -> DataFrame:
+    """Classes of the training patches: pixels, patches, frequency and weight."""
+    found = _statistics(spark, sf_dir, "train")[1]
+    return found.select("class_id", "pixels", "patches", F.round("frequency", 9).alias("frequency"), F.round("weight", 8).alias("weight"))
 
 
 def m9_info_table(spark, sf_dir) -> DataFrame:
@@ -218,9 +228,8 @@ def w19_sample_json(spark, sf_dir) -> DataFrame:
 
 
 def w25_checksums(spark, sf_dir) -> DataFrame:
-    """Lines of a checksum file, in order of names."""
-    line = F.concat(F.sha2(c("text").cast("binary"), 256), F.lit("  docs/"), c("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    """Lines of a checksum file."""
+    return D.checksum_lines(table(spark, sf_dir, "documents"), F.concat(F.lit("docs/"), c("doc_id").cast("string")), "text", "doc_id")
 
 
 def i4_mask_check(spark, sf_dir) -> DataFrame:
@@ -232,16 +241,18 @@ def i4_mask_check(spark, sf_dir) -> DataFrame:
 
 
 def i8_upgraded(spark, sf_dir) -> DataFrame:
-    """Old entries (name, class:count pairs) as new ones: a number, a map's total and largest class."""
-    old = table(spark, sf_dir, "part").select(F.format_string("patch_%07d.png", c("p_partkey")).alias("filename"), F.concat(F.lit("0:"), c("p_size").cast("string"), F.lit(",3:"), (c("p_partkey") % 60).cast("string")).alias("counts"))
-    counts = F.transform_values(F.str_to_map("counts", F.lit(","), F.lit(":")), lambda _, v: v.cast("bigint"))
-    new = old.select(F.regexp_extract("filename", r"(\d+)", 1).cast("bigint").alias("id"), counts.alias("m"))
-    return new.select("id", F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("pixels"), F.when(c("m")["3"] > c("m")["0"], "3").otherwise("0").alias("leading"))
+    """Old entries as new ones: their places, files, strip and counts."""
+    k = c("p_partkey")
+    counts = F.create_map(F.lit("0"), c("p_size"), F.lit("3"), (k % 60).cast("int"))
+    mask = F.when(k % 3 != 0, F.format_string("mask_%07d.png", k))
+    old = table(spark, sf_dir, "part").select(F.format_string("patch_%07d.png", k).alias("filename"), mask.alias("mask_filename"), (k % 40).alias("row"), k.alias("col"), F.when(k % 2 == 0, F.lit(True)).alias("padded"), (k % 7).alias("strip_index"), counts.alias("per_class_pixel_counts"), (k % 10 / 10.0).alias("empty_ratio"))
+    pixels = F.aggregate(F.map_values("summary.class_pixels"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return D.upgraded(old).select(c("col").alias("id"), "row", "padded", "chunk", F.array_join(F.sort_array(F.map_values("files")), ",").alias("files"), pixels.alias("pixels"), c("summary.empty_ratio").alias("empty_ratio"))
 
 
 def d16_stacks(spark, sf_dir) -> DataFrame:
     """Values of several dates at each pixel in order of date."""
-    rows = table(spark, sf_dir, "lineitem").where("l_discount > 0.05")
+    rows = table(spark, sf_dir, "lineitem")
     found = rows.groupBy(c("l_partkey").alias("pixel")).agg(F.sort_array(F.collect_list(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"))).alias("s"))
     return found.select("pixel", F.array_join(F.transform("s", lambda x: x["l_quantity"].cast("bigint").cast("string")), ",").alias("stack"))
 
@@ -274,7 +285,7 @@ QUERIES = {
     "l20_areas": (l20_areas, sql("SELECT class_name AS name, count(*) AS pieces, CAST(sum((r1 - r0) * (c1 - c0)) AS BIGINT) AS area FROM features GROUP BY class_name", FEATURES)),
     "a10_position_order": (a10_position_order, sql("SELECT id, row_number() OVER (PARTITION BY \"row\" // 512 ORDER BY (id * 7919) % 10007, id) AS place, \"row\" // 512 AS strip FROM anchors", ANCHORS)),
     "a19_large_chunks": (a19_large_chunks, sql("SELECT \"row\" // 512 AS chunk, count(*) AS patches FROM anchors GROUP BY 1 HAVING count(*) > 300", ANCHORS)),
-    "a21_completed": (a21_completed, "SELECT DISTINCT (l_partkey % 70) * 1000 + l_suppkey % 90 AS pos FROM lineitem WHERE l_discount > 0.05"),
+    "a21_completed": (a21_completed, "SELECT DISTINCT (l_partkey % 70) * 1000 + l_suppkey % 90 AS pos FROM lineitem"),
     "r3_valid_everywhere": (r3_valid_everywhere, "SELECT l_partkey AS pixel, bool_and(l_tax < 0.08) AS valid FROM lineitem GROUP BY l_partkey"),
     "r4_stackable": (r4_stackable, "SELECT n_name AS stack, count(DISTINCT (s_suppkey % 3) || CASE WHEN s_acctbal > 5000 THEN 'uint16' ELSE 'uint8' END) = 1 AS stackable, count(*) AS sources FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
     "r12_any_overlap": (r12_any_overlap, sql("SELECT class_id, bool_or(r0 < 600 AND c0 < 600) AS overlaps FROM features GROUP BY class_id", FEATURES)),
@@ -291,7 +302,8 @@ QUERIES = {
     "w19_sample_json": (w19_sample_json, sql("SELECT id AS patch, '{\"col\":' || col || ',\"name\":' || id || ',\"row\":' || \"row\" || ',\"split\":\"' || split || '\"}' AS json FROM anchors JOIN split USING (id)", ANCHORS, _SPLIT_OF.format(by="", rows="anchors"))),
     "w25_checksums": (w25_checksums, "SELECT doc_id, sha256(text) || '  docs/' || doc_id AS line FROM documents"),
     "i4_mask_check": (i4_mask_check, sql("SELECT DISTINCT id FROM pixels WHERE label = 3 AND class_id = 1", PIXELS)),
-    "i8_upgraded": (i8_upgraded, "SELECT p_partkey AS id, p_size + p_partkey % 60 AS pixels, CASE WHEN p_partkey % 60 > p_size THEN '3' ELSE '0' END AS leading FROM part"),
-    "d16_stacks": (d16_stacks, "SELECT l_partkey AS pixel, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_shipdate, l_orderkey, l_linenumber) AS stack FROM lineitem WHERE l_discount > 0.05 GROUP BY l_partkey"),
+    "i8_upgraded": (i8_upgraded, "SELECT p_partkey AS id, p_partkey % 40 AS \"row\", p_partkey % 2 = 0 AS padded, p_partkey % 7 AS chunk, CASE WHEN p_partkey % 3 <> 0 THEN printf('mask_%07d.png,', p_partkey) ELSE '' END || printf('patch_%07d.png', p_partkey) AS files, p_size + p_partkey % 60 AS pixels, p_partkey % 10 / 10e0 AS empty_ratio FROM part"),
+    "m7_class_statistics": (m7_class_statistics, sql("SELECT class_id, n AS pixels, p AS patches, round(n / (SELECT sum(n) FROM k), 9) AS frequency, round((SELECT median(f) FROM k) / f, 8) AS weight FROM k", PIXELS, _SPLIT_OF.format(by="", rows="(SELECT DISTINCT id FROM pixels)"), "k AS (SELECT class_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS p, sum(n) / sum(a) AS f FROM (SELECT class_id, n, sum(n) OVER (PARTITION BY id) AS a FROM (SELECT id, class_id, count(*) AS n FROM pixels WHERE id IN (SELECT id FROM split WHERE split = 'train') GROUP BY ALL)) GROUP BY class_id)")),
+    "d16_stacks": (d16_stacks, "SELECT l_partkey AS pixel, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_shipdate, l_orderkey, l_linenumber) AS stack FROM lineitem GROUP BY l_partkey"),
     "s58_loaded": (s58_loaded, sql("SELECT id, round(avg((v - (SELECT avg(v) FROM pixels)) / (SELECT stddev_pop(v) FROM pixels)), 7) AS mean FROM pixels WHERE id IN (SELECT id FROM split WHERE split = 'val') GROUP BY id", PIXELS, _SPLIT_OF.format(by="", rows="(SELECT DISTINCT id FROM pixels)"))),
 }

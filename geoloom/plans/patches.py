@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import alignment as AL
 from geoloom.operators import burn as B
+from geoloom.operators import dataset as D
+from geoloom.operators import features as FT
 from geoloom.operators import raster as R
 from geoloom.operators import shapes as Z
 from geoloom.operators import spatial as S
@@ -87,10 +90,9 @@ def v1_fill(spark, sf_dir) -> DataFrame:
 
 
 def v10_point_boxes(spark, sf_dir) -> DataFrame:
-    """Points as squares of five pixels, clipped to the raster."""
+    """Points as squares of five pixels."""
     k = c("s_suppkey")
-    x, y = (k * 13) % 400, (k * 29) % 400
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), (x - 2.5).alias("x0"), (y - 2.5).alias("y0"), (x + 2.5).alias("x1"), (y + 2.5).alias("y1"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), FT.point_boxes((k * 13) % 400, (k * 29) % 400, 5.0).alias("b")).select("id", "b.*")
 
 
 def g1_mask(spark, sf_dir) -> DataFrame:
@@ -181,30 +183,27 @@ def g21_object_counts(spark, sf_dir) -> DataFrame:
 
 def m11_label_summary(spark, sf_dir) -> DataFrame:
     inside = (c("r0") < 1300) & (c("r1") > 200) & (c("c0") < 1800) & (c("c1") > 300)
-    return labels(spark, sf_dir).groupBy("class_name").agg(F.count(F.lit(1)).alias("features"), F.count_if(inside).alias("in_region"))
+    return D.label_summary(labels(spark, sf_dir), "class_name", inside)
 
 
 def r2_aligned(spark, sf_dir) -> DataFrame:
-    """Every patch's pixel looked up in a coarser raster of factor 3 shifted by (5, 2): 0 and invalid outside."""
-    coarse = spark.range(40 * 30).select(F.floor(c("id") / 30).alias("rr"), (c("id") % 30).alias("cc"), ((c("id") * 7919) % 251).alias("value"))
-    fine = patches(spark, sf_dir).select("patch", (c("row") % 130).alias("r"), (c("col") % 100).alias("k"))
-    fine = fine.withColumns({"rr": F.floor((c("r") - 5) / 3), "cc": F.floor((c("k") - 2) / 3)})
-    found = fine.join(F.broadcast(coarse), ["rr", "cc"], "left")  # 1,200 pixels
-    return found.select("patch", F.coalesce("value", F.lit(0)).alias("value"), c("value").isNotNull().alias("valid"))
+    """Every patch's pixel looked up in a coarser raster of parts, of factor 3 and shifted by (5, 2): 0 and invalid outside."""
+    k = c("p_partkey")
+    coarse = table(spark, sf_dir, "part").select(F.floor(k / 30).alias("r"), (k % 30).alias("c"), c("p_size").cast("bigint").alias("value"))
+    fine = patches(spark, sf_dir).select("patch", (c("row") % 130).alias("r"), (c("col") % 100).alias("c"))
+    return AL.on_grid(fine, coarse, 3, 5, 2).select("patch", "value", "valid")
 
 
 def r5_label_lookup(spark, sf_dir) -> DataFrame:
     """Pixel centres of one grid found in another of 2.5 units: row and column, -1 outside."""
-    inside = lambda v, n: F.when((v >= 0) & (v < n), v).otherwise(-1).cast("bigint")
-    df = patches(spark, sf_dir)
-    return df.select("patch", inside(F.floor((c("row") + 0.5 - 10) / 2.5 + 1e-10), 900).alias("r"), inside(F.floor((c("col") + 0.5 - 20) / 2.5 + 1e-10), 800).alias("c"))
+    at = AL.label_pixel(c("row"), c("col"), (1, 0, 0, 0, 1, 0), (2.5, 0, 20, 0, 2.5, 10), 900, 800)
+    return patches(spark, sf_dir).select("patch", at.alias("at")).select("patch", "at.r", "at.c")
 
 
 def r11_classified(spark, sf_dir) -> DataFrame:
     """Raster values to classes: some mapped, some ignored, the rest background."""
-    lut = F.broadcast(spark.createDataFrame([(0, 10), (1, 20), (2, 20), (7, 30)], "value bigint, class_id bigint"))
-    df = anchors(spark, sf_dir).withColumn("value", (c("p_size") % 10).cast("bigint")).join(lut, "value", "left")
-    return df.select(c("id").alias("patch"), F.when(c("value").isin(8, 9), 255).otherwise(F.coalesce("class_id", F.lit(0))).cast("bigint").alias("class_id"))
+    found = AL.classified((c("p_size") % 10).cast("bigint"), {0: 10, 1: 20, 2: 20, 7: 30}, (8, 9))
+    return anchors(spark, sf_dir).select(c("id").alias("patch"), found.alias("class_id"))
 
 
 _STAR = ", ".join(f"round((s_suppkey * 13) % 400 + 30 + 28.25 * cos(radians(144e0 * {i} + s_suppkey)), 3) AS x{i}, round((s_suppkey * 29) % 400 + 30 + 28.25 * sin(radians(144e0 * {i} + s_suppkey)), 3) AS y{i}" for i in range(5))
@@ -239,7 +238,7 @@ QUERIES = {
     "g18_class_pixels": (g18_class_pixels, sql("SELECT patch, class_id, pixels FROM counts", ANCHORS, FEATURES, BURNED, IN_PATCH, COUNTS)),
     "g21_object_counts": (g21_object_counts, sql(f"SELECT patch, class_id, count(*) AS objects FROM meet WHERE {_SHARE} AND v1 - v0 >= 2 AND h1 - h0 >= 2 GROUP BY ALL", ANCHORS, FEATURES, MEET)),
     "m11_label_summary": (m11_label_summary, sql("SELECT class_name, count(*) AS features, count(*) FILTER (WHERE r0 < 1300 AND r1 > 200 AND c0 < 1800 AND c1 > 300) AS in_region FROM features GROUP BY class_name", FEATURES)),
-    "r2_aligned": (r2_aligned, sql("SELECT id AS patch, CASE WHEN ok THEN ((rr * 30 + cc) * 7919) % 251 ELSE 0 END AS value, ok AS valid FROM (SELECT *, rr >= 0 AND rr < 40 AND cc >= 0 AND cc < 30 AS ok FROM (SELECT id, CAST(floor((\"row\" % 130 - 5) / 3) AS BIGINT) AS rr, CAST(floor((col % 100 - 2) / 3) AS BIGINT) AS cc FROM anchors))", ANCHORS)),
+    "r2_aligned": (r2_aligned, sql("SELECT f.id AS patch, coalesce(CAST(p.p_size AS BIGINT), 0) AS value, p.p_size IS NOT NULL AS valid FROM (SELECT id, CAST(floor((\"row\" % 130 - 5) / 3) AS BIGINT) AS rr, CAST(floor((col % 100 - 2) / 3) AS BIGINT) AS cc FROM anchors) f LEFT JOIN part p ON rr >= 0 AND cc >= 0 AND cc < 30 AND p.p_partkey = rr * 30 + cc", ANCHORS)),
     "r5_label_lookup": (r5_label_lookup, sql("SELECT id AS patch, CASE WHEN r >= 0 AND r < 900 THEN r ELSE -1 END AS r, CASE WHEN c >= 0 AND c < 800 THEN c ELSE -1 END AS c FROM (SELECT id, CAST(floor((\"row\" + 0.5e0 - 10) / 2.5e0 + 1e-10) AS BIGINT) AS r, CAST(floor((col + 0.5e0 - 20) / 2.5e0 + 1e-10) AS BIGINT) AS c FROM anchors)", ANCHORS)),
     "r11_classified": (r11_classified, sql("SELECT id AS patch, CAST(CASE p_size % 10 WHEN 8 THEN 255 WHEN 9 THEN 255 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 20 WHEN 7 THEN 30 ELSE 0 END AS BIGINT) AS class_id FROM anchors", ANCHORS)),
 }

@@ -16,16 +16,17 @@ HEADERS = "file string, height long, width long, bands int, dtype string, epsg i
 BLOCKS = "file string, block_row long, block_col long, row long, col long, height int, width int, bands int, dtype string, pixels binary, valid binary"
 
 
-def one_file_a_batch(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-
-
 def _rows(schema_types: list, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema_types, strict=True)], names)
 
 
-def geotiff_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each GeoTIFF: size, type, reference system and corner-based transform."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the files that a path or glob names."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def geotiff_headers(found: DataFrame) -> DataFrame:
+    """A row for each GeoTIFF of files(): size, type, reference system and corner-based transform."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -36,11 +37,11 @@ def geotiff_headers(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield _rows([pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64())], [x.split()[0] for x in HEADERS.split(", ")], rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, HEADERS)
+    return found.select("path", "content").mapInArrow(run, HEADERS)
 
 
-def geotiff_blocks(spark: SparkSession, path: str, side: int = 512, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Square blocks of pixels of GeoTIFFs; of a window (r0, r1, c0, c1) only the chunks that it meets are decoded.
+def geotiff_blocks(found: DataFrame, side: int = 512, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Square blocks of pixels of the GeoTIFFs of files(); of a window (r0, r1, c0, c1) only the chunks that it meets are decoded.
 
     valid has a byte for each pixel: inside the raster and not NoData.
     """
@@ -61,7 +62,7 @@ def geotiff_blocks(spark: SparkSession, path: str, side: int = 512, window: tupl
                         valid &= ~empty(pixels, info.nodata)
                         yield _rows(types, names, [(file, br, bc, y0, x0, y1 - y0, x1 - x0, info.bands, pixels.dtype.name, pixels.tobytes(), valid.tobytes())])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+    return found.select("path", "content").mapInArrow(run, BLOCKS)
 
 
 def empty(pixels: np.ndarray, nodata: float | None) -> np.ndarray:
@@ -167,9 +168,21 @@ def save_files(files: DataFrame, uri: str) -> DataFrame:
     return files.select("name", "content").mapInArrow(run, "name string, bytes long, sha256 string")
 
 
-def cut_short(spark: SparkSession, path: str) -> DataFrame:
-    """path, problem of files that aren't whole by their first and last bytes. Spark's readers skip files without bytes:
-    those show as missing against the list of files."""
+def npy_bytes(content):
+    """Bytes that an NPY file has by its header: version 1, a shape and a type."""
+    byte = lambda k: F.conv(F.hex(F.substring(content, k, 1)), 16, 10).cast("bigint")
+    length = byte(9) + 256 * byte(10)
+    head = F.decode(F.substring(content, F.lit(11), length.cast("int")), "ISO-8859-1")
+    sides = F.filter(F.split(F.regexp_extract(head, r"\(([^)]*)\)", 1), ","), lambda x: F.trim(x) != "")
+    values = F.aggregate(sides, F.lit(1).cast("bigint"), lambda n, x: n * F.trim(x).cast("bigint"))
+    return 10 + length + values * F.nullif(F.regexp_extract(head, r"'[<>|=]?[a-zA-Z](\d+)'", 1), F.lit("")).cast("bigint")
+
+
+def cut_short(found: DataFrame) -> DataFrame:
+    """path, problem of files() that aren't whole by their first and last bytes, NPY files by their length.
+
+    Spark's readers skip files without bytes: those show as missing against the list of files.
+    """
     content = F.col("content")
     starts = lambda text: F.substring(content, 1, len(text)) == F.lit(text)
     ends = lambda text: F.substring(content, -len(text), len(text)) == F.lit(text)
@@ -184,10 +197,42 @@ def cut_short(spark: SparkSession, path: str) -> DataFrame:
         .when(suffix.isin("jpg", "jpeg") & ~ends(b"\xff\xd9"), "is cut short")
         .when(suffix.isin("tif", "tiff") & ~tif, "is not a TIFF file")
         .when((suffix == "npy") & ~starts(b"\x93NUMPY"), "is not an NPY file")
+        .when((suffix == "npy") & (F.octet_length(content) != npy_bytes(content)), "is cut short")
     )
-    return spark.read.format("binaryFile").load(path).select("path", problem.alias("problem")).where("problem is not null")
+    return found.select("path", problem.alias("problem")).where("problem is not null")
+
 
+def checksums(found: DataFrame) -> DataFrame:
+    """path, sha256 of files()."""
+    return found.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def fingerprints(found: DataFrame, head: int = 1 << 16) -> DataFrame:
+    """path, size, head_sha256 of files(): enough to tell that a source has changed without hashing all of it."""
+    return found.select("path", F.octet_length("content").cast("bigint").alias("size"), F.sha2(F.substring("content", 1, head), 256).alias("head_sha256"))
+
+
+def read_patch(content: bytes, suffix: str) -> np.ndarray:
+    """A patch's pixels (bands, rows, columns) from NPY, PNG or TIFF bytes."""
+    if suffix == "npy":
+        return np.load(io.BytesIO(content), allow_pickle=False)
+    if suffix == "png":
+        return np.moveaxis(png.decode(content), -1, 0)
+    if suffix in ("tif", "tiff"):
+        info = tiff.read_info(content)
+        return np.moveaxis(tiff.read_window(content, info, 0, info.height, 0, info.width)[0], -1, 0)
+    raise ValueError(f"no patches are read from .{suffix} files")
+
+
+def rgb(blocks: DataFrame) -> DataFrame:
+    """Blocks of one band as three equal ones; others as they are."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            bands, dtypes = batch.column(7).to_pylist(), batch.column(8).to_pylist()
+            pixels = [np.repeat(np.frombuffer(p, d), 3).tobytes() if n == 1 else p for p, n, d in zip(batch.column(9).to_pylist(), bands, dtypes, strict=True)]
+            columns = list(batch.columns)
+            columns[7], columns[9] = pa.array([3 if n == 1 else n for n in bands], pa.int32()), pa.array(pixels, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return blocks.mapInArrow(run, BLOCKS)

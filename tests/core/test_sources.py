@@ -197,9 +197,9 @@ def test_rasters_as_tables(spark, tmp_path):
     images = [rng.integers(0, 9, (90, 70, 2)).astype("u2") for _ in range(2)]
     for i, image in enumerate(images):
         (tmp_path / f"f{i}.tif").write_bytes(tiff.write(image, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3857, nodata=0))
-    head = raster.geotiff_headers(spark, f"{tmp_path}/*.tif").orderBy("file").first()
+    head = raster.geotiff_headers(raster.files(spark, f"{tmp_path}/*.tif")).orderBy("file").first()
     assert (head.height, head.width, head.bands, head.dtype, head.epsg, head.nodata) == (90, 70, 2, "uint16", 3857, 0.0)
-    table = raster.pixels(raster.geotiff_blocks(spark, f"{tmp_path}/*.tif", side=32))
+    table = raster.pixels(raster.geotiff_blocks(raster.files(spark, f"{tmp_path}/*.tif"), side=32))
     assert table.count() == 2 * 90 * 70
     files = [r.file for r in table.select("file").distinct().orderBy("file").collect()]
     offsets = spark.createDataFrame([(files[0], 0, 0), (files[1], 10, 5)], "file string, row_offset long, col_offset long")
@@ -208,7 +208,7 @@ def test_rasters_as_tables(spark, tmp_path):
         a = images[0][r, k] if r < 90 and k < 70 else np.zeros(2)
         b = images[1][r - 10, k - 5] if 0 <= r - 10 < 90 and 0 <= k - 5 < 70 else np.zeros(2)
         assert values == list(a if a.any() else b)
-    cut = raster.geotiff_blocks(spark, f"{tmp_path}/f0.tif", window=(5, 15, 60, 99)).collect()
+    cut = raster.geotiff_blocks(raster.files(spark, f"{tmp_path}/f0.tif"), window=(5, 15, 60, 99)).collect()
     assert [(b.row, b.col, b.height, b.width) for b in cut] == [(5, 60, 10, 10)]
 
 
@@ -219,11 +219,11 @@ def test_patches_as_files(spark, tmp_path):
         files = raster.encoded(df, kind).withColumn("name", F.concat(F.lit("Images/"), F.col("name"), F.lit(f".{kind}")))
         assert raster.save_files(files, f"file://{tmp_path}/out").first().name == f"Images/p.{kind}"
     assert (np.load(tmp_path / "out/Images/p.npy") == np.moveaxis(image, -1, 0)).all()
-    assert raster.cut_short(spark, f"file://{tmp_path}/out/Images").count() == 0
+    assert raster.cut_short(raster.files(spark, f"file://{tmp_path}/out/Images")).count() == 0
     whole = (tmp_path / "out/Images/p.png").read_bytes()
     (tmp_path / "out/Images/q.png").write_bytes(whole[:-5])
     (tmp_path / "out/Images/r.tif").write_bytes(b"II")
-    assert {r.path[-5:]: r.problem for r in raster.cut_short(spark, f"file://{tmp_path}/out/Images").collect()} == {"q.png": "is cut short", "r.tif": "is not a TIFF file"}
+    assert {r.path[-5:]: r.problem for r in raster.cut_short(raster.files(spark, f"file://{tmp_path}/out/Images")).collect()} == {"q.png": "is cut short", "r.tif": "is not a TIFF file"}
     tiles = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(b"<html>")), (3, None)], "id int, content binary")
     got = {r.id: r.rgb for r in raster.decoded_tiles(tiles).collect()}
     assert got[1] == image.tobytes() and got[2] is None and got[3] is None
