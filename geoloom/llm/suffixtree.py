@@ -25,23 +25,22 @@ each of its words.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bitmap, documents, mapped, packed, release, remainder, texts, unpacked, written
+from geoloom.llm.common import batches, bitmap, documents, mapped, release, remainder, texts, word_hashes, written
 
 #: Occurrences that a context and a kept next symbol need.
 LEAST_COUNT = 3
 #: Words of the longest context.
-DEPTH = 2
+DEPTH = 3
 #: Sequences that are broadcast, 16 bytes each.
-MOST = 4_000_000
+MOST = 3_000_000
 #: The end of a text as a word's hash, and what stands before its first word.
 END, START = 0x1F3D5B79A2C4E680, 0x6A09E667F3BCC908
 #: Bits by which a sequence's hash is rotated for each word that follows.
@@ -53,60 +52,18 @@ SMOOTH = 4.0
 MOST_WORDS = 1_000_000
 BATCH_BYTES = 2 << 20
 #: Distinct counts that a task holds before it sends them on.
-HELD = 1 << 22
-#: Bytes whose words are hashed at a time, or one word's: the arrays stay in a core's cache.
-PIECE = 1 << 16
-# Numbers of the word hash: any odd ones, and a random one for each byte.
-BASE, MULTIPLIER = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD6E8FEB86659FD93)
-BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
+HELD = 1 << 21
+#: Distinct sequences that a task holds before it sends them on, 24 bytes each.
+HELD_SEQUENCES = 3 << 19
 WORDS, TEXTS = 0, 1
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts, A-Z lower-cased, one after another; words in each text.
-
-    A word's hash is the polynomial of its bytes' numbers, taken from running sums of some words at a time.
-    """
-    data = b"\n".join([b"", *parts, b""]).lower()
-    at = np.frombuffer(data, np.uint8)
-    space = SPACE[at]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    bounds = np.cumsum([1, *(len(x) + 1 for x in parts)])
-    sizes = np.diff(np.searchsorted(starts, bounds))
-    out, first = np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        low = starts[first]
-        last = max(first + 1, int(np.searchsorted(stops, low + PIECE, "right")))
-        a, b = starts[first:last] - low, stops[first:last] - low
-        up, down = powers(int(b[-1]))
-        sums = np.append(np.uint64(0), np.cumsum(BYTE[at[low : low + b[-1]]] * up[: b[-1]]))
-        out[first:last] = (sums[b] - sums[a]) * down[a]
-        first = last
-    out = (out ^ (out >> np.uint64(32))) * MULTIPLIER
-    return (out ^ (out >> np.uint64(29))).view(np.int64), sizes
-
-
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    step = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)))
-    return step(BASE), step(np.uint64(pow(int(BASE), -1, 1 << 64)))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2^64, for n places or more."""
-    return _powers(max(PIECE, 1 << (n - 1).bit_length()))
-
-
 class Lookup:
     """Values of uniform 64-bit keys: sorted keys, and where those of each range of hashes begin."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys.view(np.uint64))
-        self.keys, self.values = keys.view(np.uint64)[order], values[order]
+        """keys in order as unsigned numbers."""
+        self.keys, self.values = keys.view(np.uint64), values
         self.shift = np.uint64(64 - max(1, min(30, len(keys).bit_length())))
         self.first = np.searchsorted(self.keys >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
 
@@ -203,15 +160,28 @@ def often(rows: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, contexts, n = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            each = keys[first], contexts[order[first]], np.add.reduceat(n[order], first)
+            for i in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in each], ["key", "ctx", "n"])
+
         for batch in batches(found, BATCH_BYTES):
             *_, (shorter, _), (keys, at) = sequences(*word_hashes(texts(batch)), length)
             there = mapped(shared.value, shorter)
             at = at[there[at] & there[at - 1]]
             each, where, n = np.unique(keys[at], return_index=True, return_counts=True)
-            context = shorter[at[where] - 1]
-            for i in range(0, len(each), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(each[part]), pa.array(context[part]), pa.array(n[part].astype(np.int64))], ["key", "ctx", "n"])
+            held.append((each, shorter[at[where] - 1], n.astype(np.int64)))
+            if sum(len(x) for x, *_ in held) >= HELD_SEQUENCES:
+                yield from out()
+        if sum(len(x) for x, *_ in held):
+            yield from out()
 
     return rows.mapInArrow(run, "key long, ctx long, n long").groupBy("key", "ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
@@ -257,10 +227,11 @@ def split(weights: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return weights.where(scale > least), weights.where(scale <= least)
 
 
-def brought(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both columns of a table of bounded size."""
+def brought(table: DataFrame) -> Broadcast:
+    """Both columns of a table of bounded size, sorted for Lookup; nothing of it stays in the driver."""
     keys, values = (x.to_numpy() for x in table.toArrow().columns)
-    return keys, values
+    order = np.argsort(keys.view(np.uint64))
+    return table.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
 
 def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, most: int = MOST, most_words: int = MOST_WORDS) -> DataFrame:
@@ -283,7 +254,7 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
     some_words, seldom = split(words, most_words)
     top, others = split(weights, most)
     # What is not in a map of all training words or sequences needs no lookup and no join.
-    model = packed(spark, (Lookup(*brought(some_words.select("word", "n"))), bitmap(words.select("word")), Lookup(*brought(top.select("key", "weight"))), bitmap(weights.select("key"))))
+    shared = [brought(some_words.select("word", "n")), spark.sparkContext.broadcast(bitmap(words.select("word"))), brought(top.select("key", "weight")), spark.sparkContext.broadcast(bitmap(weights.select("key")))]
     release(spark)
     with_words, with_longer = seldom is not None, others is not None
     kind = docs.schema[key].dataType.simpleString()
@@ -294,7 +265,7 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "t
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(by, minlength=n))).astype(np.int32)), pa.array(values))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, all_words, known_longer, all_longer = unpacked(model)
+        known_words, all_words, known_longer, all_longer = Lookup(*shared[0].value), shared[1].value, Lookup(*shared[2].value), shared[3].value
         row = TaskContext.get().partitionId() << 40
         none = np.zeros(0, np.int64)
         for batch in batches(found, BATCH_BYTES):
