@@ -6,9 +6,10 @@ matched with those at every place of every document. Around each hit the two tex
 each other without gaps and the best stretch (a match counts 1, a substitution -3) is kept if it has
 enough matches; an insertion leaves two such stretches.
 
-The benchmark is the query set: its items are taken in blocks of at most BLOCK_WORDS words, each
-block is broadcast and meets all documents in one scan without a shuffle, whatever the number of
-copies of a passage.
+The benchmark is the query set. One of at most BLOCK_WORDS words is broadcast and meets all documents
+in one scan without a shuffle, whatever the number of copies of a passage. Of a larger one the hashes
+of all seeds are a bitmap and a table first: one scan and an equi-join find the documents that have
+any, and only those meet the items, in blocks of so many words.
 
 Defined results: words are lower-cased in A-Z and lose punctuation at their ends (a word of nothing
 else stays); a null or empty text or item matches nothing; items of fewer than MIN_MATCH words match
@@ -20,7 +21,9 @@ columns are ignored, whatever their names. A very long text is a batch of its ow
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, documents, packed, texts, unpacked
+from geoloom.llm.common import batches, bitmap, bounded, documents, mapped, packed, texts, unpacked, written
 
 #: Which of consecutive words a seed reads.
 MASKS = ("11011", "1101011", "11001011", "110100101")
@@ -36,6 +39,8 @@ MIN_MATCH = 8
 MISS = 3
 BLOCK_WORDS = 1 << 18
 BLOOM_BITS = 22
+#: Documents that have a seed of a large benchmark up to which their keys are broadcast; above, the join shuffles.
+BROADCAST_ROWS = 200_000
 BATCH_BYTES = 2 << 20
 ENDS = b".,;:!?\"'()[]{}<>|*#%&$-_"
 
@@ -133,16 +138,69 @@ def blocks(items: DataFrame, key: str, text: str, block_words: int = BLOCK_WORDS
         yield Block(ids, parts)
 
 
+def item_seeds(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every mask at every place of all texts where it fits, and the text of each."""
+    words, starts, lengths = word_hashes(parts)
+    owner = np.repeat(np.arange(len(parts)), lengths)
+    found = []
+    for number, mask in enumerate(MASKS):
+        h = seeds(words, mask, number)
+        own = owner[: len(h)]
+        fits = np.arange(len(h)) + len(mask) <= starts[own] + lengths[own]
+        found.append((h[fits], own[fits]))
+    h, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h.view(np.int64), own
+
+
+def seeded(docs: DataFrame, items: DataFrame, key: str, text: str, item_text: str) -> DataFrame:
+    """The rows of docs that have a seed of an item, or no key: one scan, whatever the number of items.
+
+    A map of all items' hashes lets few places through; those meet the hashes in a join.
+    """
+    spark = docs.sparkSession
+
+    def hashes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(item_seeds(texts(batch))[0]))], ["h"])
+
+    known = written(items.select(F.col(f"`{item_text}`").alias("text")).mapInArrow(hashes, "h long").distinct(), "decontaminate-seeds")
+    shared = spark.sparkContext.broadcast(bitmap(known))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def hits(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, BATCH_BYTES):
+            h, own = item_seeds(texts(batch))
+            some = mapped(shared.value, h)
+            pairs = np.unique(np.stack([own[some], h[some]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["key", "h"])
+
+    places = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null").mapInArrow(hits, f"key {kind}, h long")
+    own = f"__{uuid.uuid4().hex}"  # no column of docs has this name
+    keys = written(places.join(known, "h", "left_semi").select(F.col("key").alias(own)).distinct(), "decontaminate-keys")
+    small = F.broadcast(keys) if bounded(keys, BROADCAST_ROWS) else keys
+    return docs.join(small, F.col(f"`{key}`") == F.col(own), "left_semi").unionByName(docs.where(F.col(f"`{key}`").isNull()))
+
+
 OVERLAPS = "item_id long, start long, item_start long, n_words long, n_matched long"
 
 
-def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def narrowed(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, block_words: int) -> tuple[DataFrame, Iterator[Block]]:
+    """docs, or where the items make several blocks those that have a seed of any; and the blocks."""
+    found = blocks(items, item_key, item_text, block_words)
+    some = list(islice(found, 2))
+    if len(some) > 1:
+        docs = written(seeded(docs, items, key, text, item_text), "decontaminate-some")
+    return docs, chain(some, found)
+
+
+def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and benchmark item that overlap: the best stretch, in words."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, {OVERLAPS}"
+    schema = f"`{key}` {kind}, {OVERLAPS}"
     out = spark.createDataFrame([], schema)
-    for block in blocks(items, item_key, item_text):
+    some, parts = narrowed(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")), items, key, "text", item_key, item_text, block_words)
+    for block in parts:
         shared = packed(spark, block)
 
         def run(found: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -153,16 +211,21 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                     at, item, *rest = (np.array(x) for x in zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([block.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in rest]], [key, "item_id", "start", "item_start", "n_words", "n_matched"])
 
-        out = out.unionByName(docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema))
+        out = out.unionByName(some.mapInArrow(run, schema))
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that overlap no benchmark item, all columns as they are, without a shuffle."""
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that overlap no benchmark item, all columns as they are.
+
+    A benchmark of one block takes one scan and no shuffle. A larger one is met by the documents that
+    have a seed of it, block by block; the others are those that a join on them leaves.
+    """
     spark = docs.sparkSession
     at = docs.columns.index(text)
-    out = docs
-    for block in blocks(items, item_key, item_text):
+    some, parts = narrowed(docs, items, key, text, item_key, item_text, block_words)
+    whole, out = some is docs, some
+    for block in parts:
         shared = packed(spark, block)
 
         def run(found: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -172,7 +235,14 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
-    return out
+        if not whole:  # one block at a time in a worker's memory
+            out = written(out, "decontaminate-left")
+    if whole:
+        return out
+    own = f"__{uuid.uuid4().hex}"
+    seen = written(some.select(F.col(f"`{key}`").alias(own)).distinct(), "decontaminate-seen")
+    small = F.broadcast(seen) if bounded(seen, BROADCAST_ROWS) else seen
+    return docs.where(F.col(f"`{key}`").isNotNull()).join(small, F.col(f"`{key}`") == F.col(own), "left_anti").unionByName(out)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,9 @@ def test_simhash_bounds_and_dense_cells(spark):
     nodes = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(table)], "node long, fp long")
     got = {r.node: r.root for r in simhash.linked(nodes, simhash.cells, lambda a, b: simhash.close(a, b, 4)).collect()}
     assert got == {i: root[x] for i, x in enumerate(table)}
+    for blocks, distance in ((8, 4), (10, 4), (6, 2)):  # other grids find the same
+        again = {r.node: r.root for r in simhash.linked(nodes, lambda x: simhash.cells(x, blocks, distance), lambda a, b: simhash.close(a, b, distance)).collect()}
+        assert again == got or distance < 4
     pair = spark.createDataFrame([(signed(rng.getrandbits(64)), signed(rng.getrandbits(64))) for _ in range(200)], "a long, b long")
     r = pair.select("a", "b", simhash.manhattan(simhash.embedding(F.col("a")), simhash.embedding(F.col("b"))).alias("m"))
     for a, b, m in r.collect():
@@ -717,6 +720,18 @@ def test_decontamination_in_blocks(spark):
     assert sorted(i for b in found for i in b) == list(range(10)) and max(map(len, found)) <= 2
 
 
+def test_decontamination_by_several_blocks_gives_the_same(spark, docs):
+    rng = random.Random(16)
+    items = [(i, sentence(rng, "en", 20)) for i in range(12)] + [(12, None), (13, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(3000 + i, f"{sentence(rng, 'fr', 8)} {items[i][1]} {sentence(rng, 'de', 5)} {items[(i * 5 + 1) % 12][1]}") for i in range(12)]
+    texts += [(None, items[3][1]), (None, "nothing of it"), (3000, "another row of that key"), (4000, " ".join(items[4][1].split()[:5]))]
+    extra = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    for query in (decontaminate.overlaps, decontaminate.clean):
+        one, many = (sorted(map(str, query(extra, bench, block_words=n).collect())) for n in (10**6, 45))
+        assert one == many and one
+
+
 def test_best_stretch_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(100):
