@@ -20,6 +20,8 @@ c = F.col
 RECTS = "array<struct<r0:bigint,r1:bigint,c0:bigint,c1:bigint>>"
 #: Pixels of all windows that are filled at a time.
 WORK = 1 << 20
+#: Pixels along the side of a tile that is burned by itself: a fill makes all of its window.
+TILE = 64
 
 
 def within(patches: DataFrame, height: int, width: int) -> DataFrame:
@@ -49,7 +51,7 @@ def pairs(patches: DataFrame, shapes: DataFrame, size: int, side: int = CELL) ->
     return meet.where(share & first).drop("cr", "cc", "r0", "r1", "c0", "c1")
 
 
-def tiles(shapes: DataFrame, side: int = CELL) -> DataFrame:
+def tiles(shapes: DataFrame, side: int = TILE) -> DataFrame:
     """patch, row, col of the tiles of a raster that shapes reach into."""
     found = shapes.select(F.inline(cells(c("r0"), c("r1"), c("c0"), c("c1"), side))).distinct()
     return found.select((c("cr") * (1 << 31) + c("cc")).alias("patch"), (c("cr") * side).alias("row"), (c("cc") * side).alias("col"))
@@ -193,7 +195,7 @@ def row_sums(shapes: DataFrame, all_touched: bool = False) -> DataFrame:
         add = lambda x: np.add.reduceat(x, start) if len(start) else x
         return rows[start], classes[start], add(np.ones(len(rows), np.int64)), add(cols), add(features)
 
-    found = over_patches(tiles(shapes), [shapes], CELL, body, "r long, class_id long, pixels long, cols long, features long", all_touched)
+    found = over_patches(tiles(shapes), [shapes], TILE, body, "r long, class_id long, pixels long, cols long, features long", all_touched)
     return found.groupBy("r", "class_id").agg(*[F.sum(n).alias(n) for n in ("pixels", "cols", "features")])
 
 

@@ -342,7 +342,7 @@ def stars(spark, sf_dir) -> DataFrame:
 
 def v2_touched(spark, sf_dir) -> DataFrame:
     """Pixels that each star covers or touches."""
-    found = B.own_pixels(B.tiles(Z.shapes(stars(spark, sf_dir))), Z.shapes(stars(spark, sf_dir)), 256, all_touched=True)
+    found = B.own_pixels(B.tiles(Z.shapes(stars(spark, sf_dir))), Z.shapes(stars(spark, sf_dir)), B.TILE, all_touched=True)
     return found.groupBy(c("feature").alias("id")).agg(F.sum("area").alias("pixels"))
 
 

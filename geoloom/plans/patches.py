@@ -152,7 +152,7 @@ def _changes(spark, sf_dir, with_areas: bool) -> DataFrame:
         return p.row + r, changed.sum(1)[r], (some & ~changed).sum(1)[r]
 
     tiles = B.tiles(before.unionByName(after))
-    found = B.change(tiles, before, after, 256, body, "r long, changed long, same long", wider)
+    found = B.change(tiles, before, after, B.TILE, body, "r long, changed long, same long", wider)
     return found.groupBy("r").agg(F.sum("changed").alias("changed"), F.sum("same").alias("same"))
 
 
