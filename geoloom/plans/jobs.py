@@ -149,6 +149,29 @@ def i2_cut_short(spark, sf_dir) -> DataFrame:
     return raster.cut_short(found)
 
 
+def _grid_blocks(spark, sf_dir) -> DataFrame:
+    """Embeddings as blocks of 8 x 8 pixels of one raster, twenty side by side; negative pixels aren't valid."""
+    data = _patch_bytes(spark, sf_dir, lambda r: np.array(r["embedding"], np.float32).tobytes())
+    mask = _patch_bytes(spark, sf_dir, lambda r: (np.array(r["embedding"], np.float32) >= 0).tobytes()).withColumnRenamed("data", "valid")
+    k, eight = c("id"), F.lit(8)
+    both = data.join(mask, "id")
+    return both.select(F.lit("a").alias("file"), (F.floor(k / 20) * 8).alias("row"), (k % 20 * 8).alias("col"), eight.alias("height"), eight.alias("width"), F.lit(1).alias("bands"), F.lit("float32").alias("dtype"), c("data").alias("pixels"), "valid")
+
+
+def a26_extracted(spark, sf_dir) -> DataFrame:
+    """Patches of 12 pixels cut from that raster: valid pixels and their sum."""
+    places = table(spark, sf_dir, "part").select(c("p_partkey").alias("patch"), ((c("p_partkey") * 7) % 190).alias("row"), ((c("p_partkey") * 11) % 155).alias("col"))
+    found = raster.extracted(_grid_blocks(spark, sf_dir), places, 12)
+
+    def run(batches):
+        for batch in batches:
+            totals = [float(np.frombuffer(x, np.float32).astype(np.float64).sum()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals)], ["patch", "valid", "total"])
+
+    out = found.select("patch", "pixels", "n_valid").mapInArrow(run, "patch long, valid long, total double")
+    return out.select("patch", "valid", F.round("total", 5).alias("total"))
+
+
 def w27_world_files(spark, sf_dir) -> DataFrame:
     """The world file beside each patch."""
     t = affine.moved(affine.affine(*[F.lit(v) for v in (0.5, 0.0, 100.0, 0.0, -0.5, 900.0)]), c("row"), c("col"))
@@ -501,6 +524,7 @@ QUERIES = {
     "s56_fingerprints": (s56_fingerprints, "SELECT page_id, strlen(html) AS size, sha256(unhex(substr(hex(encode(html)), 1, 2000))) AS head_sha256 FROM pages"),
     "s59_patches": (s59_patches, "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 1 THEN 3 ELSE 1 END::BIGINT AS bands, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 100 ELSE 0 END)) AS BIGINT) AS total FROM embeddings"),
     "i2_cut_short": (i2_cut_short, "SELECT vec_id || CASE vec_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.tif' ELSE '.npy' END AS path, CASE WHEN vec_id % 8 <> 0 THEN CASE vec_id % 3 WHEN 0 THEN 'is not a PNG file' WHEN 1 THEN 'is not a TIFF file' ELSE 'is not an NPY file' END ELSE 'is cut short' END AS problem FROM embeddings WHERE vec_id % 4 = 0 AND NOT (vec_id % 3 = 1 AND vec_id % 8 = 0)"),
+    "a26_extracted": (a26_extracted, sql("SELECT a.patch, count(*) FILTER (WHERE v >= 0) AS valid, round(coalesce(sum(v) FILTER (WHERE v >= 0), 0), 5) AS total FROM (SELECT p_partkey AS patch, (p_partkey * 7) % 190 AS y, (p_partkey * 11) % 155 AS x FROM part) a JOIN (SELECT id // 20 * 8 + r AS gy, id % 20 * 8 + c AS gx, v FROM pixels) b ON gy >= y AND gy < y + 12 AND gx >= x AND gx < x + 12 GROUP BY a.patch", PIXELS)),
     "w27_world_files": (w27_world_files, sql("SELECT id AS patch, printf('Images/patch_%07d.pgw', id) AS name, '0.5' || chr(10) || '0.0' || chr(10) || '0.0' || chr(10) || '-0.5' || chr(10) || CAST(100 + col * 0.5e0 + 0.25e0 AS VARCHAR) || chr(10) || CAST(900 - \"row\" * 0.5e0 - 0.25e0 AS VARCHAR) || chr(10) AS text FROM anchors", ANCHORS)),
     "s42_kml": (s42_kml, sql("SELECT id, 'Point' AS kind, round(lon, 6) AS x, round(lat, 6) AS y, 'été ' || id AS name FROM points", POINTS)),
     "s44_geopackage": (s44_geopackage, "SELECT s_suppkey AS id, 'Point' AS kind, CAST(s_suppkey AS DOUBLE) AS x, -s_suppkey / 4e0 AS y, 'n' || s_suppkey % 5 AS name FROM supplier"),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators.spatial import overlaps
 from geoloom.sources import png, tiff
 
 HEADERS = "file string, height long, width long, bands int, dtype string, epsg int, nodata double, transform array<double>"
@@ -40,8 +41,21 @@ def geotiff_headers(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, HEADERS)
 
 
-def geotiff_blocks(found: DataFrame, side: int = 512, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Square blocks of pixels of the GeoTIFFs of files(); of a window (r0, r1, c0, c1) only the chunks that it meets are decoded.
+def window_of(transform: tuple[float, ...] | None, bounds: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
+    """Rows and columns (r0, r1, c0, c1) of the pixels that a box (west, south, east, north) of the raster's own system meets."""
+    if transform is None:
+        raise ValueError("a raster without a place can't be cut to a region")
+    a, b, x, d, e, y = transform
+    det = a * e - b * d
+    corners = [((e * (u - x) - b * (v - y)) / det, (a * (v - y) - d * (u - x)) / det) for u in bounds[::2] for v in bounds[1::2]]
+    cols, rows = zip(*corners, strict=True)
+    low, high = lambda v: int(np.floor(min(v) + 1e-9)), lambda v: int(np.ceil(max(v) - 1e-9))
+    return low(rows), high(rows), low(cols), high(cols)
+
+
+def geotiff_blocks(found: DataFrame, side: int = 512, window: tuple[int, int, int, int] | None = None, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Square blocks of pixels of the GeoTIFFs of files(); of a window (r0, r1, c0, c1), or of bounds (west, south, east,
+    north), only the chunks that it meets are decoded.
 
     valid has a byte for each pixel: inside the raster and not NoData.
     """
@@ -53,7 +67,7 @@ def geotiff_blocks(found: DataFrame, side: int = 512, window: tuple[int, int, in
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py()
                 info = tiff.read_info(data)
-                r0, r1, c0, c1 = window or (0, info.height, 0, info.width)
+                r0, r1, c0, c1 = window_of(info.transform, bounds) if bounds else window or (0, info.height, 0, info.width)
                 r0, r1, c0, c1 = max(0, r0), min(info.height, r1), max(0, c0), min(info.width, c1)
                 for br in range(r0 // side, -(-r1 // side)):
                     for bc in range(c0 // side, -(-c1 // side)):
@@ -236,3 +250,63 @@ def rgb(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return blocks.mapInArrow(run, BLOCKS)
+
+
+def extracted(blocks: DataFrame, patches: DataFrame, size: int, reflect: bool = False) -> DataFrame:
+    """patch, height, width, bands, dtype, pixels, valid, n_valid: the patches (patch, row, col) cut from blocks of one grid.
+
+    A pixel is that of the first file, by name, with data there. What lies beyond all blocks is 0 and
+    not valid, or with reflect mirrors what is seen, if that is two pixels or more either way. Blocks
+    meet patches by cells and pass through a task patch by patch, as a stream.
+    """
+    boxes = blocks.select(F.lit(0).alias("feature"), F.col("row").alias("r0"), (F.col("row") + F.col("height")).alias("r1"), F.col("col").alias("c0"), (F.col("col") + F.col("width")).alias("c1"), "file", "bands", "dtype", "pixels", "valid")
+    meet = overlaps(patches.select("patch", "row", "col"), boxes, size).select("patch", "row", "col", "file", "r0", "r1", "c0", "c1", "bands", "dtype", "pixels", "valid")
+
+    def cut(rows: list[dict]) -> tuple:
+        first = rows[0]
+        out, there = np.zeros((size, size, first["bands"]), first["dtype"]), np.zeros((size, size), bool)
+        high = wide = 0
+        for b in rows:
+            shape = (b["r1"] - b["r0"], b["c1"] - b["c0"])
+            values, valid = np.frombuffer(b["pixels"], b["dtype"]).reshape(*shape, b["bands"]), np.frombuffer(b["valid"], bool).reshape(shape)
+            y0, y1, x0, x1 = max(b["r0"], b["row"]), min(b["r1"], b["row"] + size), max(b["c0"], b["col"]), min(b["c1"], b["col"] + size)
+            inner, outer = (slice(y0 - b["r0"], y1 - b["r0"]), slice(x0 - b["c0"], x1 - b["c0"])), (slice(y0 - b["row"], y1 - b["row"]), slice(x0 - b["col"], x1 - b["col"]))
+            new = valid[inner] & ~there[outer]
+            out[outer][new] = values[inner][new]
+            there[outer] |= new
+            high, wide = max(high, y1 - b["row"]), max(wide, x1 - b["col"])
+        if reflect and min(high, wide) >= 2:
+            mirror = lambda n: np.minimum(np.arange(size) % (2 * n - 2), 2 * n - 2 - np.arange(size) % (2 * n - 2))
+            out = out[mirror(high)][:, mirror(wide)]
+        return first["patch"], size, size, first["bands"], first["dtype"], out.tobytes(), there.tobytes(), int(there.sum())
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, names = [pa.int64(), *[pa.int32()] * 3, pa.string(), pa.binary(), pa.binary(), pa.int64()], ["patch", "height", "width", "bands", "dtype", "pixels", "valid", "n_valid"]
+        held: list[dict] = []
+        for batch in found:
+            for row in batch.to_pylist():
+                if held and held[0]["patch"] != row["patch"]:
+                    yield _rows(types, names, [cut(held)])
+                    held = []
+                held.append(row)
+        if held:
+            yield _rows(types, names, [cut(held)])
+
+    return meet.repartition("patch").sortWithinPartitions("patch", "file", "r0", "c0").mapInArrow(run, "patch long, height int, width int, bands int, dtype string, pixels binary, valid binary, n_valid long")
+
+
+def stacked(images: DataFrame) -> DataFrame:
+    """patch, content: the images (patch, time, height, width, bands, dtype, pixels) of each patch in order of time as NPY (T, C, H, W)."""
+    held = images.groupBy("patch", "height", "width", "bands", "dtype").agg(F.sort_array(F.collect_list(F.struct("time", "pixels")))["pixels"].alias("pixels"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            contents = []
+            for r in batch.to_pylist():
+                out = io.BytesIO()
+                shape = (r["height"], r["width"], r["bands"])
+                np.save(out, np.ascontiguousarray(np.stack([np.moveaxis(np.frombuffer(p, r["dtype"]).reshape(shape), -1, 0) for p in r["pixels"]])))
+                contents.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["patch", "content"])
+
+    return held.mapInArrow(run, "patch long, content binary")

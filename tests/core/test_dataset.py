@@ -1,6 +1,7 @@
 """Datasets, features, tiles and streams: what SQL doesn't check."""
 
 import datetime
+import io
 import json
 import os
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import alignment, catalogue, dataset, features, fetching
-from geoloom.sources import png, raster, xyz
+from geoloom.sources import opening, png, raster, tiff, xyz
 from geoloom.streaming import jobs
 
 
@@ -133,6 +134,33 @@ def test_tile_folder(spark, tmp_path):
         xyz.region(3, 4, 3, 5, 9)
 
 
+def test_patches_of_several_files_padding_and_stacks(spark, tmp_path):
+    """Two overlapping GeoTIFFs: the first by name with data wins; patches beyond the edge are empty or mirrored."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(1, 99, (2, 20, 24)).astype(np.uint8)
+    a[3:6, 4:9] = 0
+    for name, image in (("a", a), ("b", b)):
+        (tmp_path / f"{name}.tif").write_bytes(tiff.write(image, (1.0, 0.0, 0.0, 0.0, -1.0, 20.0), 3857, nodata=0))
+    blocks = opening.imagery(spark, "geotiff", f"file://{tmp_path}/*.tif").withColumn("file", F.regexp_extract("file", r"(\w)\.tif$", 1))
+    patches = spark.createDataFrame([(1, 2, 3), (2, 14, 18)], "patch long, row long, col long")
+    whole = np.where(a > 0, a, b)
+    got = {r.patch: r for r in raster.extracted(blocks, patches, 10).collect()}
+    image = lambda r: np.frombuffer(r.pixels, np.uint8).reshape(10, 10)
+    assert (image(got[1]) == whole[2:12, 3:13]).all() and got[1].n_valid == 100
+    assert (image(got[2])[:6, :6] == whole[14:, 18:]).all() and got[2].n_valid == 36 and image(got[2]).sum() == whole[14:, 18:].sum()
+    mirrored = {r.patch: r for r in raster.extracted(blocks, patches, 10, reflect=True).collect()}
+    assert (image(mirrored[2]) == np.pad(whole[14:, 18:], ((0, 4), (0, 4)), mode="reflect")).all() and mirrored[2].n_valid == 36
+    part = opening.imagery(spark, "geotiff", f"file://{tmp_path}/a.tif", bounds=(5.0, 3.0, 9.5, 7.0)).first()
+    assert (part.row, part.height, part.col, part.width) == (13, 4, 5, 5)
+    with pytest.raises(ValueError, match="zoom"):
+        opening.imagery(spark, "xyz", "x")
+    with pytest.raises(ValueError, match="one of"):
+        opening.imagery(spark, "ftp", "x")
+    times = raster.extracted(blocks, patches, 10).select("*", F.lit(2).alias("time")).unionByName(raster.extracted(blocks, patches.withColumn("row", F.lit(0).cast("long")), 10).select("*", F.lit(1).alias("time")))
+    stack = np.load(io.BytesIO({r.patch: r.content for r in raster.stacked(times).collect()}[1]))
+    assert stack.shape == (2, 1, 10, 10) and (stack[1, 0] == whole[2:12, 3:13]).all() and (stack[0, 0] == whole[:10, 3:13]).all()
+
+
 def test_npy_lengths(spark, tmp_path):
     for i, a in enumerate((np.zeros((3, 4, 5), np.float32), np.zeros(7, np.uint8), np.array(2.5))):
         np.save(tmp_path / f"{i}.npy", a)
