@@ -69,3 +69,15 @@ def test_stages_take_odd_rows(spark, corpus):
             out = stage(spark, spark.createDataFrame(rows, schema), path)
             assert out.columns[:5] == COLUMNS, name
             assert out.count() <= 3 * len(rows)
+
+
+def test_mixing_takes_repeated_rows_as_often_as_the_mix_does(spark, corpus):
+    """Rows of one doc_id, some equal: the words taken are those of the mix, to the row."""
+    path, _ = corpus
+    rng = random.Random(3)
+    texts = [text_of(rng, 20) for _ in range(6)]
+    rows = [(1, texts[0], "en", "a", 1)] * 5 + [(1, texts[1], "en", "a", 1)] * 2 + [(2, texts[2], "en", "a", 1)] + [(None, texts[i % 6], None, "b", 1) for i in range(30)] + [(3, " ", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    got, again = (sorted(map(str, stage(spark, x, path).collect())) for x in (docs, docs.repartition(5)))
+    assert got == again and len(got) == sum(r.repeats for r in mixing.mix(docs).collect())
