@@ -5,8 +5,8 @@ the shares of hashed words. A logistic model minimises the non-negative unbiased
     p * E+[loss(f)] + max(0, Eu[loss(-f)] - p * E+[loss(-f)]),
 in whose negative part a step goes uphill while it is below 0, so that a flexible model can't drive
 it there. The class prior p is estimated over thresholds t of a positive-against-unlabelled score: the
-least ratio of shares Pu(s > t) / P+(s > t), P+ of either half of the positives by a model of the
-other half, Pu of all rows by one aggregation.
+ratio of shares Pu(s > t) / P+(s > t) where its upper confidence bound is least, P+ of either half of
+the positives by a model of the other half, Pu of all rows by one aggregation.
 
 The weights are fitted on bounded samples, the SAMPLE keys of either kind with the least hashes (a
 key that repeats gives one of its rows); the prior and the scores read every text in full.
@@ -99,8 +99,10 @@ def thresholds(positive: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
 
 
 def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Features in deviations from the mean, and a 1."""
-    return np.hstack([((x - mean) / scale).clip(-8, 8), np.ones((len(x), 1))]).astype(np.float64)
+    """Features in deviations from the mean, those of hashed words together as one, and a 1."""
+    z = ((x - mean) / scale).clip(-8, 8)
+    z[:, -BUCKETS:] /= np.sqrt(BUCKETS)
+    return np.hstack([z, np.ones((len(x), 1))]).astype(np.float64)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Callable[[dict], float], rounds: int = 400, decay: float = 1e-2) -> dict:
@@ -109,7 +111,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Callable[[d
     p, u = (standard(x, model["mean"], model["scale"]) for x in (positive, unlabelled))
     if callable(prior):
         models = halves(p, u)
-        prior = prior(model | {"halves": models, "levels": thresholds(p, models)})
+        prior = prior(model | {"halves": models, "levels": thresholds(p, models), "positives": len(p)})
 
     def gradient(w: np.ndarray) -> np.ndarray:
         fp, fu = p @ w, u @ w
@@ -128,7 +130,7 @@ def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
 
 
 def prior_of(docs: DataFrame, text: str, model: dict) -> float:
-    """The least ratio, over thresholds, of the share of all docs above to that of held-out positives."""
+    """The share of positives in all docs, by how many of them pass the thresholds of held-out positives."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +145,18 @@ def prior_of(docs: DataFrame, text: str, model: dict) -> float:
     with batch_rows(docs.sparkSession):
         sums = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     n = dict(sums)
-    over_u = np.array([n.get(i, 0) for i in range(2 * LEVELS)]).reshape(2, LEVELS) / max(1, n.get(2 * LEVELS, 0))
-    return float(np.clip((over_u / (1 - np.linspace(0, 0.5, LEVELS))).min(), 0.01, 0.99))
+    return best_ratio(np.array([n.get(i, 0) for i in range(2 * LEVELS)]).reshape(2, LEVELS), n.get(2 * LEVELS, 0), model["positives"])
+
+
+def best_ratio(over: np.ndarray, rows: int, positives: int) -> float:
+    """The ratio of shares above the threshold at which its upper confidence bound is least (best bin estimation).
+
+    over: [2, LEVELS] of all rows; a bound by the sizes of both samples keeps small shares' noise from being the least.
+    """
+    share = 1 - np.linspace(0, 0.5, LEVELS)
+    ratio = over / max(1, rows) / share
+    bound = ratio + (np.sqrt(np.log(40) / (2 * max(1, rows))) + np.sqrt(np.log(40) / max(1, positives))) / share
+    return float(np.clip(ratio.ravel()[bound.argmin()], 0.01, 0.99))
 
 
 def train(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict | None:
