@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,6 +93,24 @@ def random_positions(capacity: int, count: int, seed: int) -> list[int]:
     return out
 
 
+def random_grid(rasters: DataFrame, patch: int, count: int, strategy: str = "drop", key: str = "id") -> DataFrame:
+    """key, place, row, col: random_positions of each raster (key, height, width, seed), in their order of drawing.
+
+    A raster's positions are made by its task; one with over MAX_ANCHORS raises.
+    """
+    capacity = random_capacity(c("height"), c("width"), F.lit(patch), strategy)
+    across = F.when(c("width") >= patch, c("width") - patch + 1).otherwise(1)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for k, n, wide, seed in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                places = np.array(random_positions(n, count, seed), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(places), batch.schema.field(0).type), pa.array(np.arange(len(places))), pa.array(places // wide), pa.array(places % wide)], [key, "place", "row", "col"])
+
+    kind = rasters.schema[key].dataType.simpleString()
+    return rasters.select(key, capacity.alias("n"), across.cast("bigint").alias("wide"), c("seed").cast("bigint")).mapInArrow(run, f"{key} {kind}, place long, row long, col long")
+
+
 def random_anchors(df_range: DataFrame, count: int, seed: int) -> DataFrame:
     """`count` rows of least seeded hash: a distributed sample without replacement, of other draws than random_positions."""
     return df_range.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(count)

@@ -153,11 +153,13 @@ _HANN = "(sin(pi() * (r + 0.5) / 8) ** 2 * sin(pi() * (c + 0.5) / 8) ** 2)"
 _RESCALE = "CASE WHEN v < {lo} OR v > {hi} THEN NULL ELSE CAST(CAST(v * {s} + {o} AS FLOAT) AS DOUBLE) END"
 _FREQ = "freq AS (SELECT class_id, sum(n) / sum(a) AS f FROM (SELECT class_id, n, sum(n) OVER (PARTITION BY id) AS a FROM (SELECT id, class_id, count(*) AS n FROM pixels GROUP BY ALL)) GROUP BY class_id)"
 
+_RLE = sql("SELECT id, CASE WHEN first_v THEN '0,' ELSE '' END || counts AS counts FROM (SELECT id, bool_or(pos = 0 AND m) AS first_v FROM flat GROUP BY id) JOIN (SELECT id, string_agg(n, ',' ORDER BY lo) AS counts FROM (SELECT id, min(pos) AS lo, CAST(count(*) AS VARCHAR) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY id, m ORDER BY pos) AS g FROM flat) GROUP BY id, m, g) GROUP BY id) USING (id) WHERE id IN (SELECT id FROM mask)", PIXELS, MASK, "flat AS (SELECT id, c * 8 + r AS pos, v > 0 AS m FROM pixels)")
+
 QUERIES = {
     "v13_runs": (v13_runs, sql("SELECT id, r, c0, c1 FROM runs", PIXELS, MASK, RUNS)),
     "v14_rectangles": (v14_rectangles, sql("SELECT id, c0, c1, min(r) AS r0, max(r) + 1 AS r1 FROM (SELECT *, r - row_number() OVER (PARTITION BY id, c0, c1 ORDER BY r) AS g FROM runs) GROUP BY id, c0, c1, g", PIXELS, MASK, RUNS)),
-    "v15_rle": (v15_rle, sql("SELECT id, CASE WHEN first_v THEN '0,' ELSE '' END || counts AS counts FROM (SELECT id, bool_or(pos = 0 AND m) AS first_v FROM flat GROUP BY id) JOIN (SELECT id, string_agg(n, ',' ORDER BY lo) AS counts FROM (SELECT id, min(pos) AS lo, CAST(count(*) AS VARCHAR) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY id, m ORDER BY pos) AS g FROM flat) GROUP BY id, m, g) GROUP BY id) USING (id) WHERE id IN (SELECT id FROM mask)", PIXELS, MASK, "flat AS (SELECT id, c * 8 + r AS pos, v > 0 AS m FROM pixels)")),
-    "v16_rle_text": (v16_rle_text, None),
+    "v15_rle": (v15_rle, _RLE),
+    "v16_rle_text": (v16_rle_text, f"WITH k AS ({_RLE}), l AS (SELECT id, list_transform(string_split(counts, ','), lambda x: CAST(x AS BIGINT)) AS n FROM k), d AS (SELECT id, list_transform(range(1, len(n) + 1), lambda i: CASE WHEN i > 3 THEN n[i] - n[i - 2] ELSE n[i] END) AS d FROM l), g AS (SELECT id, list_transform(d, lambda x: CAST(floor(x / 32e0) AS INTEGER)) AS f, list_transform(d, lambda x: CAST(x - 32 * floor(x / 32e0) AS INTEGER)) AS g FROM d) SELECT id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN f[i] = CASE WHEN g[i] >= 16 THEN -1 ELSE 0 END THEN chr(g[i] + 48) ELSE chr(g[i] + 80) || chr(CAST(f[i] - 32 * floor(f[i] / 32e0) AS INTEGER) + 48) END), '') AS text FROM g"),
     "v17_tight_box": (v17_tight_box, sql("SELECT id, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, count(*) AS area FROM mask GROUP BY id", PIXELS, MASK)),
     "g17_class_histogram": (g17_class_histogram, sql("SELECT id, class_id, count(*) AS pixels FROM pixels GROUP BY ALL", PIXELS)),
     "g19_empty_ratio": (g19_empty_ratio, sql("SELECT id, avg(CASE WHEN class_id = 0 THEN 1e0 ELSE 0e0 END) AS empty_ratio FROM pixels GROUP BY id", PIXELS)),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import raster as R
 from geoloom.operators import splits as P
 from geoloom.plans.masks import PIXELS, pixels
-from geoloom.plans.tables import ANCHORS, PATCH, anchors, sql
+from geoloom.plans.tables import ANCHORS, PATCH, anchors, sql, table
 
 c = F.col
 BLOCK = 256
@@ -76,7 +77,13 @@ def p13_labelled(spark, sf_dir) -> DataFrame:
 
 
 def p14_ratio_names(spark, sf_dir) -> DataFrame:
-    return spark.createDataFrame([(float(r), P.ratio_name(r)) for r in (0.1, 0.29, 0.125, 0.3333333, 1.0)], "ratio double, name string")
+    """Folder names of ratios of labelled patches."""
+
+    def run(found):
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([P.ratio_name(r) for r in batch.column(1).to_pylist()])], ["id", "name"])
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (c("s_suppkey") % 97 / 96.0).alias("r")).mapInArrow(run, "id long, name string")
 
 
 def p15_share_warnings(spark, sf_dir) -> DataFrame:
@@ -125,7 +132,7 @@ QUERIES = {
     "p11_random_split": (p11_random_split, sql(f"SELECT id, {_SPLIT} AS split FROM ranked", ANCHORS, _PATCHES, _RANK.format(by="", seed=42))),
     "p12_sampled": (p12_sampled, sql("SELECT id FROM ranked WHERE k <= round_even(n / (SELECT CAST(count(*) AS DOUBLE) FROM patches) * 333, 0)", ANCHORS, _PATCHES, _RANK.format(by="PARTITION BY stratum", seed=42))),
     "p13_labelled": (p13_labelled, sql(f"SELECT id, row_number() OVER (ORDER BY md5('42:' || id || ':labelled')) <= ceil(count(*) OVER () * 0.3e0) AS labelled FROM (SELECT id, {_SPLIT} AS split FROM ranked) WHERE split = 'train'", ANCHORS, _PATCHES, _RANK.format(by="", seed=42))),
-    "p14_ratio_names": (p14_ratio_names, "SELECT * FROM (VALUES (0.1e0, '10'), (0.29e0, '29'), (0.125e0, '12.5'), (0.3333333e0, '33.3333'), (1e0, '100')) AS v(ratio, name)"),
+    "p14_ratio_names": (p14_ratio_names, "SELECT s_suppkey AS id, format('{:g}', round((s_suppkey % 97) / 96e0 * 100, 4)) AS name FROM supplier"),
     "p15_share_warnings": (p15_share_warnings, _recursive("SELECT split, count(*) AS \"rows\", abs(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM patches) - CASE split WHEN 'test' THEN 0.2e0 WHEN 'val' THEN 0.08e0 ELSE 0.72e0 END) > 0.1 AS off FROM patches JOIN fold ON g = stratum AND k > 0 GROUP BY split", ANCHORS, _PATCHES, _fold("stratum"))),
     "i5_split_checks": (i5_split_checks, sql("SELECT id, CAST(2 AS BIGINT) AS splits FROM a JOIN b USING (id) WHERE sa <> sb", ANCHORS, _PATCHES, _RANK.format(by="", seed=1).replace("ranked AS", "ra AS"), _RANK.format(by="", seed=2).replace("ranked AS", "rb AS"), f"a AS (SELECT id, {_SPLIT} AS sa FROM ra)", f"b AS (SELECT id, {_SPLIT} AS sb FROM rb)")),
 }

@@ -43,6 +43,16 @@ def test_random_positions_are_a_sample(capacity, count, seed):
     assert found == sampling.random_positions(capacity, count, seed)
 
 
+def test_random_grid_draws_as_the_generator_does(spark):
+    rows = [(1, 70, 80, 5), (2, 64, 64, 9), (3, 10, 90, 1)]
+    got = spark.createDataFrame(rows, "id long, height long, width long, seed long")
+    found = sampling.random_grid(got, 64, 40).collect()
+    for i, h, w, seed in rows:
+        n = max(0, h - 63) * max(0, w - 63)
+        want = [(k, p // max(1, w - 63), p % max(1, w - 63)) for k, p in enumerate(sampling.random_positions(n, 40, seed))]
+        assert sorted((r.place, r.row, r.col) for r in found if r.id == i) == want
+
+
 def test_splitmix_matches_the_published_sequence():
     state, out = 1234567, []
     for _ in range(3):
