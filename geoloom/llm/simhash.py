@@ -266,7 +266,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
 
 
-def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+def numbered(sets: DataFrame) -> DataFrame:
+    """sets (digest, key, row) with node, a number of each: its key, or for further sets of a key one that is no key.
+
+    Numbers in the order of keys make the earliest text of a cell its pivot.
+    """
+    again = written(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("key", "first"), "similar-again")
+    node = F.col("key").cast("long")
+    if not again.limit(1).count():
+        return sets.withColumn("node", node)
+    low, high, rows = sets.agg(F.min(node), F.max(node), F.max("row")).first()
+    if low - rows - 1 >= -(1 << 63):
+        other = F.lit(low) - 1 - F.col("row")
+    elif high + rows + 1 < 1 << 63:
+        other = F.lit(high) + 1 + F.col("row")
+    else:
+        raise ValueError("keys take up all whole numbers")
+    return sets.join(again, "key", "left").withColumn("node", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), node).otherwise(other)).drop("first")
+
+
+def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[DataFrame] | None = None) -> DataFrame:
     """key, t (xxhash64 of the text), group, root (its smallest key) for each row: texts that links of a similarity of 0.8 or more join.
 
     Exact: equal sets are found by digest; others that are similar share a shingle of their prefixes.
@@ -274,7 +293,7 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     left behind the shared one, rule out pairs that can't reach the similarity, and every other pair
     is verified by its whole sets, which are made again from the texts of candidates alone. As in
     linked(), a cell's members are compared with its pivot first, and only members of different
-    components with each other.
+    components with each other. made_tables gets the tables that nothing reads once the result is written.
     """
     spark, kind = df.sparkSession, whole_number(df, key)
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
@@ -298,9 +317,9 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
     schema = f"key {kind}, t long, row long, digest binary, n int, hashes array<long>"
     prints = written(docs.mapInArrow(made(False), schema), "similar-prints")
-    # A node is a set of shingles: the number of one of its rows, as keys may repeat.
-    nodes = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("node")), "similar-nodes")
-    own = written(prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "hashes"), "similar-own")
+    sets_ = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row")), "similar-nodes")
+    nodes = numbered(sets_)
+    own = written(prints.join(nodes.select("row", "node"), "row").select("node", "n", "hashes"), "similar-own")
     counts = own.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     several = spark.sparkContext.broadcast(bitmap(counts.select("token")))
 
@@ -325,11 +344,13 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def sets_of(pairs: DataFrame) -> DataFrame:
         some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         some = written(nodes.join(some, "node", "left_semi"), "similar-some")
+        tables.append(some)
         keys = some.select("key").distinct()
         keys = F.broadcast(keys) if bounded(some, FEW) else keys  # or whole texts are shuffled
         sets = docs.join(keys, "key", "left_semi").mapInArrow(made(True), schema)
         return written(sets.join(some, ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
 
+    tables = [prints, sets_, stars]
     sets = sets_of(stars)
     first = written(components(verified(stars, sets)), "similar-first")
     dropped(sets)
@@ -343,11 +364,15 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     known = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = written(pairs.join(known, ["a", "b"], "left_anti"), "similar-across")
     root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    links = verified(across, sets_of(across)).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    sets = sets_of(across)
+    links = verified(across, sets).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     top = written(components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "similar-top")
     found = nodes.join(first, "node", "left").select("digest", "key", F.coalesce("root", "node").alias("mid"))
     found = found.join(top.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left")
     found = written(rooted(found.select("digest", "key", F.coalesce("top", "mid").alias("group"))).select("digest", "group", "root"), "similar-classes")
+    dropped(sets, held, across, top)
+    if made_tables is not None:
+        made_tables += [*tables, first, found]
     release(spark)
     return prints.select("key", "t", "digest").join(found, "digest", "left").select("key", "t", "group", "root")
 
@@ -363,13 +388,17 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     Rows of null key stay. Where no key repeats, a semi-join on it is all that whole rows go through.
     """
     spark = df.sparkSession
-    groups = written(grouped(df, key, text, shingle).where("key is not null"), "similar-groups")
+    tables: list[DataFrame] = []
+    groups = written(grouped(df, key, text, shingle, tables).where("key is not null"), "similar-groups")
+    dropped(*tables)
     own = f"__{uuid.uuid4().hex}"  # no column of df has this name
     k, t, h = (f"{own}_{x}" for x in "kth")
     first = groups.where(F.col("key") == F.col("root")).groupBy("group").agg(F.min("key").alias(k), F.min("t").alias(t))
     several = written(groups.groupBy(F.col("key").alias(k)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(k), "similar-several")
     small = F.broadcast(several) if bounded(several, FEW) else several
     stay = written(first.join(small, k, "left_anti").select(k), "similar-stay")
+    first = written(first.join(small, k, "left_semi"), "similar-first-rows")
+    dropped(groups)
     kept = df.join(F.broadcast(stay) if bounded(stay, FEW) else stay, F.col(f"`{key}`") == F.col(k), "left_semi").unionByName(df.where(F.col(f"`{key}`").isNull()))
     if several.limit(1).count():
         hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
