@@ -152,10 +152,23 @@ def wrapped_ring(ring: Column) -> Column:
     return F.when(high <= 180, ring).when(low >= 180, shifted).when(jumps(ring), moved)
 
 
+def tenths(value: Column) -> Column:
+    """A number of 0 or more with one decimal, rounded by its exact binary value, a tie to the even digit.
+
+    format_string rounds the shortest decimal that stands for it, half up: 21.25 and 9.35, which is less than that, go up.
+    """
+    whole = F.floor(value)
+    part = ((value - whole) * F.lit(2.0**52)).cast("bigint") * 20 + F.lit(1 << 52)  # exact: a double of 1 or more is a multiple of 2^-52
+    up = F.shiftright(part, 53)
+    n = whole * 10 + up
+    n = n - F.when((F.shiftleft(up, 53) == part) & (n % 2 == 1), 1).otherwise(0)
+    return F.when(value < F.lit(2.0**52), F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))).otherwise(F.format_string("%.1f", value))
+
+
 def human_bytes(size: Column) -> Column:
-    out = F.concat(F.format_string("%.1f", size / 1e12), F.lit(" TB"))
+    out = F.concat(tenths(size / 1e12), F.lit(" TB"))
     for power, unit in ((9, "GB"), (6, "MB"), (3, "KB")):
-        out = F.when(size < 10.0 ** (power + 3), F.concat(F.format_string("%.1f", size / 10.0**power), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size < 10.0 ** (power + 3), F.concat(tenths(size / 10.0**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(size < 1000, F.concat(size.cast("bigint").cast("string"), F.lit(" B"))).otherwise(out)
 
 
