@@ -11,7 +11,7 @@ DATA = Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
 
 
-@pytest.mark.parametrize("name", ["s47_shapefile", "m15_large_jobs"])
+@pytest.mark.parametrize("name", ["s47_shapefile", "m15_large_jobs", "w24_card"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
