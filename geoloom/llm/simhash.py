@@ -64,17 +64,26 @@ def majorities(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def hashed(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; of fewer words the whole sequence's, none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    return int(majorities(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)[None])[0])
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    return int(majorities(hashes[None])[0]) if len(hashes) else 0
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(hashed(text, shingle))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -166,27 +175,38 @@ def joined_up(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["node", "root"])
 
 
-def linked(nodes: DataFrame, cells_of: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(nodes: DataFrame, cells_of: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, fp, root (the smallest node of its component); nodes (node, fp, ...) is a written table, fp what near() compares.
 
-    cells_of gives each node the cells (pair, cell) in which it can meet those it links to.
+    cells_of gives each node the cells (pair, cell) in which it can meet those it links to. Of pairs (a, b) that are near,
+    check gives those that link, where not all do.
     """
     grid = cells_of(nodes).select("node", "fp", "pair", "cell")
     pivots = grid.groupBy("pair", "cell").agg(F.min_by("fp", "node").alias("pivot_fp"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = grid.join(pivots.drop("n"), ["pair", "cell"]).where((F.col("node") != F.col("pivot")) & near(F.col("fp"), F.col("pivot_fp")))
-    first = written(components(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), "simhash-first")
+    stars = stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = written(components(check(stars) if check else stars), "simhash-first")
     # The same cells, with what the pivots have joined; cells of one component need no more.
     held = written(nodes.join(first, "node", "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "node").alias("root")), "simhash-held")
-    open_ = cells_of(held).select("root", "fp", "pair", "cell")
+    open_ = cells_of(held).select("node", "root", "fp", "pair", "cell")
     mixed = open_.groupBy("pair", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pair", "cell")
     open_ = open_.join(mixed, ["pair", "cell"], "left_semi")
     a, b = open_.alias("a"), open_.alias("b")
     on = (F.col("a.pair") == F.col("b.pair")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") < F.col("b.root")) & near(F.col("a.fp"), F.col("b.fp"))
-    across = a.join(b, on).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
+    ends = "node" if check else "root"
+    across = a.join(b, on).select(F.col(f"a.{ends}").alias("a"), F.col(f"b.{ends}").alias("b")).distinct()
+    if check:
+        across = between(check(across), held)
     final = written(components(across).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-final")
     return held.join(final, "root", "left").select("node", "fp", F.coalesce("top", "root").alias("root"))
 
 
+def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """links (a, b: nodes) as links of their roots; roots (node, root) has every node."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    return links.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """key, fp, root (the smallest key reachable over links) for each row of df."""
     whole_number(df, key)
@@ -218,14 +238,48 @@ SHARED, MOST_SHARED = 3, 500_000
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
     """The hashes of the distinct shingles, in order."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    line = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64).view(np.int64))
+    return np.unique(hashed(text, shingle).view(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit or more for each of a set's hashes, in longs: whether an odd number of them falls on the bit.
+
+    Sketches of two sets differ in no more bits than the sets in elements; one of twice the length folds onto the half.
+    """
+    longs = 1 << max(0, (len(hashes) - 1) // 64).bit_length()
+    bits = np.bincount(hashes & (64 * longs - 1), minlength=64 * longs).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of sketches a [k, m] and b [k, n] the bits that differ, the longer ones folded."""
+    fold = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, fold), axis=1) for x in (a, b))
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b: nodes) that sizes and sketches of sets (node, n, sketch) don't rule out; no similar pair is."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            at = np.flatnonzero(OF * np.minimum(n, m) >= NEAR * np.maximum(n, m))
+            lists = [batch.column(k).take(pa.array(at)) for k in (4, 5)]
+            flat = [x.flatten().to_numpy() for x in lists]
+            sizes = [np.asarray(x.value_lengths()).astype(np.int64) for x in lists]
+            starts = [np.cumsum(x) - x for x in sizes]
+            ok = np.zeros(len(at), bool)
+            for p, q in set(zip(*(x.tolist() for x in sizes), strict=True)):
+                some = np.flatnonzero((sizes[0] == p) & (sizes[1] == q))
+                a, b = (flat[k][starts[k][some][:, None] + np.arange(w)] for k, w in ((0, p), (1, q)))
+                # of n + m elements NEAR / OF leaves (OF - NEAR) / (OF + NEAR) to differ
+                ok[some] = (OF + NEAR) * apart(a, b) <= (OF - NEAR) * (n + m)[at[some]]
+            keep = pa.array(at[ok])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def common_shingles(df: DataFrame, key: str, text: str, shingle: int) -> np.ndarray:
@@ -288,12 +342,13 @@ def numbered(sets: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[DataFrame] | None = None) -> DataFrame:
     """key, t (xxhash64 of the text), group, root (its smallest key) for each row: texts that links of a similarity of 0.8 or more join.
 
-    Exact: equal sets are found by digest; others that are similar share a shingle of their prefixes.
-    An equi-join on those that several have brings candidates together; the sizes, and the shingles
-    left behind the shared one, rule out pairs that can't reach the similarity, and every other pair
-    is verified by its whole sets, which are made again from the texts of candidates alone. As in
-    linked(), a cell's members are compared with its pivot first, and only members of different
-    components with each other. made_tables gets the tables that nothing reads once the result is written.
+    Exact: equal sets are found by digest. Others meet by their SimHash fingerprints in the cells of segment
+    counts, as in near_duplicates(); pairs within DISTANCE bits are verified. What is similar at more bits shares
+    a shingle of the prefixes: an equi-join on those that several have brings sets of different groups together,
+    and the sizes and the shingles left behind the shared one rule out pairs that can't reach the similarity. Of
+    all candidates sketches leave those that may, and these are verified by their whole sets, made again from
+    their texts alone. As in linked(), a cell's members are compared with its pivot first, and only members of
+    different components with each other. made_tables gets the tables that nothing reads once the result is written.
     """
     spark, kind = df.sparkSession, whole_number(df, key)
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
@@ -302,24 +357,48 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
 
-    def made(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row = TaskContext.get().partitionId() << 40
-            for batch in batches(found, BATCH_BYTES):
-                sets = [shingles(x, shingle) for x in texts(batch)]
-                digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-                sizes = pa.array([len(x) for x in sets], pa.int32())
-                rows = pa.array(row + np.arange(len(sets)))
-                row += len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), rows, digests, sizes, lists(sets if whole else [prefix(x, common.value) for x in sets])], ["key", "t", "row", "digest", "n", "hashes"])
-
-        return run
-
-    schema = f"key {kind}, t long, row long, digest binary, n int, hashes array<long>"
-    prints = written(docs.mapInArrow(made(False), schema), "similar-prints")
+    digested = lambda sets: pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+
+    def made(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches(found, BATCH_BYTES):
+            hashes = [hashed(x, shingle) for x in texts(batch)]
+            fps = pa.array(np.array([majority(x) for x in hashes], np.uint64).view(np.int64))
+            sets = [np.unique(x.view(np.int64)) for x in hashes]
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            rows = pa.array(row + np.arange(len(sets)))
+            row += len(sets)
+            columns = [batch.column(0), batch.column(2), rows, digested(sets), sizes, fps, lists([sketch(x) for x in sets]), lists([prefix(x, common.value) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "t", "row", "digest", "n", "fp", "sketch", "hashes"])
+
+    def whole(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(found, BATCH_BYTES):
+            sets = [shingles(x, shingle) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), digested(sets), lists(sets)], ["key", "digest", "hashes"])
+
+    prints = written(docs.mapInArrow(made, f"key {kind}, t long, row long, digest binary, n int, fp long, sketch array<long>, hashes array<long>"), "similar-prints")
     sets_ = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row")), "similar-nodes")
     nodes = numbered(sets_)
-    own = written(prints.join(nodes.select("row", "node"), "row").select("node", "n", "hashes"), "similar-own")
+    own = written(prints.join(nodes.select("row", "node"), "row").select("node", "n", "fp", "sketch", "hashes"), "similar-own")
+    tables = [prints, sets_, own]
+
+    def check(pairs: DataFrame) -> DataFrame:
+        left = written(possible(pairs, own), "similar-possible")
+        some = written(nodes.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "similar-some")
+        keys = some.select("key").distinct()
+        keys = F.broadcast(keys) if bounded(some, FEW) else keys  # or whole texts are shuffled
+        sets = docs.join(keys, "key", "left_semi").mapInArrow(whole, f"key {kind}, digest binary, hashes array<long>")
+        sets = written(sets.join(some, ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
+        links = written(verified(left, sets), "similar-links")
+        dropped(left, some, sets)
+        tables.append(links)
+        return links
+
+    prints_of = own.select("node", "fp")
+    n = own.count()
+    blocks = max(k for most, k in BLOCKS if n >= most)
+    found = written(linked(prints_of, lambda x: cells(x, blocks), lambda a, b: close(a, b, DISTANCE), check).select("node", "root"), "similar-close")
+
     counts = own.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     several = spark.sparkContext.broadcast(bitmap(counts.select("token")))
 
@@ -331,50 +410,39 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
             row = np.searchsorted(stops, at, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - stops[row]).astype(np.int32))], ["token", "node", "n", "at"])
 
-    grid = written(own.mapInArrow(shared, "token long, node long, n int, at int"), "similar-grid")
-    dropped(own)
+    grid = own.select("node", "n", "hashes").mapInArrow(shared, "token long, node long, n int, at int")
+    grid = written(grid.join(found, "node"), "similar-grid")
     # What two sets can share at most, if the shingle they meet in is the first they share.
     most = lambda a, b: F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
     able = enough(most("a", "b"), F.col("a.n"), F.col("b.n"))
-    pivots = grid.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), "node").alias("p"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "p.*")
+    pivots = grid.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "root"), "node").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "p.*")
     a, b = grid.alias("a"), pivots.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & able)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & able)
     stars = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "similar-stars")
+    tables.append(stars)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = written(nodes.join(some, "node", "left_semi"), "similar-some")
-        tables.append(some)
-        keys = some.select("key").distinct()
-        keys = F.broadcast(keys) if bounded(some, FEW) else keys  # or whole texts are shuffled
-        sets = docs.join(keys, "key", "left_semi").mapInArrow(made(True), schema)
-        return written(sets.join(some, ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
-
-    tables = [prints, sets_, stars]
-    sets = sets_of(stars)
-    first = written(components(verified(stars, sets)), "similar-first")
-    dropped(sets)
-    held = written(grid.join(first, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "similar-held")
+    def joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+        """roots (node, root) with what links of their nodes join."""
+        top = components(between(links, roots)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return written(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "similar-joined")
+
+    first = joined(check(stars), found)
+    held = written(grid.drop("root").join(first, "node"), "similar-held")
     dropped(grid)
     mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    held = held.join(mixed, "token", "left_semi")
-    a, b = held.alias("a"), held.alias("b")
+    open_ = held.join(mixed, "token", "left_semi")
+    a, b = open_.alias("a"), open_.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & able)
     pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     known = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = written(pairs.join(known, ["a", "b"], "left_anti"), "similar-across")
-    root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    sets = sets_of(across)
-    links = verified(across, sets).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    top = written(components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "similar-top")
-    found = nodes.join(first, "node", "left").select("digest", "key", F.coalesce("root", "node").alias("mid"))
-    found = found.join(top.select(F.col("node").alias("mid"), F.col("root").alias("top")), "mid", "left")
-    found = written(rooted(found.select("digest", "key", F.coalesce("top", "mid").alias("group"))).select("digest", "group", "root"), "similar-classes")
-    dropped(sets, held, across, top)
+    final = joined(check(pairs.join(known, ["a", "b"], "left_anti")), first)
+    groups = nodes.join(final, "node").select("digest", "key", F.col("root").alias("group"))
+    classes = written(rooted(groups).select("digest", "group", "root"), "similar-classes")
+    dropped(held)
     if made_tables is not None:
-        made_tables += [*tables, first, found]
+        made_tables += [*tables, found, first, final, classes]
     release(spark)
-    return prints.select("key", "t", "digest").join(found, "digest", "left").select("key", "t", "group", "root")
+    return prints.select("key", "t", "digest").join(classes, "digest", "left").select("key", "t", "group", "root")
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
