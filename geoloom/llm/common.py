@@ -196,22 +196,22 @@ def bounded(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-#: Bits of the map that bitmap() makes: 16 MB, whatever the number of hashes.
+#: Bits of the map that bitmap() makes unless told otherwise: 16 MB, whatever the number of hashes.
 MAP_BITS = 27
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits at the upper MAP_BITS of each hash (a column of uniform longs): those not in it are in no map of theirs."""
+def bitmap(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """Bits at the upper `bits` of each hash (a column of uniform longs): those not in it are in no map of theirs."""
     c = F.col(hashes.columns[0])
-    at = F.shiftrightunsigned(c, 64 - MAP_BITS)
+    at = F.shiftrightunsigned(c, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     found = hashes.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
 def mapped(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the map has each of hashes (longs): True for all that it was made of, and a few others."""
-    at = hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    at = hashes.view(np.uint64) >> np.uint64(65 - (64 * len(bits)).bit_length())
     return bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64) & 1 != 0

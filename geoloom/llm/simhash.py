@@ -32,11 +32,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batches, bitmap, bounded, documents, dropped, mapped, release, texts, whole_number, written
+from geoloom.llm.common import MAP_BITS, batches, bitmap, bounded, documents, dropped, mapped, release, texts, whole_number, written
 
 DISTANCE = 4
 SHINGLE = 4
@@ -234,6 +234,12 @@ NEAR, OF = 4, 5
 SAMPLE = 16
 #: Texts of the sample that share a shingle, for it to come last, and how many shingles may.
 SHARED, MOST_SHARED = 3, 500_000
+#: Bits of a map of shingles for each of them, and at most in all: 32 MB.
+SHINGLE_BITS, MOST_BITS = 16, 28
+#: The upper bits of a shingle by which shingles are counted: more than any map tells apart.
+COUNTED_BITS = 40
+#: Rows of which some are chosen by a broadcast bit for each, 16 MB in all; of more, by a join that shuffles all their shingles.
+MOST_CHOSEN = 1 << 26
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -320,23 +326,63 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
 
 
-def numbered(sets: DataFrame) -> DataFrame:
+def row_bits(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the runs of 64 rows that have any of rows (row: distinct longs), in order, and a bit in each for those."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    found = rows.select(F.shiftright("row", 6).alias("run"), bit.alias("bit")).groupBy("run").agg(F.bit_or("bit").alias("bits")).toArrow()
+    runs, bits = found["run"].to_numpy(), found["bits"].to_numpy()
+    order = np.argsort(runs)
+    return runs[order], bits[order]
+
+
+def in_rows(chosen: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Whether row_bits() has each of rows."""
+    runs, bits = chosen
+    if not len(runs):
+        return np.zeros(len(rows), bool)
+    at = np.minimum(np.searchsorted(runs, rows >> 6), len(runs) - 1)
+    return (runs[at] == rows >> 6) & (bits[at] >> (rows & 63) & 1 != 0)
+
+
+def chosen(prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of prints (row, ...) that sets (row) name. What they hold is not shuffled, up to MOST_CHOSEN rows."""
+    if prints.count() > MOST_CHOSEN:
+        return prints.join(sets.select("row"), "row")
+    shared = prints.sparkSession.sparkContext.broadcast(row_bits(sets))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield batch.take(pa.array(np.flatnonzero(in_rows(shared.value, batch.column(0).to_numpy()))))
+
+    prints = prints.select("row", *[c for c in prints.columns if c != "row"])
+    return prints.mapInArrow(run, prints.schema)
+
+
+def shingle_map(tokens: DataFrame) -> np.ndarray:
+    """bitmap() of a written table of shingles, with bits by their number."""
+    return bitmap(tokens, min(MOST_BITS, max(MAP_BITS, (SHINGLE_BITS * tokens.count()).bit_length())))
+
+
+def numbered(sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """sets (digest, key, row) with node, a number of each: its key, or for further sets of a key one that is no key.
 
-    Numbers in the order of keys make the earliest text of a cell its pivot.
+    Numbers in the order of keys make the earliest text of a cell its pivot. rows (key, row, ...), if given, get
+    the numbers that sets have.
     """
+    rows = sets if rows is None else rows
     again = written(sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("key", "first"), "similar-again")
     node = F.col("key").cast("long")
     if not again.limit(1).count():
-        return sets.withColumn("node", node)
-    low, high, rows = sets.agg(F.min(node), F.max(node), F.max("row")).first()
-    if low - rows - 1 >= -(1 << 63):
+        return rows.withColumn("node", node)
+    low, high, last = sets.agg(F.min(node), F.max(node), F.max("row")).first()
+    if low - last - 1 >= -(1 << 63):
         other = F.lit(low) - 1 - F.col("row")
-    elif high + rows + 1 < 1 << 63:
+    elif high + last + 1 < 1 << 63:
         other = F.lit(high) + 1 + F.col("row")
     else:
         raise ValueError("keys take up all whole numbers")
-    return sets.join(again, "key", "left").withColumn("node", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), node).otherwise(other)).drop("first")
+    again = F.broadcast(again) if bounded(again, FEW) else again
+    return rows.join(again, "key", "left").withColumn("node", F.when(F.col("first").isNull() | (F.col("first") == F.col("row")), node).otherwise(other)).drop("first")
 
 
 def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[DataFrame] | None = None) -> DataFrame:
@@ -344,7 +390,7 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
 
     Exact: equal sets are found by digest. Others meet by their SimHash fingerprints in the cells of segment
     counts, as in near_duplicates(); pairs within DISTANCE bits are verified. What is similar at more bits shares
-    a shingle of the prefixes: an equi-join on those that several have brings sets of different groups together,
+    a shingle of the prefixes: an equi-join on those that several groups have brings their sets together,
     and the sizes and the shingles left behind the shared one rule out pairs that can't reach the similarity. Of
     all candidates sketches leave those that may, and these are verified by their whole sets, made again from
     their texts alone. As in linked(), a cell's members are compared with its pivot first, and only members of
@@ -377,18 +423,21 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
             yield pa.RecordBatch.from_arrays([batch.column(0), digested(sets), lists(sets)], ["key", "digest", "hashes"])
 
     prints = written(docs.mapInArrow(made, f"key {kind}, t long, row long, digest binary, n int, fp long, sketch array<long>, hashes array<long>"), "similar-prints")
+    common.destroy()
     sets_ = written(prints.where("key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row")), "similar-nodes")
     nodes = numbered(sets_)
-    own = written(prints.join(nodes.select("row", "node"), "row").select("node", "n", "fp", "sketch", "hashes"), "similar-own")
-    tables = [prints, sets_, own]
+    own = chosen(prints.select("row", "key", "n", "fp", "sketch", "hashes"), sets_)
+    own = written(numbered(sets_, own).select("node", "n", "fp", "sketch", "hashes"), "similar-own")
+    names = written(prints.select("key", "t", "digest"), "similar-names")
+    dropped(prints)
+    tables = [names, sets_, own]
 
     def check(pairs: DataFrame) -> DataFrame:
         left = written(possible(pairs, own), "similar-possible")
         some = written(nodes.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "similar-some")
-        keys = some.select("key").distinct()
-        keys = F.broadcast(keys) if bounded(some, FEW) else keys  # or whole texts are shuffled
-        sets = docs.join(keys, "key", "left_semi").mapInArrow(whole, f"key {kind}, digest binary, hashes array<long>")
-        sets = written(sets.join(some, ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
+        small = F.broadcast if bounded(some, FEW) else lambda x: x  # or whole texts and their sets are shuffled
+        sets = docs.join(small(some.select("key").distinct()), "key", "left_semi").mapInArrow(whole, f"key {kind}, digest binary, hashes array<long>")
+        sets = written(sets.join(small(some), ["key", "digest"]).dropDuplicates(["node"]).select("node", "hashes"), "similar-sets")
         links = written(verified(left, sets), "similar-links")
         dropped(left, some, sets)
         tables.append(links)
@@ -399,23 +448,41 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
     blocks = max(k for most, k in BLOCKS if n >= most)
     found = written(linked(prints_of, lambda x: cells(x, blocks), lambda a, b: close(a, b, DISTANCE), check).select("node", "root"), "similar-close")
 
-    counts = own.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    several = spark.sparkContext.broadcast(bitmap(counts.select("token")))
-
-    def shared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            column = batch.column(2)
-            tokens, stops = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
-            at = np.flatnonzero(mapped(several.value, tokens))
-            row = np.searchsorted(stops, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - stops[row]).astype(np.int32))], ["token", "node", "n", "at"])
-
-    grid = own.select("node", "n", "hashes").mapInArrow(shared, "token long, node long, n int, at int")
-    grid = written(grid.join(found, "node"), "similar-grid")
+    def moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """rows (node, ...) with root; roots (node, root) has every node, of which only those that aren't their own root travel."""
+        some = roots.where("root <> node")
+        some = F.broadcast(some) if bounded(some, FEW) else some
+        return rows.join(some, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def met(known: Broadcast) -> DataFrame:
+        """token, node, n, at, root for what the prefixes have of the shingles that a map was made of, and for a few others."""
+
+        def shared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                column = batch.column(2)
+                tokens, stops = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+                at = np.flatnonzero(mapped(known.value, tokens))
+                row = np.searchsorted(stops, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - stops[row]).astype(np.int32))], ["token", "node", "n", "at"])
+
+        return moved(own.select("node", "n", "hashes").mapInArrow(shared, "token long, node long, n int, at int"), found)
+
+    # Shingles of several sets first, by bits that compress; of those, the ones that sets of several groups have.
+    upper = F.col("token").bitwiseAND(F.lit(_signed((1 << 64) - (1 << (64 - COUNTED_BITS)))))
+    several = own.select(F.explode("hashes").alias("token")).groupBy(upper.alias("token")).agg(F.count(F.lit(1)).alias("times"))
+    several = written(several.where("times > 1").select("token"), "similar-several-shingles")
+    known = spark.sparkContext.broadcast(shingle_map(several))
+    mixed = met(known).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    mixed = written(mixed, "similar-mixed-shingles")
+    known.destroy()
+    known = spark.sparkContext.broadcast(shingle_map(mixed))
+    grid = written(met(known), "similar-grid")
+    known.destroy()
+    dropped(several, mixed)
     # What two sets can share at most, if the shingle they meet in is the first they share.
     most = lambda a, b: F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
     able = enough(most("a", "b"), F.col("a.n"), F.col("b.n"))
-    pivots = grid.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "root"), "node").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "p.*")
+    pivots = grid.groupBy("token").agg(F.min(F.struct("node", "n", "at", "root")).alias("p")).select("token", "p.*")
     a, b = grid.alias("a"), pivots.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & able)
     stars = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "similar-stars")
@@ -427,7 +494,7 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
         return written(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "similar-joined")
 
     first = joined(check(stars), found)
-    held = written(grid.drop("root").join(first, "node"), "similar-held")
+    held = written(moved(grid.drop("root"), first), "similar-held")
     dropped(grid)
     mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     open_ = held.join(mixed, "token", "left_semi")
@@ -442,7 +509,7 @@ def grouped(df: DataFrame, key: str, text: str, shingle: int, made_tables: list[
     if made_tables is not None:
         made_tables += [*tables, found, first, final, classes]
     release(spark)
-    return prints.select("key", "t", "digest").join(classes, "digest", "left").select("key", "t", "group", "root")
+    return names.join(classes, "digest", "left").select("key", "t", "group", "root")
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
