@@ -1,9 +1,10 @@
-"""Transverse Mercator on WGS 84 as Column expressions: Krueger's series to the sixth order, as published."""
+"""Transverse Mercator on WGS 84 as Column expressions, and on arrays: Krueger's series to the sixth order, as published."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +62,36 @@ def from_utm(x: Column, y: Column, epsg: Column) -> Column:
         s = F.tanh(q + E * F.atanh(E * s))
     lon = F.degrees(F.atan2(F.sinh(v), F.cos(u))) + ((epsg % 100) * 6 - 183)
     return F.struct(lon.alias("lon"), F.degrees(F.asin(s)).alias("lat"))
+
+
+def _series(factors: tuple[float, ...], re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of factors[j - 1] * sin(2 j z) at z = re + i im, by Clenshaw's recurrence."""
+    s, co, sh, ch = np.sin(2 * re), np.cos(2 * re), np.sinh(2 * im), np.cosh(2 * im)
+    twice = 2 * (co * ch - 1j * s * sh)
+    b, after = np.zeros_like(twice), np.zeros_like(twice)
+    for f in reversed(factors):
+        b, after = f + twice * b - after, b
+    out = (s * ch + 1j * co * sh) * b
+    return out.real, out.imag
+
+
+def array_to_utm(lon: np.ndarray, lat: np.ndarray, epsg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """to_utm() of arrays: x and y."""
+    phi, lam = np.radians(lat), np.radians(lon - (epsg % 100 * 6 - 183))
+    s = np.sin(phi)
+    t = np.sinh(np.arctanh(s) - E * np.arctanh(E * s))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    y, x = _series(ALPHA, xi, eta)
+    return FALSE_EAST + SCALE * RECTIFYING * (eta + x), np.where(epsg >= 32700, FALSE_NORTH, 0.0) + SCALE * RECTIFYING * (xi + y)
+
+
+def array_from_utm(x: np.ndarray, y: np.ndarray, epsg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """from_utm() of arrays: lon and lat."""
+    xi, eta = (y - np.where(epsg >= 32700, FALSE_NORTH, 0.0)) / (SCALE * RECTIFYING), (x - FALSE_EAST) / (SCALE * RECTIFYING)
+    du, dv = _series(BETA, xi, eta)
+    u, v = xi - du, eta - dv
+    q = np.arctanh(np.sin(u) / np.cosh(v))
+    s = np.tanh(q)
+    for _ in range(5):
+        s = np.tanh(q + E * np.arctanh(E * s))
+    return np.degrees(np.arctan2(np.sinh(v), np.cos(u))) + (epsg % 100 * 6 - 183), np.degrees(np.arcsin(s))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,16 +89,40 @@ def geometry_counts(features: DataFrame, points: bool = False) -> DataFrame:
 
 
 def around(lon: Column, lat: Column, width: float) -> Column:
-    """parts of the circle of a width in metres around a point, drawn in its UTM zone."""
-    epsg = T.utm_epsg(lon, lat)
-    turn = F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), lambda i: i * (-2 * 3.141592653589793 / CORNERS))
-    centre = F.array(F.struct(utm.to_utm(lon, lat, epsg).alias("m"), epsg.alias("epsg")))
-
-    def ring(at: Column) -> Column:
-        place = lambda a: utm.from_utm(at["m"]["x"] + width / 2 * F.cos(a), at["m"]["y"] + width / 2 * F.sin(a), at["epsg"])
-        return F.transform(turn, lambda a: F.struct(place(a)["lon"].alias("x"), place(a)["lat"].alias("y")))
-
-    return F.transform(centre, lambda at: F.array(ring(at)))
+    """parts of the circle of a width in metres around a point, drawn in its UTM zone: its corners clockwise, places null without a point."""
+
+    def run(lon: pa.Array, lat: pa.Array, epsg: pa.Array) -> pa.Array:
+        n = len(lon)
+        none = np.asarray(lon.is_null()) | np.asarray(lat.is_null())
+        lon, lat, epsg = (v.fill_null(0).to_numpy(zero_copy_only=False) for v in (lon, lat, epsg))
+        x, y = (v[:, None] for v in utm.array_to_utm(lon, lat, epsg))
+        turn = np.arange(CORNERS) * (-2 * np.pi / CORNERS)
+        places = utm.array_from_utm(x + width / 2 * np.cos(turn), y + width / 2 * np.sin(turn), epsg[:, None])
+        ring = pa.StructArray.from_arrays([pa.array(v.ravel(), mask=np.repeat(none, CORNERS)) for v in places], ["x", "y"])
+        starts = np.arange(n + 1, dtype=np.int32)
+        for step in (starts * CORNERS, starts, starts):
+            ring = pa.ListArray.from_arrays(pa.array(step), ring)
+        return ring
+
+    return F.arrow_udf(run, PARTS)(lon.cast("double"), lat.cast("double"), T.utm_epsg(lon, lat))
+
+
+def zone_area(ring: Column, epsg: Column) -> Column:
+    """Area of a ring in degrees in square metres of a UTM zone, positive if it turns clockwise; null without places."""
+
+    def run(ring: pa.Array, epsg: pa.Array) -> pa.Array:
+        n, at = ring.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ring.flatten()
+        own = np.repeat(np.arange(len(n)), n)
+        lon, lat = (at.field(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+        x, y = utm.array_to_utm(lon, lat, epsg.fill_null(0).to_numpy(zero_copy_only=False)[own])
+        first = np.cumsum(n) - n
+        after = np.arange(1, len(own) + 1)
+        after[(first + n - 1)[n > 0]] = first[n > 0]
+        x, y = x - x[first[own]], y - y[first[own]]
+        area = np.bincount(own, x * y[after] - x[after] * y, len(n)) / -2
+        return pa.array(area, mask=np.isnan(area) | (n == 0) | np.asarray(epsg.is_null()))
+
+    return F.arrow_udf(run, "double")(ring, epsg)
 
 
 def point_boxes(x: Column, y: Column, side: float) -> Column:
