@@ -22,3 +22,9 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in found.description]
     got = registry.QUERIES[name](spark, str(DATA)).select(columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(found.fetchall(), key=str)
+
+
+def test_card_of_a_million(spark, tmp_path):
+    spark.range(1_000_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    lines = {r.line for r in registry.QUERIES["w24_card"](spark, str(tmp_path)).collect()}
+    assert {"1000000 patches.", "- n>1M"} <= lines
