@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions.cleaning import image_kind
-from geoloom.operators.raster import islands
 
 c = F.col
 # Fixed values of the fetch rules: the longest wait that a server may ask for, tries after the first, and the largest body.
@@ -82,8 +83,33 @@ def wanted(tiles: DataFrame, cached: DataFrame, keys: Sequence[str], seconds: st
 def range_reads(requests: DataFrame, block: int = RANGE_BLOCK) -> DataFrame:
     """file, start, stop: the byte ranges to ask for, in whole blocks, each block once, adjacent ones as one.
 
-    requests: file, offset, length of the bytes that are needed.
+    requests: file, offset, length of the bytes that are needed. A file's requests meet in one task, sorted,
+    and are merged as a stream: what is sorted is a row for each request, and no block is held.
     """
-    spans = F.sequence(F.floor(c("offset") / block).cast("bigint"), F.floor((c("offset") + c("length") - 1) / block).cast("bigint"))
-    blocks = requests.where("length > 0").select("file", F.explode(spans).alias("block")).distinct()
-    return islands(blocks, ["file"], "block", "start", "stop").select("file", (c("start") * block).alias("start"), (c("stop") * block).alias("stop"))
+    at = lambda byte: F.floor(byte / block).cast("bigint")
+    rows = requests.where("length > 0").select("file", at(c("offset")).alias("start"), at(c("offset") + c("length") - 1).alias("last"))
+    kind = rows.schema["file"].dataType.simpleString()
+
+    def merge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["file", "start", "stop"], None
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            file, start, last = batch.columns
+            if held is not None:
+                file, start, last = (pa.concat_arrays([x, y]) for x, y in zip(held, (file, start, last), strict=True))
+            code = file.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first, levels = start.to_numpy(), np.unique(last.to_numpy(), return_inverse=True)
+            other = code[1:] != code[:-1]
+            own = np.append(0, np.cumsum(other)) * len(levels[0])
+            until = levels[0][np.maximum.accumulate(levels[1] + own) - own]  # the last block so far of each file
+            begins = np.flatnonzero(np.append(True, other | (first[1:] > until[:-1] + 1)))
+            ends = np.append(begins[1:], len(first)) - 1
+            held = (file.slice(begins[-1], 1), pa.array(first[begins[-1:]]), pa.array(until[ends[-1:]]))
+            begins, ends = begins[:-1], ends[:-1]
+            if len(begins):
+                yield pa.RecordBatch.from_arrays([file.take(pa.array(begins)), pa.array(first[begins] * block), pa.array((until[ends] + 1) * block)], names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([held[0], pa.array(held[1].to_numpy() * block), pa.array((held[2].to_numpy() + 1) * block)], names)
+
+    return rows.repartition("file").sortWithinPartitions("file", "start").mapInArrow(merge, f"file {kind}, start long, stop long")
